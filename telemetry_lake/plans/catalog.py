@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters
-from ..operators import analytics, expectations, medallion
+from ..operators import analytics, dashboards, expectations, governance, medallion, prompts
+from ..session import scratch_path
+from ..sources import landing
+from ..schemas import BRONZE_KEYED
 from ..functions import sql_functions
 from . import oracle
 
@@ -119,3 +122,84 @@ def fleet_summary(spark, sf_dir):
 @register("known_customers", oracle.KNOWN_CUSTOMERS)
 def known_customers(spark, sf_dir):
     return analytics.known_customers(_gold(spark, sf_dir))
+
+
+@register("bronze_telemetry", oracle.BRONZE_TELEMETRY)
+def bronze_telemetry(spark, sf_dir):
+    """Land the adapter rows as NDJSON in a fresh folder, scan them back."""
+    path = scratch_path(spark, "landing")
+    landing.write_events(adapters.load_bronze(spark, sf_dir), path, mode="error")
+    bronze = landing.read_landing(spark, path, BRONZE_KEYED, mode="FAILFAST")
+    return bronze.select("event_id", "customer_id", "timestamp", "event_type",
+                         F.col("context.latency").alias("latency"), F.col("context.pii").alias("pii"), "payload")
+
+
+def _frame(spark, sf_dir):
+    return landing.dashboard_frame(adapters.load_bronze(spark, sf_dir))
+
+
+def _ntz(c="timestamp"):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+@register("dashboard_kpis", oracle.DASHBOARD_KPIS)
+def dashboard_kpis(spark, sf_dir):
+    k = dashboards.kpis(_frame(spark, sf_dir))
+    return k.select("total_events", _mean9(), "anomalies", "pii_events",
+                    F.round("anomaly_threshold_ms", 9).alias("anomaly_threshold_ms"))
+
+
+@register("latency_series", oracle.LATENCY_SERIES)
+def latency_series(spark, sf_dir):
+    return dashboards.latency_series(_frame(spark, sf_dir)).select("event_id", _ntz(), "latency")
+
+
+@register("top_customers_by_latency", oracle.TOP_CUSTOMERS_BY_LATENCY)
+def top_customers_by_latency(spark, sf_dir):
+    return dashboards.top_customers_by_latency(_frame(spark, sf_dir))
+
+
+@register("recent_feed", oracle.RECENT_FEED)
+def recent_feed(spark, sf_dir):
+    return dashboards.recent_feed(_frame(spark, sf_dir)).select(
+        "event_id", _ntz(), "customer_id", "event_type", "latency", "is_pii")
+
+
+@register("governance_decisions", oracle.GOVERNANCE_DECISIONS)
+def governance_decisions(spark, sf_dir):
+    calls = adapters.calls_from_events(adapters.read_table(spark, sf_dir, "events"))
+    decided = governance.decide(calls, governance.registry_frame(spark))
+    return decided.select("call_id", "function", "allowed", "control")
+
+
+def _prompts(spark, sf_dir):
+    return adapters.prompts_from_events(adapters.read_table(spark, sf_dir, "events"))
+
+
+@register("prompt_intents", oracle.PROMPT_INTENTS)
+def prompt_intents(spark, sf_dir):
+    return prompts.resolve_intents(_prompts(spark, sf_dir)).select("prompt_id", "target_id", "function", "has_sql")
+
+
+def _routed(spark, sf_dir):
+    silver = _silver(spark, sf_dir)
+    return prompts.route(_prompts(spark, sf_dir), medallion.gold(silver), analytics.fleet_summary(silver),
+                         governance.registry_frame(spark))
+
+
+@register("prompt_answers", oracle.PROMPT_ANSWERS)
+def prompt_answers(spark, sf_dir):
+    r = _routed(spark, sf_dir)
+    return r.select("prompt_id", "target_id", "has_sql", "executed", "status", "control", "verdict",
+                    "total_events", "total_anomalies", "risk_factor", "mean_latency_ms",
+                    F.round("latency_ratio", 9).alias("latency_ratio"),
+                    F.size("trace").alias("trace_steps"))
+
+
+@register("prompt_audit_records")
+def prompt_audit_records(spark, sf_dir):
+    """Answer text, decision record and ordered trace (rows-only: prose)."""
+    r = _routed(spark, sf_dir)
+    return r.select("prompt_id", "prompt", "status", "answer",
+                    F.struct("allowed", "control", "detail", "function").alias("governance"),
+                    "payload", "executed", "trace", "serving_mode")
