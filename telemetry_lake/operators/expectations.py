@@ -116,8 +116,12 @@ def observe_violations(df: DataFrame, rules=SILVER_RULES, name: str = "expectati
 
     Returns ``(observed_df, observation)``; ``observation.get`` after the
     write gives ``{"rows": n, "<rule>": violations, ...}`` without a second scan.
+    A streaming DataFrame is observed by name instead (``observation`` is
+    ``None``): each micro-batch reports its counts in the query progress.
     """
-    obs = Observation(name)
     metrics = [F.count(F.lit(1)).alias("rows")]
     metrics += [F.count_if(~rule.ok()).alias(rule.name) for rule in rules]
+    if df.isStreaming:
+        return df.observe(name, *metrics), None
+    obs = Observation(name)
     return df.observe(obs, *metrics), obs

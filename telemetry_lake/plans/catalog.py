@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters
-from ..operators import analytics, dashboards, expectations, governance, medallion, prompts
+from ..operators import analytics, dashboards, expectations, governance, knowledge, medallion, prompts
 from ..session import scratch_path
 from ..sources import landing
 from ..schemas import BRONZE_KEYED
@@ -203,3 +203,105 @@ def prompt_audit_records(spark, sf_dir):
     return r.select("prompt_id", "prompt", "status", "answer",
                     F.struct("allowed", "control", "detail", "function").alias("governance"),
                     "payload", "executed", "trace", "serving_mode")
+
+
+def _snapshots(spark, sf_dir):
+    return adapters.knowledge_snapshots(adapters.read_table(spark, sf_dir, "documents"))
+
+
+@register("knowledge_sync_plan", oracle.KNOWLEDGE_SYNC_PLAN)
+def knowledge_sync_plan(spark, sf_dir):
+    """Plan the sync of an index built from the old snapshot against the new one."""
+    old, new = _snapshots(spark, sf_dir)
+    index = knowledge.sync_plan(None, old).select("id", "text_hash")
+    return knowledge.sync_plan(index, new).select("id", "op")
+
+
+@register("knowledge_embeddings")
+def knowledge_embeddings(spark, sf_dir):
+    """Default embedder over every knowledge chunk (rows-only: feature hashing has no SQL twin)."""
+    src = adapters.knowledge_source(adapters.read_table(spark, sf_dir, "documents"))
+    return knowledge.embed(src).select("id", "embedding")
+
+
+@register("knowledge_index_sync")
+def knowledge_index_sync(spark, sf_dir):
+    """Apply a sync: keep unchanged vectors, embed only inserts and updates."""
+    old, new = _snapshots(spark, sf_dir)
+    first = knowledge.apply_sync(None, knowledge.sync_plan(None, old))
+    plan = knowledge.sync_plan(first, new)
+    return knowledge.apply_sync(first, plan).select("id", "text_hash", "embedding")
+
+
+@register("vector_topk", oracle.VECTOR_TOPK)
+def vector_topk(spark, sf_dir):
+    """Top-3 vectors nearest to each label's centroid (dot product in DOUBLE)."""
+    emb = adapters.read_table(spark, sf_dir, "embeddings")
+    queries = knowledge.centroids(emb, "label").select(F.col("label").alias("query_label"),
+                                                       F.col("centroid"))
+    hits = knowledge.knn(emb, queries, 3, id_col="vec_id", vec_col="embedding",
+                         qid_col="query_label", qvec_col="centroid")
+    return hits.select("query_label", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _land_in_chunks(spark, sf_dir, path, edges=(10, 20)):
+    """Land the adapter rows as NDJSON in arrival order: one append per
+    stretch of days, so a stream sees several generations of files."""
+    events = adapters.read_table(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    bounds = [0, *edges, 32]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = events.where((day > lo) & (day <= hi))
+        landing.write_events(adapters.bronze_from_events(part), path, mode="append")
+    return path
+
+
+def _streamed_medallion(spark, sf_dir):
+    from ..streaming import ingest
+    root = scratch_path(spark, "stream")
+    zone = _land_in_chunks(spark, sf_dir, f"{root}/landing")
+    ingest.run_available_now(spark, zone, root, schema=BRONZE_KEYED)
+    return root
+
+
+@register("streaming_silver", oracle.STREAMING_SILVER)
+def streaming_silver(spark, sf_dir):
+    """Silver produced by the availableNow streams (ingest_time dropped)."""
+    root = _streamed_medallion(spark, sf_dir)
+    s = spark.read.parquet(f"{root}/silver")
+    return s.select("event_id", "customer_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+                    "timestamp_date", "event_type", "latency_ms", "is_pii", "masked_payload")
+
+
+@register("streaming_gold_refresh", oracle.STREAMING_GOLD_REFRESH)
+def streaming_gold_refresh(spark, sf_dir):
+    """Gold republished from the streamed silver table."""
+    from ..sources import tables
+    root = _streamed_medallion(spark, sf_dir)
+    g = tables.read_published(spark, root, "gold_customer_analytics")
+    return g.select("customer_id", "total_events", _mean9(), "total_anomalies")
+
+
+@register("schema_evolution", oracle.SCHEMA_EVOLUTION)
+def schema_evolution(spark, sf_dir):
+    """Later files add a top-level and a nested field; the stored schema is
+    widened (add-new-columns) and old rows read the new fields as NULL."""
+    from ..streaming import ingest
+    root = scratch_path(spark, "evolve")
+    zone = f"{root}/landing"
+    events = adapters.read_table(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    landing.write_events(adapters.bronze_from_events(events.where(day <= 15)), zone)
+    first, _ = ingest.evolve_schema(spark, zone, f"{root}/_schema")
+    later = events.where(day > 15)
+    grown = adapters.bronze_from_events(later).join(
+        later.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("session_key"),
+                     F.floor(F.col("user_id") / 100).cast("bigint").alias("user_bucket")), "event_id")
+    grown = grown.select("event_id", "customer_id", "timestamp", "event_type",
+                         F.struct("context.latency", "context.pii", "user_bucket").alias("context"),
+                         "payload", "session_key")
+    landing.write_events(grown, zone)
+    merged, _ = ingest.evolve_schema(spark, zone, f"{root}/_schema")
+    df = landing.read_landing(spark, zone, merged, mode="FAILFAST")
+    return df.select("event_id", "customer_id", "event_type", F.col("context.latency").alias("latency"),
+                     "session_key", F.col("context.user_bucket").alias("user_bucket"))

@@ -262,3 +262,43 @@ SELECT d.prompt_id, d.target_id, d.has_sql, d.allowed AS executed,
 FROM decided d
 LEFT JOIN scores s ON d.allowed AND s.customer_id = d.target_id
 CROSS JOIN fleet f""")
+
+# --- knowledge index ------------------------------------------------------------
+KNOWLEDGE_SYNC_PLAN = """
+WITH old AS (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0),
+new AS (SELECT doc_id AS id,
+               sha256(CASE WHEN doc_id % 10 = 2 THEN text || ' (rev 2)' ELSE text END) AS h
+        FROM documents WHERE doc_id % 10 <> 1)
+SELECT COALESCE(n.id, o.id) AS id,
+       CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete'
+            WHEN o.h <> n.h THEN 'update' ELSE 'keep' END AS op
+FROM old o FULL OUTER JOIN new n ON o.id = n.id"""
+
+VECTOR_TOPK = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+dims AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
+q AS (SELECT label, list(m ORDER BY i) AS c
+      FROM (SELECT label, i, AVG(x) AS m FROM dims GROUP BY label, i) GROUP BY label),
+scored AS (SELECT q.label AS query_label, e.vec_id, list_dot_product(q.c, e.v) AS score FROM q CROSS JOIN e)
+SELECT query_label, vec_id, ROUND(score, 6) AS score,
+       ROW_NUMBER() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank
+FROM scored
+QUALIFY rank <= 3"""
+
+# --- streaming (same answers as the batch forms) -------------------------------
+STREAMING_SILVER = SILVER_TELEMETRY
+STREAMING_GOLD_REFRESH = GOLD_CUSTOMER_ANALYTICS
+
+SCHEMA_EVOLUTION = with_ctes(BRONZE_CTE, body="""
+, src AS (
+  SELECT e.event_id, e.ts, e.user_id, e.props, b.customer_id, b.event_type, b.latency
+  FROM bronze b JOIN events e USING (event_id)
+), first_files AS (
+  SELECT event_id, customer_id, event_type, latency FROM src WHERE day(ts) <= 15
+), later_files AS (
+  SELECT event_id, customer_id, event_type, latency,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS session_key,
+         user_id // 100 AS user_bucket
+  FROM src WHERE day(ts) > 15
+)
+SELECT * FROM first_files UNION ALL BY NAME SELECT * FROM later_files""")
