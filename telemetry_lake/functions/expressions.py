@@ -36,6 +36,16 @@ def risk_factor(anomalies: Column, events: Column) -> Column:
     return F.coalesce(F.round(ratio, 2), F.lit(0.0))
 
 
+def present2(x: Column) -> Column:
+    """Presentation rounding to 2 decimals, stable under float noise.
+
+    A mean whose exact value is a tie (``32.255``) comes out of a distributed
+    sum a few ulps above or below it depending on the merge order; rounding
+    to 9 decimals first removes that noise, then 2 decimals round half up.
+    """
+    return F.round(F.round(x, 9), 2)
+
+
 def full_match(value: Column, pattern: str | Column) -> Column:
     """Python ``re.fullmatch`` semantics on the JVM (decision D15).
 

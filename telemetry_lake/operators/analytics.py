@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ANOMALY_SIGMA
-from ..functions.expressions import risk_factor
+from ..functions.expressions import present2, risk_factor
 from .medallion import is_anomaly, threshold_value
 from .ranking import global_rank
 
@@ -52,10 +52,10 @@ def fleet_summary(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFra
     t = threshold_value(silver_df, sigma)
     return silver_df.agg(
         F.count(F.lit(1)).alias("total_events"),
-        F.coalesce(F.round(F.avg("latency_ms"), 2), F.lit(0.0)).alias("mean_latency_ms"),
+        F.coalesce(present2(F.avg("latency_ms")), F.lit(0.0)).alias("mean_latency_ms"),
         F.count_if(is_anomaly(F.col("latency_ms"), t)).alias("total_anomalies"),
         F.count_distinct("customer_id").alias("distinct_customers"),
-        F.coalesce(F.round(F.max(t), 2), F.lit(0.0)).alias("anomaly_threshold_ms"),
+        F.coalesce(present2(F.max(t)), F.lit(0.0)).alias("anomaly_threshold_ms"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ANOMALY_SIGMA
-from ..functions.expressions import anomaly_threshold
+from ..functions.expressions import anomaly_threshold, present2
 
 
 def kpis(frame: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
@@ -41,7 +41,7 @@ def top_customers_by_latency(frame: DataFrame, k: int = 10) -> DataFrame:
     agg = (frame.where(F.col("customer_id").isNotNull())
                 .groupBy("customer_id")
                 .agg(F.count("latency").alias("events"),
-                     F.round(F.avg("latency"), 2).alias("mean_latency_ms")))
+                     present2(F.avg("latency")).alias("mean_latency_ms")))
     top = agg.orderBy(F.desc("mean_latency_ms"), F.asc("customer_id")).limit(k)
     w = Window.orderBy(F.desc("mean_latency_ms"), F.asc("customer_id"))
     return top.withColumn("rank", F.row_number().over(w))

@@ -21,7 +21,7 @@ from ..constants import (ANSWER_FORMAT, CUSTOMER_ID_PREFIX, CUSTOMER_MENTION_PAT
                          STATUS_GRANTED, STATUS_NEUTRALISED, STATUS_NO_MATCH, STATUS_SUCCESS, STEP_BLOCKED,
                          STEP_BOUNDARY, STEP_EXECUTE, STEP_INTENT, STEP_SANITISE, STEP_SYNTHESIS,
                          UNKNOWN_CUSTOMER_ANSWER, VERDICT_HIGH, VERDICT_HIGH_RISK, VERDICT_NONE, VERDICT_SOME)
-from ..functions.expressions import sql_token_regex
+from ..functions.expressions import present2, sql_token_regex
 from . import analytics, governance
 
 MENTION_REGEX = "(?iU)" + CUSTOMER_MENTION_PATTERN
@@ -71,7 +71,7 @@ def route(prompts: DataFrame, gold_df: DataFrame, fleet: DataFrame, registry: Da
 
     scored = analytics.scores(gold_df).select(
         F.col("customer_id").alias("_cid"), "total_events", "total_anomalies",
-        F.round("mean_latency_ms", 2).alias("mean_latency_ms"), "risk_factor")
+        present2(F.col("mean_latency_ms")).alias("mean_latency_ms"), "risk_factor")
     lookup = F.when(F.col("allowed"), F.col("target_id"))
     joined = (decided.withColumn("_lookup", lookup)
                      .join(scored, F.col("_lookup") == F.col("_cid"), "left"))

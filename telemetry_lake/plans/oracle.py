@@ -3,7 +3,8 @@
 Shared CTEs mirror the adapters (FIXTURES.md part B) and the medallion
 definitions.  Floating means are rounded to 9 decimals on both sides so
 summation order cannot change a hash; presented values keep their own
-rounding (2 decimals) on both sides.
+rounding (2 decimals) on both sides, taken from the 9-decimal value so a
+mean that is exactly a tie rounds the same way whatever the merge order.
 """
 
 EVENT_TYPES_SQL = "('click', 'purchase', 'search', 'error')"
@@ -139,10 +140,10 @@ WHERE c.function = 'get_customer_anomaly_score'""")
 
 FLEET_SUMMARY = with_ctes(BRONZE_CTE, SILVER_CTE, BASELINE_CTE, body="""
 SELECT COUNT(*) AS total_events,
-       COALESCE(ROUND(AVG(s.latency_ms), 2), 0.0) AS mean_latency_ms,
+       COALESCE(ROUND(ROUND(AVG(s.latency_ms), 9), 2), 0.0) AS mean_latency_ms,
        COUNT(*) FILTER (WHERE s.latency_ms > b.threshold) AS total_anomalies,
        COUNT(DISTINCT s.customer_id) AS distinct_customers,
-       COALESCE(ROUND(MAX(b.threshold), 2), 0.0) AS anomaly_threshold_ms
+       COALESCE(ROUND(ROUND(MAX(b.threshold), 9), 2), 0.0) AS anomaly_threshold_ms
 FROM silver s CROSS JOIN baseline b""")
 
 KNOWN_CUSTOMERS = with_ctes(*MEDALLION, body="""
@@ -172,7 +173,7 @@ SELECT event_id, "timestamp", latency FROM frame""")
 TOP_CUSTOMERS_BY_LATENCY = with_ctes(BRONZE_CTE, FRAME_CTE, body="""
 SELECT customer_id, events, mean_latency_ms,
        ROW_NUMBER() OVER (ORDER BY mean_latency_ms DESC, customer_id) AS rank
-FROM (SELECT customer_id, COUNT(latency) AS events, ROUND(AVG(latency), 2) AS mean_latency_ms
+FROM (SELECT customer_id, COUNT(latency) AS events, ROUND(ROUND(AVG(latency), 9), 2) AS mean_latency_ms
       FROM frame WHERE customer_id IS NOT NULL GROUP BY customer_id)
 QUALIFY rank <= 10""")
 
@@ -237,7 +238,7 @@ SELECT prompt_id, target_id,
 FROM intents""")
 
 FLEET_CTE = """fleet AS (
-  SELECT COALESCE(ROUND(AVG(s.latency_ms), 2), 0.0) AS fm, COALESCE(ROUND(MAX(b.threshold), 2), 0.0) AS ft
+  SELECT COALESCE(ROUND(ROUND(AVG(s.latency_ms), 9), 2), 0.0) AS fm, COALESCE(ROUND(ROUND(MAX(b.threshold), 9), 2), 0.0) AS ft
   FROM silver s CROSS JOIN baseline b
 )"""
 
@@ -255,9 +256,9 @@ SELECT d.prompt_id, d.target_id, d.has_sql, d.allowed AS executed,
             WHEN s.risk_factor > 0 THEN 'showing intermittent anomalous behaviour'
             ELSE 'operating within the expected performance envelope' END AS verdict,
        s.total_events, s.total_anomalies, s.risk_factor,
-       ROUND(s.mean_latency_ms, 2) AS mean_latency_ms,
+       ROUND(ROUND(s.mean_latency_ms, 9), 2) AS mean_latency_ms,
        CASE WHEN s.customer_id IS NULL THEN NULL
-            WHEN f.fm <> 0 THEN ROUND(ROUND(s.mean_latency_ms, 2) / f.fm, 9) ELSE 0.0 END AS latency_ratio,
+            WHEN f.fm <> 0 THEN ROUND(ROUND(ROUND(s.mean_latency_ms, 9), 2) / f.fm, 9) ELSE 0.0 END AS latency_ratio,
        CASE WHEN d.allowed THEN 4 ELSE 3 END + CASE WHEN d.has_sql THEN 1 ELSE 0 END AS trace_steps
 FROM decided d
 LEFT JOIN scores s ON d.allowed AND s.customer_id = d.target_id
