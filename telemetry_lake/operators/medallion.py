@@ -28,7 +28,7 @@ def silver(bronze: DataFrame, rules=SILVER_RULES, *, mask_unknown: bool = False,
     values become NULL and can be caught by a rule) instead of ANSI casts
     that abort the job (D19).
     """
-    cast = (lambda c, t: F.try_cast(c, t)) if safe_casts else (lambda c, t: c.cast(t))
+    cast = (lambda c, t: c.try_cast(t)) if safe_casts else (lambda c, t: c.cast(t))
     checked = apply_expectations(bronze, rules)
     event_time = cast(F.col("timestamp"), "timestamp")
     cols = [F.col(c) for c in keep if c in bronze.columns]
