@@ -8,9 +8,10 @@
                   other embedder is a ``DataFrame -> DataFrame`` callable
 * ``apply_sync``  new index = kept rows + freshly embedded inserts/updates;
                   only changed rows are embedded
-* ``knn``         exact top-k by dot product for a bounded query set
-                  broadcast to the index scan; per-query top-k is cut inside
-                  each task before the shuffle (WindowGroupLimit) (VEC-4)
+* ``knn``         exact top-k by dot product: a size-checked chunk of query
+                  vectors is broadcast, every index partition scores it in
+                  numpy blocks (mapInPandas) and keeps only its own top-k per
+                  query; a window on the query key merges them (VEC-4)
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import global_rank
 
@@ -106,14 +108,88 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
                    .select(group_col, F.transform("_parts", lambda p: p["_m"]).alias("centroid")))
 
 
-def _topk(index: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str,
-          qvec_col: str, exclude_self: bool) -> DataFrame:
-    pairs = index.select(id_col, vec_col).crossJoin(F.broadcast(queries.select(qid_col, qvec_col)))
-    if exclude_self:
-        pairs = pairs.where(F.col(id_col) != F.col(qid_col))
-    scored = pairs.select(qid_col, id_col, dot(F.col(qvec_col), F.col(vec_col)).alias("score"))
-    w = Window.partitionBy(qid_col).orderBy(F.desc("score"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _reduce_topk(qrow, ids, scores, k):
+    """Exact per-query top-k of candidate triples: score desc, then id asc."""
+    import numpy as np
+    order = np.lexsort((ids, -scores, qrow))
+    qrow, ids, scores = qrow[order], ids[order], scores[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qrow)) + 1]
+    first = np.repeat(starts, np.diff(np.r_[starts, len(qrow)]))
+    keep = (np.arange(len(qrow)) - first) < k
+    return qrow[keep], ids[keep], scores[keep]
+
+
+def _partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, block_elems):
+    """mapInPandas body: this task's exact top-k per query.
+
+    Scores are computed in float64 blocks of at most ``block_elems`` cells
+    (queries x rows); each block keeps every candidate at or above its k-th
+    best score (ties included, so nothing exact is lost) and the running
+    candidates are cut back to k per query whenever they grow.
+    """
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        qids, Q = bq.value
+        nq = len(qids)
+        order = np.argsort(qids, kind="stable")
+        sorted_q = qids[order]
+        step = max(1, block_elems // max(nq, 1))
+        acc_q, acc_i, acc_s, held = [], [], [], 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            all_ids = pdf[id_col].to_numpy()
+            all_vecs = pdf[vec_col].to_numpy()
+            for lo in range(0, len(all_ids), step):
+                ids = all_ids[lo:lo + step]
+                V = np.stack(all_vecs[lo:lo + step]).astype(np.float64)
+                S = np.einsum("nd,md->nm", Q, V)
+                if exclude_self:
+                    pos = np.searchsorted(sorted_q, ids)
+                    pos = np.minimum(pos, nq - 1)
+                    hit = sorted_q[pos] == ids
+                    S[order[pos[hit]], np.flatnonzero(hit)] = -np.inf
+                m = S.shape[1]
+                if m > k:
+                    kth = np.partition(S, m - k, axis=1)[:, m - k]
+                    mask = (S >= kth[:, None]) & np.isfinite(S)
+                else:
+                    mask = np.isfinite(S)
+                r, c = np.nonzero(mask)
+                acc_q.append(r)
+                acc_i.append(ids[c])
+                acc_s.append(S[r, c])
+                held += len(r)
+                if held > 8 * nq * k:
+                    qr, ii, ss = _reduce_topk(np.concatenate(acc_q), np.concatenate(acc_i),
+                                              np.concatenate(acc_s), k)
+                    acc_q, acc_i, acc_s, held = [qr], [ii], [ss], len(qr)
+        if held:
+            qr, ii, ss = _reduce_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
+            yield pd.DataFrame({qid_col: qids[qr], id_col: ii, "score": ss})
+
+    return run
+
+
+MAX_BROADCAST_BYTES = 64 << 20
+BLOCK_ELEMS = 1 << 22
+
+
+def _topk_chunk(index: DataFrame, chunk: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str,
+                qvec_col: str, exclude_self: bool) -> DataFrame:
+    """Candidates (≤ k per query per index partition) for one bounded query chunk."""
+    import numpy as np
+    spark = index.sparkSession
+    rows = chunk.collect()  # bounded by the caller: ≤ max_broadcast rows, ≤ MAX_BROADCAST_BYTES
+    qids = np.asarray([r[qid_col] for r in rows])
+    Q = np.asarray([r[qvec_col] for r in rows], dtype=np.float64)
+    bq = spark.sparkContext.broadcast((qids, Q))
+    fields = {f.name: f for f in index.schema.fields}
+    qfield = chunk.schema[qid_col]
+    out = T.StructType([T.StructField(qid_col, qfield.dataType), T.StructField(id_col, fields[id_col].dataType),
+                        T.StructField("score", T.DoubleType())])
+    return index.mapInPandas(_partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, BLOCK_ELEMS), out)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
@@ -121,20 +197,39 @@ def knn(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec
         max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Exact top-k neighbours of every query: ``(query_id, id, score, rank)``.
 
-    The query set is checkpointed (written once to the shared checkpoint
-    folder, lineage cut) and counted.  Up to ``max_broadcast`` queries go in
-    one broadcast; larger sets are split into broadcast chunks of that size
-    and the per-chunk answers unioned — exact, never capped.
+    No pair table: each index partition scores a broadcast chunk of query
+    vectors in numpy blocks and keeps only its own top-k per query (ties by
+    id), so the shuffle carries at most k rows per query per partition; a
+    ``row_number`` window on the query key then picks the global top-k.
+    The query set is checkpointed (lineage cut in the shared checkpoint
+    folder), counted and size-checked; a set larger than one broadcast is
+    split into chunks that each make one pass over the index — exact, never
+    capped.  Index rows whose vector is NULL have no similarity and are
+    skipped; a vector of another dimension fails the job.
     """
-    q = queries.select(qid_col, qvec_col).checkpoint(eager=True)
-    n = q.count()
-    if n <= max_broadcast:
-        return _topk(index, q, k, id_col, vec_col, qid_col, qvec_col, exclude_self)
-    ranked = global_rank(q, [F.asc(qid_col)], "_qrank").withColumn(
-        "_chunk", F.floor((F.col("_qrank") - 1) / max_broadcast)).checkpoint(eager=True)
-    out = None
-    for c in range((n + max_broadcast - 1) // max_broadcast):
-        part = _topk(index, ranked.where(F.col("_chunk") == c).select(qid_col, qvec_col), k, id_col, vec_col,
-                     qid_col, qvec_col, exclude_self)
-        out = part if out is None else out.unionByName(part)
-    return out
+    q = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).checkpoint(eager=True)
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d"),
+                  F.min(F.size(qvec_col)).alias("d0")).first()
+    n, d = stats["n"], stats["d"]
+    if not n:
+        schema = f"{qid_col} {queries.schema[qid_col].dataType.simpleString()}, " \
+                 f"{id_col} {index.schema[id_col].dataType.simpleString()}, score double, rank int"
+        return index.sparkSession.createDataFrame([], schema)
+    if stats["d0"] != d:
+        raise ValueError(f"query vectors have different dimensions ({stats['d0']}..{d})")
+    per_chunk = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // (8 * d)))
+    same_dim = F.when(F.size(vec_col) == d, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"index vector dimension differs from the query dimension {d}")))
+    idx = index.select(id_col, vec_col).where(F.col(vec_col).isNotNull() & same_dim)
+    if n <= per_chunk:
+        cands = _topk_chunk(idx, q, k, id_col, vec_col, qid_col, qvec_col, exclude_self)
+    else:
+        ranked = global_rank(q, [F.asc(qid_col)], "_qrank").withColumn(
+            "_chunk", F.floor((F.col("_qrank") - 1) / per_chunk)).checkpoint(eager=True)
+        cands = None
+        for c in range((n + per_chunk - 1) // per_chunk):
+            part = _topk_chunk(idx, ranked.where(F.col("_chunk") == c).select(qid_col, qvec_col), k, id_col,
+                               vec_col, qid_col, qvec_col, exclude_self)
+            cands = part if cands is None else cands.unionByName(part)
+    w = Window.partitionBy(qid_col).orderBy(F.desc("score"), F.asc(id_col))
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
