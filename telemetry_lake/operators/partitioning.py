@@ -1,0 +1,28 @@
+"""Partition-count guard for CPU-heavy per-row operators.
+
+Tokenising text, parsing JSON parameters or matching regexes costs far more
+than reading the row.  When the input arrives in fewer partitions than the
+cluster has cores (one large unsplittable file, a single row group), that
+work would run in a handful of tasks; a round-robin repartition spreads it.
+Inputs that are already split at least that finely — any scan of a large
+table — are returned unchanged, so no shuffle is added at scale.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """``df`` with at least ``min_partitions`` (default: default parallelism)
+    partitions; a streaming DataFrame is left to its micro-batch planner.
+
+    Call it on a freshly read table (scan and projections only): counting
+    the partitions of a plan that already shuffles would run that shuffle.
+    """
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

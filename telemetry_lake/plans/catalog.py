@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..operators import analytics, dashboards, expectations, governance, knowledge, medallion, prompts
+from ..operators.partitioning import spread
 from ..session import scratch_path
 from ..sources import landing
 from ..schemas import BRONZE_KEYED
@@ -46,6 +47,12 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return medallion.gold(_silver(spark, sf_dir))
 
 
+def _heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table feeding CPU-heavy per-row work (tokenising, JSON, regex),
+    spread over the cores when it arrives in fewer partitions than that."""
+    return spread(adapters.read_table(spark, sf_dir, name))
+
+
 def _view(df: DataFrame, stem: str) -> str:
     name = f"{stem}_{uuid.uuid4().hex[:8]}"
     df.createOrReplaceTempView(name)
@@ -167,13 +174,13 @@ def recent_feed(spark, sf_dir):
 
 @register("governance_decisions", oracle.GOVERNANCE_DECISIONS)
 def governance_decisions(spark, sf_dir):
-    calls = adapters.calls_from_events(adapters.read_table(spark, sf_dir, "events"))
+    calls = adapters.calls_from_events(_heavy(spark, sf_dir, "events"))
     decided = governance.decide(calls, governance.registry_frame(spark))
     return decided.select("call_id", "function", "allowed", "control")
 
 
 def _prompts(spark, sf_dir):
-    return adapters.prompts_from_events(adapters.read_table(spark, sf_dir, "events"))
+    return adapters.prompts_from_events(_heavy(spark, sf_dir, "events"))
 
 
 @register("prompt_intents", oracle.PROMPT_INTENTS)
@@ -205,14 +212,15 @@ def prompt_audit_records(spark, sf_dir):
                     "payload", "executed", "trace", "serving_mode")
 
 
-def _snapshots(spark, sf_dir):
-    return adapters.knowledge_snapshots(adapters.read_table(spark, sf_dir, "documents"))
+def _snapshots(spark, sf_dir, heavy=True):
+    read = _heavy if heavy else adapters.read_table
+    return adapters.knowledge_snapshots(read(spark, sf_dir, "documents"))
 
 
 @register("knowledge_sync_plan", oracle.KNOWLEDGE_SYNC_PLAN)
 def knowledge_sync_plan(spark, sf_dir):
     """Plan the sync of an index built from the old snapshot against the new one."""
-    old, new = _snapshots(spark, sf_dir)
+    old, new = _snapshots(spark, sf_dir, heavy=False)  # hashing only: no need to move the text
     index = knowledge.sync_plan(None, old).select("id", "text_hash")
     return knowledge.sync_plan(index, new).select("id", "op")
 
@@ -220,7 +228,7 @@ def knowledge_sync_plan(spark, sf_dir):
 @register("knowledge_embeddings")
 def knowledge_embeddings(spark, sf_dir):
     """Default embedder over every knowledge chunk (rows-only: feature hashing has no SQL twin)."""
-    src = adapters.knowledge_source(adapters.read_table(spark, sf_dir, "documents"))
+    src = adapters.knowledge_source(_heavy(spark, sf_dir, "documents"))
     return knowledge.embed(src).select("id", "embedding")
 
 
