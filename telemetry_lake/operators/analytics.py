@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ANOMALY_SIGMA
 from ..functions.expressions import present2, risk_factor
-from .medallion import is_anomaly, threshold_value
+from .medallion import baseline, is_anomaly, threshold_value
 from .ranking import global_rank
 
 
@@ -59,6 +59,16 @@ def fleet_summary(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFra
     )
 
 
+def fleet_context(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
+    """The two fleet numbers an answer is grounded in (presented mean and
+    threshold), taken from the population baseline itself.  Its partial
+    aggregate is the same as the gold threshold's, so Spark reuses one
+    exchange for both: silver is scanned once for them."""
+    b = baseline(silver_df, sigma)
+    return b.select(F.coalesce(present2(F.col("pop_mean")), F.lit(0.0)).alias("mean_latency_ms"),
+                    F.coalesce(present2(F.col("anomaly_threshold_ms")), F.lit(0.0)).alias("anomaly_threshold_ms"))
+
+
 def known_customers(gold_df: DataFrame) -> DataFrame:
     """Customers by activity, most events first, ties by id (D16), with rank."""
     return global_rank(gold_df.select("customer_id", "total_events"),

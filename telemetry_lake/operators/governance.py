@@ -100,20 +100,26 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
         F.filter(F.col("_keys"), lambda k: (vtype(k) == "STRING") & F.regexp_like(vstr(k), F.lit(sql_regex))),
         F.lit(1))
 
-    def param_error(p: Column) -> Column:
-        name = p["param"]
-        present = F.map_contains_key(F.col("_map"), name)
-        value = vstr(name)
-        return (F.when(~present & p["required"],
+    def param_info(p: Column) -> Column:
+        # Per declared parameter, looked up once per row: presence, the JSON
+        # type of the supplied value and its text when it is a string.
+        v = F.try_element_at(F.col("_map"), p["param"])
+        return F.struct(p["param"].alias("param"), p["required"].alias("required"), p["pattern"].alias("pattern"),
+                        F.map_contains_key(F.col("_map"), p["param"]).alias("present"),
+                        F.schema_of_variant(v).alias("vt"), F.try_variant_get(v, "$", "string").alias("vs"))
+
+    def param_error(i: Column) -> Column:
+        name, value, vt = i["param"], i["vs"], i["vt"]
+        return (F.when(~i["present"] & i["required"],
                        F.format_string("Required parameter '%s' was not supplied.", name))
-                 .when(~present, F.lit(None))
-                 .when(vtype(name) != "STRING",
-                       F.format_string("parameter '%s' must be a string, received %s", name, _py_type(vtype(name))))
-                 .when(~F.coalesce(full_match(value, p["pattern"]), F.lit(False)),
+                 .when(~i["present"], F.lit(None))
+                 .when(vt != "STRING",
+                       F.format_string("parameter '%s' must be a string, received %s", name, _py_type(vt)))
+                 .when(~F.coalesce(full_match(value, i["pattern"]), F.lit(False)),
                        F.format_string("parameter '%s' value %s does not satisfy the declared pattern %s",
-                                       name, _py_repr(value), _py_repr(p["pattern"]))))
+                                       name, _py_repr(value), _py_repr(i["pattern"]))))
 
-    schema_error = F.try_element_at(F.filter(F.transform(F.col("_spec"), param_error), lambda e: e.isNotNull()),
+    schema_error = F.try_element_at(F.filter(F.transform(F.col("_pinfo"), param_error), lambda e: e.isNotNull()),
                                     F.lit(1))
     undeclared = F.array_sort(F.array_except(F.col("_keys"), F.transform(F.col("_spec"), lambda p: p["param"])))
     qualified = F.concat(F.lit(namespace + "."), F.col("function"))
@@ -143,14 +149,16 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
             "EXECUTE granted on %s; arguments conform to the declared schema and are bound as parameters.",
             qualified)))
 
+    checked = F.col("_registered").isNotNull() & F.col("_map").isNotNull()
     staged = (joined
               .withColumn("_map", value_map)
-              .withColumn("_keys", F.when(F.col("_map").isNotNull(), keys))
-              .withColumn("_sql_key", F.when(F.col("_registered").isNotNull() & F.col("_map").isNotNull(), sql_key))
-              .withColumn("_schema_error", F.when(F.col("_registered").isNotNull() & F.col("_map").isNotNull(),
-                                                  schema_error))
-              .withColumn("_undeclared", F.when(F.col("_registered").isNotNull() & F.col("_map").isNotNull(),
-                                                undeclared).otherwise(F.array().cast("array<string>"))))
+              .withColumns({"_keys": F.when(F.col("_map").isNotNull(), keys),
+                            "_pinfo": F.when(checked, F.transform(F.col("_spec"), param_info))})
+              .withColumns({
+                  "_sql_key": F.when(checked, sql_key),
+                  "_schema_error": F.when(checked, schema_error),
+                  "_undeclared": F.when(checked, undeclared).otherwise(F.array().cast("array<string>")),
+              }))
     out_cols = [c for c in calls.columns]
     return staged.select(*out_cols, allowed.alias("allowed"), control.alias("control"), detail.alias("detail"))
 

@@ -34,19 +34,20 @@ def resolve_intents(prompts: DataFrame, prompt_col: str = "prompt") -> DataFrame
     p = F.col(prompt_col)
     digits = F.regexp_extract(p, MENTION_REGEX, 1)
     target = F.when(F.regexp_like(p, F.lit(MENTION_REGEX)), F.concat(F.lit(CUSTOMER_ID_PREFIX), digits))
+    found = F.col("target_id").isNotNull()
     return (prompts
             .withColumn("target_id", target)
-            .withColumn("function", F.when(F.col("target_id").isNotNull(), F.lit(SCORE_FUNCTION)))
-            .withColumn("params_json", F.when(F.col("target_id").isNotNull(),
-                                              F.to_json(F.struct(F.col("target_id").alias(SCORE_PARAMETER))))
-                                        .otherwise(F.lit("{}")))
-            .withColumn("rationale", F.when(
-                F.col("target_id").isNotNull(),
-                F.format_string("Query names customer %s and requests behavioural assessment; "
-                                "matched to the anomaly scoring function.", F.col("target_id")))
-                .otherwise(F.lit(f"No granted function satisfies this intent. The agent holds EXECUTE on "
-                                 f"['{SCORE_FUNCTION}'] only.")))
-            .withColumn("has_sql", F.coalesce(F.regexp_like(p, F.lit(PROMPT_SQL_REGEX)), F.lit(False))))
+            .withColumns({
+                "function": F.when(found, F.lit(SCORE_FUNCTION)),
+                "params_json": F.when(found, F.to_json(F.struct(F.col("target_id").alias(SCORE_PARAMETER))))
+                                .otherwise(F.lit("{}")),
+                "rationale": F.when(found, F.format_string(
+                    "Query names customer %s and requests behavioural assessment; "
+                    "matched to the anomaly scoring function.", F.col("target_id")))
+                    .otherwise(F.lit(f"No granted function satisfies this intent. The agent holds EXECUTE on "
+                                     f"['{SCORE_FUNCTION}'] only.")),
+                "has_sql": F.coalesce(F.regexp_like(p, F.lit(PROMPT_SQL_REGEX)), F.lit(False)),
+            }))
 
 
 def verdict(risk: Column) -> Column:
@@ -72,7 +73,12 @@ def route(prompts: DataFrame, gold_df: DataFrame, fleet: DataFrame, registry: Da
     scored = analytics.scores(gold_df).select(
         F.col("customer_id").alias("_cid"), "total_events", "total_anomalies",
         present2(F.col("mean_latency_ms")).alias("mean_latency_ms"), "risk_factor")
-    lookup = F.when(F.col("allowed"), F.col("target_id"))
+    # Refused prompts look nothing up.  A NULL key would send all of them to
+    # one shuffle partition when gold is too large to broadcast; instead they
+    # get a key no customer id can equal (leading NUL) made from a hash of the
+    # whole input row, so only fully identical rows share a partition.
+    row_key = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in prompts.columns]).cast("string"))
+    lookup = F.when(F.col("allowed") & F.col("target_id").isNotNull(), F.col("target_id")).otherwise(row_key)
     joined = (decided.withColumn("_lookup", lookup)
                      .join(scored, F.col("_lookup") == F.col("_cid"), "left"))
 

@@ -190,7 +190,7 @@ def prompt_intents(spark, sf_dir):
 
 def _routed(spark, sf_dir):
     silver = _silver(spark, sf_dir)
-    return prompts.route(_prompts(spark, sf_dir), medallion.gold(silver), analytics.fleet_summary(silver),
+    return prompts.route(_prompts(spark, sf_dir), medallion.gold(silver), analytics.fleet_context(silver),
                          governance.registry_frame(spark))
 
 
