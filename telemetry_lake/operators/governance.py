@@ -166,3 +166,13 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
 def decision_struct(df: DataFrame) -> Column:
     """The auditable decision record as one struct column."""
     return F.struct("allowed", "control", "detail", "function", F.col("params_json").alias("parameters"))
+
+
+def write_audit(decided: DataFrame, path: str, *, partition_col: str = "control") -> None:
+    """Append decisions (or routed prompts) to the audit table (SNK-4).
+
+    Append-only, partitioned by control so denied calls of one kind are read
+    without scanning the rest; ``audited_at`` is the job's wall clock.
+    """
+    (decided.withColumn("audited_at", F.current_timestamp())
+            .write.mode("append").partitionBy(partition_col).parquet(path))

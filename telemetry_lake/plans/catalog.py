@@ -281,6 +281,19 @@ def streaming_silver(spark, sf_dir):
                     "timestamp_date", "event_type", "latency_ms", "is_pii", "masked_payload")
 
 
+@register("batch_refresh_gold", oracle.BATCH_REFRESH_GOLD)
+def batch_refresh_gold(spark, sf_dir):
+    """Full batch refresh from an NDJSON landing zone; gold read back from
+    its published version."""
+    from ..sources import tables
+    from .refresh import refresh
+    root = scratch_path(spark, "refresh")
+    zone = _land_in_chunks(spark, sf_dir, f"{root}/landing")
+    refresh(spark, zone, root, schema=BRONZE_KEYED)
+    g = tables.read_published(spark, root, "gold_customer_analytics")
+    return g.select("customer_id", "total_events", _mean9(), "total_anomalies")
+
+
 @register("streaming_gold_refresh", oracle.STREAMING_GOLD_REFRESH)
 def streaming_gold_refresh(spark, sf_dir):
     """Gold republished from the streamed silver table."""

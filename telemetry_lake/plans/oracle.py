@@ -289,6 +289,7 @@ QUALIFY rank <= 3"""
 # --- streaming (same answers as the batch forms) -------------------------------
 STREAMING_SILVER = SILVER_TELEMETRY
 STREAMING_GOLD_REFRESH = GOLD_CUSTOMER_ANALYTICS
+BATCH_REFRESH_GOLD = GOLD_CUSTOMER_ANALYTICS
 
 SCHEMA_EVOLUTION = with_ctes(BRONZE_CTE, body="""
 , src AS (

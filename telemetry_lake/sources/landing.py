@@ -65,7 +65,11 @@ def read_landing(spark: SparkSession, path: str, schema: T.StructType = BRONZE,
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows without the corrupt column, raw malformed lines)."""
+    """(parsed rows without the corrupt column, raw malformed lines).
+
+    Apply it to a materialised bronze table: on a raw JSON scan Spark
+    refuses a projection whose only data column is the corrupt-record one.
+    """
     if CORRUPT not in df.columns:
         return df, df.limit(0)
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

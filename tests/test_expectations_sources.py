@@ -164,3 +164,40 @@ def test_evolving_read_old_rows_null(spark, scratch):
     df2, s2 = landing.read_evolving(spark, path, s1)
     assert "session_key" in s2.fieldNames()
     assert sorted((r["session_key"] is None) for r in df2.collect()) == [False, True]
+
+
+def test_batch_refresh_publishes_every_layer(spark, scratch):
+    from telemetry_lake.plans.refresh import refresh
+    root = scratch("refresh")
+    zone = f"{root}/landing"
+    landing.write_events(adapters.load_bronze(spark, SF0001), zone)
+    _write_lines(zone, "broken.json", ['{"customer_id": "CUST_001", oops'])
+    out = refresh(spark, zone, root, schema=BRONZE_KEYED)
+    assert out["expectations"] == {"rows": 1000, "valid_customer_id": 11, "valid_event_type": 387}
+    read = lambda name: tables.read_published(spark, root, name)
+    assert read("bronze_telemetry_raw").count() == 1001
+    assert [r["raw_line"] for r in read("bronze_corrupt_lines").collect()] == ['{"customer_id": "CUST_001", oops']
+    silver = read("silver_telemetry_cleaned")
+    assert silver.count() == 608 and "timestamp_date" in silver.columns
+    assert read("silver_quarantine").count() == 392
+    gold = read("gold_customer_analytics")
+    assert gold.count() == 15 and gold.agg(F.sum("total_anomalies")).first()[0] == 32
+    # A second refresh publishes new versions; readers switch only at the end.
+    first = tables.current_version(spark, root, "gold_customer_analytics")
+    refresh(spark, zone, root, schema=BRONZE_KEYED)
+    assert tables.current_version(spark, root, "gold_customer_analytics") != first
+
+
+def test_audit_append_partitioned_by_control(spark, scratch):
+    from telemetry_lake.operators import governance
+    path = scratch("audit")
+    calls = adapters.calls_from_events(adapters.read_table(spark, SF0001, "events"))
+    decided = governance.decide(calls, governance.registry_frame(spark))
+    governance.write_audit(decided, path)
+    governance.write_audit(decided, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 2000
+    assert {r["control"] for r in back.select("control").distinct().collect()} == \
+        {"FUNCTION_GRANT", "SQL_INTERDICTION", "PARAMETER_SCHEMA"}
+    folders = sorted(d for d in os.listdir(path) if not d.startswith((".", "_")))
+    assert folders == ["control=FUNCTION_GRANT", "control=PARAMETER_SCHEMA", "control=SQL_INTERDICTION"]
