@@ -70,10 +70,17 @@ def _failure_check(rule: Expectation) -> Column:
 
 
 def apply_expectations(df: DataFrame, rules=SILVER_RULES) -> DataFrame:
-    """Enforce rules in one filter: drop rules remove rows, fail rules raise."""
+    """Enforce rules in one filter: drop rules remove rows, fail rules raise.
+
+    A drop rule enters the filter as its bare predicate: a WHERE keeps only
+    rows where the conjunction is TRUE, so NULL already counts as a
+    violation, and the bare form (``IN``, ``IS NOT NULL``, comparisons) is
+    what the scan can take as pushed filters.
+    """
     cond = None
     for rule in rules:
-        term = rule.ok() if rule.action == "drop" else _failure_check(rule) if rule.action == "fail" else None
+        term = (col_or_expr(rule.predicate) if rule.action == "drop"
+                else _failure_check(rule) if rule.action == "fail" else None)
         if term is not None:
             cond = term if cond is None else cond & term
     return df if cond is None else df.where(cond)
