@@ -207,6 +207,8 @@ def knn(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec
     capped.  Index rows whose vector is NULL have no similarity and are
     skipped; a vector of another dimension fails the job.
     """
+    from ..session import checkpoint_root
+    checkpoint_root(index.sparkSession)  # lineage is cut in the shared folder named by spark.checkpoint.dir
     q = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).checkpoint(eager=True)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d"),
                   F.min(F.size(qvec_col)).alias("d0")).first()

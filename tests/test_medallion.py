@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF0001, SF001, rows
@@ -140,3 +142,14 @@ def test_event_flags_agree_with_gold(spark):
     silver = medallion.silver(adapters.load_bronze(spark, SF001))
     flagged = medallion.event_flags(silver).where("is_anomaly").count()
     assert flagged == 92
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.text(max_size=30), st.sampled_from([True, False, None])), min_size=1, max_size=20))
+def test_property_masking(spark, events):
+    """pii true -> SHA-256 hex of the payload; false or NULL -> payload unchanged."""
+    import hashlib
+    data = [("CUST_001", "2024-01-01T00:00:00+00:00", "click", (1.0, pii), payload) for payload, pii in events]
+    got = [r["masked_payload"] for r in medallion.silver(_bronze(spark, data)).collect()]
+    want = [hashlib.sha256(p.encode()).hexdigest() if pii else p for p, pii in events]
+    assert sorted(got) == sorted(want)
