@@ -77,9 +77,22 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def infer_schema(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> T.StructType:
-    """Infer the landing schema once (a sampled pass); store and reuse it."""
-    df = spark.read.option("samplingRatio", sampling_ratio).option("mode", "DROPMALFORMED").json(path)
+def infer_schema(spark: SparkSession, path: str, sampling_ratio: float = 1.0,
+                 modified_after: str | None = None) -> T.StructType:
+    """Infer the landing schema (a sampled pass); store and reuse it.
+
+    ``modified_after`` (``YYYY-MM-DDTHH:mm:ss``, session time zone) limits the
+    pass to files landed since then; no such file gives an empty schema.
+    """
+    reader = spark.read.option("samplingRatio", sampling_ratio).option("mode", "DROPMALFORMED")
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    try:
+        df = reader.json(path)
+    except AnalysisException:
+        if modified_after:  # nothing new to look at
+            return T.StructType([])
+        raise
     return T.StructType([f for f in df.schema.fields if f.name != CORRUPT])
 
 

@@ -8,6 +8,7 @@ shared filesystem works.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,13 +56,22 @@ def read_published(spark: SparkSession, root: str, name: str, schema: T.StructTy
     return reader.parquet(version)
 
 
-def save_schema(spark: SparkSession, schema: T.StructType, path: str) -> None:
-    spark.createDataFrame([(schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").json(path)
+def save_schema(spark: SparkSession, schema: T.StructType, path: str, inferred_from: str | None = None) -> None:
+    """Store a schema (one JSON line) with the time from which the next
+    inference needs to look at files."""
+    spark.createDataFrame([(schema.json(), inferred_from)], "schema string, inferred_from string") \
+         .coalesce(1).write.mode("overwrite").json(path)
 
 
-def load_schema(spark: SparkSession, path: str) -> T.StructType | None:
+def load_schema_record(spark: SparkSession, path: str) -> tuple[T.StructType | None, str | None]:
     try:
-        rows = spark.read.schema("schema string").json(path).take(1)
+        rows = spark.read.schema("schema string, inferred_from string").json(path).take(1)
     except Exception:  # noqa: BLE001 - nothing stored yet
-        return None
-    return T.StructType.fromJson(__import__("json").loads(rows[0]["schema"])) if rows else None
+        return None, None
+    if not rows:
+        return None, None
+    return T.StructType.fromJson(json.loads(rows[0]["schema"])), rows[0]["inferred_from"]
+
+
+def load_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    return load_schema_record(spark, path)[0]

@@ -20,6 +20,7 @@ or a restarted driver resumes from the last committed micro-batch.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -105,17 +106,24 @@ def run_available_now(spark: SparkSession, landing_dir: str, root: str, *, schem
             "gold_version": gold_version}
 
 
+INFERENCE_OVERLAP = timedelta(minutes=10)
+
+
 def evolve_schema(spark: SparkSession, landing_dir: str, schema_path: str,
                   sampling_ratio: float = 1.0) -> tuple[T.StructType, list[str]]:
     """Merge the stored landing schema with what the files now contain.
 
     Returns ``(schema, added_columns)``; the merged schema is stored so the
-    next (re)start of the bronze stream reads the new columns.
+    next (re)start of the bronze stream reads the new columns.  Only files
+    modified since the previous inference (less a safety overlap, harmless
+    because merging is idempotent) are read, so a growing landing zone is
+    not re-parsed on every run.
     """
-    stored = tables.load_schema(spark, schema_path)
-    incoming = landing.infer_schema(spark, landing_dir, sampling_ratio)
+    started = (datetime.now(timezone.utc) - INFERENCE_OVERLAP).strftime("%Y-%m-%dT%H:%M:%S")
+    stored, since = tables.load_schema_record(spark, schema_path)
+    incoming = landing.infer_schema(spark, landing_dir, sampling_ratio,
+                                    modified_after=since if stored is not None else None)
     merged = incoming if stored is None else landing.merge_schema(stored, incoming)
     added = [] if stored is None else landing.added_columns(stored, merged)
-    if stored is None or added:
-        tables.save_schema(spark, merged, schema_path)
+    tables.save_schema(spark, merged, schema_path, inferred_from=started)
     return merged, added

@@ -181,3 +181,32 @@ def test_stream_restart_after_schema_growth_keeps_old_rows(spark, scratch):
     counts = {r["has"]: r["n"] for r in bronze.groupBy(F.col("session_key").isNotNull().alias("has"))
                                               .agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {False: first.rows_in, True: second.rows_in}
+
+
+def test_schema_inference_reads_only_files_landed_since_last_time(spark, scratch):
+    import json
+    import os
+    import time
+    root = scratch("incr")
+    zone = f"{root}/landing"
+    os.makedirs(zone)
+    base = {"customer_id": "CUST_001", "timestamp": "2024-01-01T00:00:00+00:00", "event_type": "click",
+            "context": {"latency": 1.0, "pii": False}, "payload": "p"}
+
+    def put(name, extra, age_s=0):
+        p = os.path.join(zone, name)
+        with open(p, "w") as fh:
+            fh.write(json.dumps({**base, **extra}) + "\n")
+        if age_s:
+            t = time.time() - age_s
+            os.utime(p, (t, t))
+
+    put("a.json", {})
+    s1, _ = ingest.evolve_schema(spark, zone, f"{root}/_schema")
+    put("old.json", {"stale_col": 1}, age_s=86400)   # landed long before the last inference
+    put("new.json", {"fresh_col": 2})
+    s2, added = ingest.evolve_schema(spark, zone, f"{root}/_schema")
+    assert added == ["fresh_col"]
+    assert "stale_col" not in s2.fieldNames()
+    s3, added3 = ingest.evolve_schema(spark, zone, f"{root}/_schema")
+    assert added3 == [] and s3 == s2
