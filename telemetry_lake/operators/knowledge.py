@@ -108,17 +108,6 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
                    .select(group_col, F.transform("_parts", lambda p: p["_m"]).alias("centroid")))
 
 
-def _reduce_topk(qrow, ids, scores, k):
-    """Exact per-query top-k of candidate triples: score desc, then id asc."""
-    import numpy as np
-    order = np.lexsort((ids, -scores, qrow))
-    qrow, ids, scores = qrow[order], ids[order], scores[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qrow)) + 1]
-    first = np.repeat(starts, np.diff(np.r_[starts, len(qrow)]))
-    keep = (np.arange(len(qrow)) - first) < k
-    return qrow[keep], ids[keep], scores[keep]
-
-
 def _partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, block_elems):
     """mapInPandas body: this task's exact top-k per query.
 
@@ -127,6 +116,18 @@ def _partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, block_elems):
     best score (ties included, so nothing exact is lost) and the running
     candidates are cut back to k per query whenever they grow.
     """
+    # Everything the task runs is defined here, so it is shipped by value and
+    # executors need nothing but numpy and pandas (not this package).
+    def _reduce_topk(qrow, ids, scores, k):
+        """Exact per-query top-k of candidate triples: score desc, then id asc."""
+        import numpy as np
+        order = np.lexsort((ids, -scores, qrow))
+        qrow, ids, scores = qrow[order], ids[order], scores[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(qrow)) + 1]
+        first = np.repeat(starts, np.diff(np.r_[starts, len(qrow)]))
+        keep = (np.arange(len(qrow)) - first) < k
+        return qrow[keep], ids[keep], scores[keep]
+
     def run(batches):
         import numpy as np
         import pandas as pd

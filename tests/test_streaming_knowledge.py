@@ -210,3 +210,28 @@ def test_schema_inference_reads_only_files_landed_since_last_time(spark, scratch
     assert "stale_col" not in s2.fieldNames()
     s3, added3 = ingest.evolve_schema(spark, zone, f"{root}/_schema")
     assert added3 == [] and s3 == s2
+
+
+def test_knn_executors_need_no_package(tmp_path):
+    """Executors on a cluster do not have this package: the k-NN task must
+    ship by value.  Run it from another folder with the package importable on
+    the driver only (sys.path), never on the Python workers."""
+    import os
+    import subprocess
+    import sys
+    from conftest import ROOT
+    script = f'''
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession, functions as F
+from telemetry_lake.operators import knowledge
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false") \\
+    .config("spark.checkpoint.dir", {str(tmp_path / "ck")!r}).getOrCreate()
+emb = spark.read.parquet("{SF0001}/embeddings.parquet")
+q = emb.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+print("ROWS", knowledge.knn(emb, q, 2, id_col="vec_id", vec_col="embedding", qid_col="qid", qvec_col="qv").count())
+'''
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=300)
+    assert "ROWS 6" in out.stdout, out.stderr[-2000:]
