@@ -61,9 +61,10 @@ def fleet_summary(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFra
 
 def fleet_context(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
     """The two fleet numbers an answer is grounded in (presented mean and
-    threshold), taken from the population baseline itself.  Its partial
-    aggregate is the same as the gold threshold's, so Spark reuses one
-    exchange for both: silver is scanned once for them."""
+    threshold), taken from the population baseline itself: one partial and
+    final aggregate over the latency column, with none of the fleet
+    summary's distinct count or anomaly recount.  Same values as
+    ``fleet_summary``'s mean and threshold."""
     b = baseline(silver_df, sigma)
     return b.select(F.coalesce(present2(F.col("pop_mean")), F.lit(0.0)).alias("mean_latency_ms"),
                     F.coalesce(present2(F.col("anomaly_threshold_ms")), F.lit(0.0)).alias("anomaly_threshold_ms"))
