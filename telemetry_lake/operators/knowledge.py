@@ -1,8 +1,9 @@
 """Knowledge index: triggered sync by primary key, embedding, k-NN search.
 
 * ``sync_plan``   insert / update / delete / keep per key, from a full outer
-                  join of (key, content hash) pairs only — the text and the
-                  vectors never cross the shuffle (VEC-1, JON-5, VEC-3)
+                  join on the key: the index side is (key, content hash)
+                  only, so vectors never cross the shuffle; the source text
+                  rides along only if a later step uses it (VEC-1, JON-5, VEC-3)
 * ``embed``       default embedder: tokenize -> feature hashing -> L2
                   normalise, all JVM-side pyspark.ml stages (VEC-2); any
                   other embedder is a ``DataFrame -> DataFrame`` callable
