@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from telemetry_lake.llm.common import table, written
 from telemetry_lake.llm.language import language_stage
+from telemetry_lake.llm.near_duplicates import near_duplicate_stage
 from telemetry_lake.llm.packing import packing_stage
 from telemetry_lake.llm.quality import quality_stage
 
 STAGES = [
     ("language_id", language_stage),
     ("quality_classifier", quality_stage),
+    ("minhash_near_duplicates", near_duplicate_stage),
     ("best_fit_packing", packing_stage),
 ]
 #: Trained models and hashed signatures decide, which SQL cannot express; tests hold the stages against brute force.

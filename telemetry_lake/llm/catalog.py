@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality
+from . import (chat, extraction, fingerprints, language, near_duplicates, neighbours, ngram_trie, packing, quality,
+               sentencepieces)
 
 QUERIES = {
+    "op1_sentencepiece": sentencepieces.op1_sentencepiece,
+    "op2_learned_partitions": neighbours.op2_learned_partitions,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_iblt_fingerprints": fingerprints.op5_iblt_fingerprints,
+    "op6_html_extraction": extraction.op6_html_extraction,
     "op7_language_id": language.op7_language_id,
+    "op8_minhash_near_duplicates": near_duplicates.op8_minhash_near_duplicates,
+    "op9_elias_fano_lm": ngram_trie.op9_elias_fano_lm,
+    "op10_reply_trees": chat.op10_reply_trees,
 }
+#: Trained models, hashed signatures and whole-text digests decide; SQL either cannot express them or is too slow on whole
+#: tables, so every query is tested against brute force, an exact round trip or held-out accuracy instead.
 ORACLE: dict[str, str] = {}
