@@ -12,11 +12,10 @@ ANOMALY_SIGMA = 3.0
 
 # --- fixed values: the governed function -----------------------------------
 SCORE_FUNCTION = "get_customer_anomaly_score"
-SCORE_FUNCTION_DESCRIPTION = (
-    "Calculates statistical anomaly counts and behavioural risk for a single customer identifier.")
+SCORE_FUNCTION_DESCRIPTION = "Event and anomaly counts of one customer, and the share of anomalous events in percent."
 SCORE_PARAMETER = "target_id"
 SCORE_PARAMETER_PATTERN = r"CUST_\d{3}"
-SCORE_PARAMETER_DESCRIPTION = "Customer identifier in the form CUST_123."
+SCORE_PARAMETER_DESCRIPTION = "The id of the customer: CUST_ and three digits."
 
 # --- fixed values: SQL-token lists (decision D13: two different lists) ------
 # Boundary list, applied to every string parameter value.
@@ -85,5 +84,25 @@ UNKNOWN_CUSTOMER_ANSWER = (
 )
 REFUSAL_FORMAT = "This request was refused at the governance boundary.\n\n**Control:** `%s`\n\n**Reason:** %s"
 
+# --- fixed values: messages of decisions and trace steps ---------------------
+MISSING_PARAMETER_FORMAT = "Required parameter '%s' was not supplied."
+NOT_A_STRING_FORMAT = "parameter '%s' must be a string, received %s"
+PATTERN_MISMATCH_FORMAT = "parameter '%s' value %s does not satisfy the declared pattern %s"
+UNDECLARED_FORMAT = "Undeclared parameters rejected: %s."
+GRANTED_FORMAT = "EXECUTE granted on %s; arguments conform to the declared schema and are bound as parameters."
+MATCH_FORMAT = ("Query names customer %s and requests behavioural assessment; "
+                "matched to the anomaly scoring function.")
+NO_MATCH_FORMAT = "No granted function satisfies this intent. The agent holds EXECUTE on ['%s'] only."
+BLOCKED_DETAIL = "No statement was submitted to the lakehouse."
+INVOKED_FORMAT = "Invoked %s.%s with bound parameter target_id='%s'. Returned %d row(s) from the gold layer."
+
+# Other messages, in this library's own words.
+NO_GRANT_FORMAT = "No EXECUTE grant for %s; the functions registered in %s are %s."
+SQL_TOKENS_FORMAT = "Parameter '%s' contains SQL control tokens; only values may be supplied to approved functions."
+NOT_AN_OBJECT = "Parameters must be a JSON object with unique keys."
+SANITISED_DETAIL = ("Input contained SQL control tokens; only typed parameter values were extracted, "
+                    "so the text never reached the engine.")
+SYNTHESIS_DETAIL = "Answer composed only from the returned rows and the fleet baseline."
+
 # Default namespace for governed objects; a deployment passes its own.
 DEFAULT_NAMESPACE = "main.telemetry"

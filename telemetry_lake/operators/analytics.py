@@ -32,17 +32,6 @@ def score_lookup(spark: SparkSession, gold_df: DataFrame, target_id: str) -> Dat
         args={"target_id": target_id}, gold=gold_df)
 
 
-def scores_for_requests(requests: DataFrame, gold_df: DataFrame, id_col: str = "target_id") -> DataFrame:
-    """Score each request row: the per-call lookup as one equi-join (JON-3).
-
-    Inner join, like a table function that returns no row for an unknown id.
-    Catalyst/AQE choose the strategy from runtime sizes (broadcast when gold
-    is small, sort-merge with skew splitting of hot ids otherwise).
-    """
-    s = scores(gold_df).withColumnRenamed("customer_id", "_cid")
-    return (requests.join(s, requests[id_col] == s["_cid"], "inner").drop("_cid"))
-
-
 def fleet_summary(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
     """One row: events, mean latency, anomalies, distinct customers, threshold.
 
@@ -72,7 +61,7 @@ def fleet_context(silver_df: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFra
 
 def known_customers(gold_df: DataFrame) -> DataFrame:
     """Customers by activity, most events first, ties by id (D16), with rank."""
-    return global_rank(gold_df.select("customer_id", "total_events"),
+    return global_rank(gold_df.select("customer_id", "total_events", "total_anomalies"),
                        [F.desc("total_events"), F.asc("customer_id")])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ANOMALY_SIGMA
 from ..functions.expressions import anomaly_threshold, present2
+from .ranking import global_rank
 
 
 def kpis(frame: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
@@ -27,9 +28,10 @@ def kpis(frame: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
 
 
 def latency_series(frame: DataFrame) -> DataFrame:
-    """(timestamp, latency) in time order: a distributed range-partitioned sort."""
+    """(timestamp, latency) in time order with its position (``rank``): a distributed range-partitioned sort."""
     keys = [c for c in ("event_id",) if c in frame.columns]
-    return frame.select(*keys, "timestamp", "latency").orderBy("timestamp", *keys)
+    order = [F.asc("timestamp"), *[F.asc(c) for c in keys], F.asc("latency")]
+    return global_rank(frame.select(*keys, "timestamp", "latency"), order)
 
 
 def top_customers_by_latency(frame: DataFrame, k: int = 10) -> DataFrame:
@@ -51,5 +53,6 @@ def recent_feed(frame: DataFrame, k: int = 10) -> DataFrame:
     """The k most recent events (latest timestamp first, ties by event key)."""
     keys = [c for c in ("event_id",) if c in frame.columns]
     order = [F.desc("timestamp")] + [F.desc(c) for c in keys]
-    return (frame.select(*keys, "timestamp", "customer_id", "event_type", "latency", "is_pii")
-                 .orderBy(*order).limit(k))
+    top = (frame.select(*keys, "timestamp", "customer_id", "event_type", "latency", "is_pii")
+                .orderBy(*order).limit(k))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over k rows

@@ -62,6 +62,8 @@ SILVER_RULES = (
     expect_or_drop("valid_customer_id", "customer_id IS NOT NULL"),
     expect_or_drop("valid_event_type", f"event_type IN ({_TYPES})"),
 )
+# The streaming declaration that stops on an unknown event type.
+STRICT_SILVER_RULES = (SILVER_RULES[0], SILVER_RULES[1].with_action("fail"))
 
 
 def _failure_check(rule: Expectation) -> Column:
@@ -98,24 +100,21 @@ def quarantine(df: DataFrame, rules=SILVER_RULES) -> DataFrame:
               .where(F.size("failed_rules") > 0))
 
 
-def split_valid(df: DataFrame, rules=SILVER_RULES) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, quarantined rows) for drop/warn rules."""
-    return apply_expectations(df, rules), quarantine(df, [r for r in rules if r.action == "drop"])
-
-
 def expectation_report(df: DataFrame, rules=SILVER_RULES) -> DataFrame:
     """One row per rule: rule, action, rows_checked, violations.
 
     One pass over the data: every rule is a ``count_if`` in the same
-    aggregate (partial per task, merged once), then unpivoted with ``stack``.
+    aggregate (partial per task, merged once), then unpivoted as an array of structs.
     """
     aggs = [F.count(F.lit(1)).alias("rows_checked")]
     aggs += [F.count_if(~rule.ok()).alias(f"v{i}") for i, rule in enumerate(rules)]
     counts = df.agg(*aggs)
-    stack_args = ", ".join(f"'{r.name}', '{r.action}', v{i}" for i, r in enumerate(rules))
-    return counts.selectExpr(
-        f"stack({len(rules)}, {stack_args}) AS (rule, action, violations)", "rows_checked"
-    ).select("rule", "action", "rows_checked", "violations")
+    if not rules:
+        return counts.select(F.lit("").alias("rule"), F.lit("").alias("action"), "rows_checked",
+                             F.lit(0).cast("long").alias("violations")).where(F.lit(False))
+    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"),
+                              F.col(f"v{i}").alias("violations")) for i, r in enumerate(rules)])
+    return counts.select("rows_checked", F.inline(each)).select("rule", "action", "rows_checked", "violations")
 
 
 def observe_violations(df: DataFrame, rules=SILVER_RULES, name: str = "expectations"):

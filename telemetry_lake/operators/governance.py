@@ -12,9 +12,9 @@ Input rows: ``(call_id, function, params_json)``.  Output adds ``allowed``,
 5. PARAMETER_SCHEMA  undeclared parameters (sorted list)
 6. allowed           reported under FUNCTION_GRANT
 
-Everything is a column expression after one join with the registry.  The
-registry is the fixed allowlist (a handful of rows, size checked when it is
-built), so it is broadcast and the calls table is never shuffled.
+Everything is a column expression after one join with the registry.  Its rows
+are counted first: up to ``BROADCAST_ROWS`` it is broadcast and the calls table
+is not shuffled; a longer allowlist takes an ordinary join with the same result.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (BOUNDARY_SQL_SYMBOLS, BOUNDARY_SQL_WORDS, CONTROL_GRANT, CONTROL_SCHEMA,
-                         CONTROL_SQL, DEFAULT_NAMESPACE, SCORE_FUNCTION, SCORE_FUNCTION_DESCRIPTION,
-                         SCORE_PARAMETER, SCORE_PARAMETER_DESCRIPTION, SCORE_PARAMETER_PATTERN)
+                         CONTROL_SQL, DEFAULT_NAMESPACE, GRANTED_FORMAT, MISSING_PARAMETER_FORMAT, NO_GRANT_FORMAT,
+                         NOT_A_STRING_FORMAT, NOT_AN_OBJECT, PATTERN_MISMATCH_FORMAT, SCORE_FUNCTION,
+                         SCORE_FUNCTION_DESCRIPTION, SCORE_PARAMETER, SCORE_PARAMETER_DESCRIPTION,
+                         SCORE_PARAMETER_PATTERN, SQL_TOKENS_FORMAT, UNDECLARED_FORMAT)
 from ..functions.expressions import full_match, sql_token_regex
 from ..schemas import REGISTRY
 
-MAX_REGISTRY_ROWS = 10_000
+BROADCAST_ROWS = 50_000
 BOUNDARY_SQL_REGEX = sql_token_regex(BOUNDARY_SQL_WORDS, BOUNDARY_SQL_SYMBOLS)
 
 # The default allowlist: one function with one required parameter.
@@ -40,11 +42,7 @@ DEFAULT_REGISTRY = [
 
 def registry_frame(spark: SparkSession, rows=None) -> DataFrame:
     """Registry as a DataFrame, one row per declared parameter."""
-    rows = list(DEFAULT_REGISTRY if rows is None else rows)
-    if len(rows) > MAX_REGISTRY_ROWS:
-        raise ValueError(f"registry has {len(rows)} rows; the allowlist is broadcast and "
-                         f"limited to {MAX_REGISTRY_ROWS}")
-    return spark.createDataFrame(rows, REGISTRY)
+    return spark.createDataFrame(list(DEFAULT_REGISTRY if rows is None else rows), REGISTRY)
 
 
 def _specs(registry: DataFrame) -> DataFrame:
@@ -56,7 +54,9 @@ def _specs(registry: DataFrame) -> DataFrame:
 
 
 def _py_repr(s: Column) -> Column:
-    """Python-style repr of a string (quote choice only)."""
+    """Python-style repr of a string: its choice of quotes, backslashes and the common control characters escaped."""
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(raw), F.lit(shown))
     return (F.when(F.instr(s, "'") > 0, F.when(F.instr(s, '"') > 0, F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'")))
                                          .otherwise(F.concat(F.lit('"'), s, F.lit('"'))))
              .otherwise(F.concat(F.lit("'"), s, F.lit("'"))))
@@ -75,7 +75,7 @@ def _py_type(variant_type: Column) -> Column:
 
 def _names_list(arr: Column) -> Column:
     """Render an array of names like Python's ``sorted(...)`` list."""
-    return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
+    return F.concat(F.lit("["), F.array_join(F.transform(arr, _py_repr), ", "),
                     F.lit("]"))
 
 
@@ -83,7 +83,8 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
            sql_regex: str = BOUNDARY_SQL_REGEX) -> DataFrame:
     """Add the decision columns ``allowed``, ``control``, ``detail``."""
     specs = _specs(registry)
-    joined = calls.join(F.broadcast(specs), "function", "left")
+    short = registry.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = calls.join(F.broadcast(specs) if short else specs, "function", "left")
 
     params_text = F.coalesce(F.col("params_json"), F.lit("{}"))
     parsed = F.try_parse_json(params_text)
@@ -111,17 +112,17 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
     def param_error(i: Column) -> Column:
         name, value, vt = i["param"], i["vs"], i["vt"]
         return (F.when(~i["present"] & i["required"],
-                       F.format_string("Required parameter '%s' was not supplied.", name))
+                       F.format_string(MISSING_PARAMETER_FORMAT, name))
                  .when(~i["present"], F.lit(None))
                  .when(vt != "STRING",
-                       F.format_string("parameter '%s' must be a string, received %s", name, _py_type(vt)))
+                       F.format_string(NOT_A_STRING_FORMAT, name, _py_type(vt)))
                  .when(~F.coalesce(full_match(value, i["pattern"]), F.lit(False)),
-                       F.format_string("parameter '%s' value %s does not satisfy the declared pattern %s",
-                                       name, _py_repr(value), _py_repr(i["pattern"]))))
+                       F.format_string(PATTERN_MISMATCH_FORMAT, name, _py_repr(value), _py_repr(i["pattern"]))))
 
     schema_error = F.try_element_at(F.filter(F.transform(F.col("_pinfo"), param_error), lambda e: e.isNotNull()),
                                     F.lit(1))
     undeclared = F.array_sort(F.array_except(F.col("_keys"), F.transform(F.col("_spec"), lambda p: p["param"])))
+    registered = registry.agg(_names_list(F.array_sort(F.collect_set("function"))).alias("names")).scalar()
     qualified = F.concat(F.lit(namespace + "."), F.col("function"))
 
     denied_grant = F.col("_registered").isNull()
@@ -136,18 +137,13 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
                & (F.size("_undeclared") == 0))
     detail = (
         F.when(denied_grant, F.format_string(
-            "No EXECUTE grant for %s; only functions registered in %s may be invoked.",
-            F.coalesce(_py_repr(F.col("function")), F.lit("None")), F.lit(namespace)))
-         .when(not_object, F.lit("Parameters must be a JSON object with unique keys."))
-         .when(F.col("_sql_key").isNotNull(), F.format_string(
-            "Parameter '%s' contains SQL control tokens; only values may be supplied to approved functions.",
-            F.col("_sql_key")))
+            NO_GRANT_FORMAT, F.coalesce(_py_repr(F.col("function")), F.lit("None")), F.lit(namespace),
+            registered))
+         .when(not_object, F.lit(NOT_AN_OBJECT))
+         .when(F.col("_sql_key").isNotNull(), F.format_string(SQL_TOKENS_FORMAT, F.col("_sql_key")))
          .when(F.col("_schema_error").isNotNull(), F.col("_schema_error"))
-         .when(F.size("_undeclared") > 0, F.format_string(
-            "Undeclared parameters rejected: %s.", _names_list(F.col("_undeclared"))))
-         .otherwise(F.format_string(
-            "EXECUTE granted on %s; arguments conform to the declared schema and are bound as parameters.",
-            qualified)))
+         .when(F.size("_undeclared") > 0, F.format_string(UNDECLARED_FORMAT, _names_list(F.col("_undeclared"))))
+         .otherwise(F.format_string(GRANTED_FORMAT, qualified)))
 
     checked = F.col("_registered").isNotNull() & F.col("_map").isNotNull()
     staged = (joined
@@ -163,11 +159,6 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
     return staged.select(*out_cols, allowed.alias("allowed"), control.alias("control"), detail.alias("detail"))
 
 
-def decision_struct(df: DataFrame) -> Column:
-    """The auditable decision record as one struct column."""
-    return F.struct("allowed", "control", "detail", "function", F.col("params_json").alias("parameters"))
-
-
 def write_audit(decided: DataFrame, path: str, *, partition_col: str = "control") -> None:
     """Append decisions (or routed prompts) to the audit table (SNK-4).
 

@@ -1,18 +1,20 @@
 """Knowledge index: triggered sync by primary key, embedding, k-NN search.
 
 * ``sync_plan``   insert / update / delete / keep per key, from a full outer
-                  join on the key: the index side is (key, content hash)
-                  only, so vectors never cross the shuffle; the source text
-                  rides along only if a later step uses it (VEC-1, JON-5, VEC-3)
+                  join of (key, content hash) on both sides: neither text nor
+                  vectors cross it (VEC-1, JON-5, VEC-3)
 * ``embed``       default embedder: tokenize -> feature hashing -> L2
                   normalise, all JVM-side pyspark.ml stages (VEC-2); any
                   other embedder is a ``DataFrame -> DataFrame`` callable
 * ``apply_sync``  new index = kept rows + freshly embedded inserts/updates;
-                  only changed rows are embedded
-* ``knn``         exact top-k by dot product: a size-checked chunk of query
-                  vectors is broadcast, every index partition scores it in
-                  numpy blocks (mapInPandas) and keeps only its own top-k per
-                  query; a window on the query key merges them (VEC-4)
+                  the text of changed rows only, by a semi join on their keys
+* ``sync_index``  the job: current index or none -> plan -> apply -> publish
+* ``knn``         exact top-k by dot product: query vectors are dealt to
+                  chunks by a hash; each chunk is broadcast, every index
+                  partition scores it in numpy blocks (mapInPandas) and keeps
+                  only its own top-k per query, and the chunk's candidates
+                  are written before the next begins; a window merges them
+                  (VEC-4)
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import global_rank
+from ..session import scratch_path
+from ..sources import tables
 
 OPS = ("insert", "update", "delete", "keep")
 DEFAULT_DIM = 256
-MAX_BROADCAST_QUERIES = 4096
+CHUNK_QUERIES = 4096
 
 
 def content_hash(text: Column) -> Column:
@@ -39,21 +43,21 @@ def content_hash(text: Column) -> Column:
 
 def sync_plan(index: DataFrame | None, source: DataFrame, *, key: str = "id",
               text_col: str = "text_chunk") -> DataFrame:
-    """``(key, op, text_chunk, text_hash)`` for every key in either side.
+    """``(key, op, text_hash)`` for every key in either side.
 
     ``index`` holds at least ``(key, text_hash)``; ``None`` (no index yet)
-    makes every source row an insert.
+    makes every source row an insert.  Only keys and hashes are joined.
     """
-    src = source.select(F.col(key), F.col(text_col), content_hash(F.col(text_col)).alias("_new_hash"))
+    src = source.select(F.col(key), content_hash(F.col(text_col)).alias("_new_hash"))
     if index is None:
-        return src.select(key, F.lit("insert").alias("op"), text_col, F.col("_new_hash").alias("text_hash"))
+        return src.select(key, F.lit("insert").alias("op"), F.col("_new_hash").alias("text_hash"))
     old = index.select(F.col(key).alias("_old_key"), F.col("text_hash").alias("_old_hash"))
     j = src.join(old, src[key] == old["_old_key"], "full_outer")
     op = (F.when(F.col("_old_key").isNull(), F.lit("insert"))
            .when(F.col(key).isNull(), F.lit("delete"))
-           .when(F.col("_old_hash") != F.col("_new_hash"), F.lit("update"))
+           .when(~F.col("_old_hash").eqNullSafe(F.col("_new_hash")), F.lit("update"))
            .otherwise(F.lit("keep")))
-    return j.select(F.coalesce(F.col(key), F.col("_old_key")).alias(key), op.alias("op"), F.col(text_col),
+    return j.select(F.coalesce(F.col(key), F.col("_old_key")).alias(key), op.alias("op"),
                     F.coalesce(F.col("_new_hash"), F.col("_old_hash")).alias("text_hash"))
 
 
@@ -81,11 +85,17 @@ def embed(df: DataFrame, embedder: Callable[[DataFrame], DataFrame] | None = Non
     return (embedder or hashing_embedder())(df)
 
 
-def apply_sync(index: DataFrame | None, plan: DataFrame, *, key: str = "id",
+def apply_sync(index: DataFrame | None, plan: DataFrame, source: DataFrame, *, key: str = "id",
+               text_col: str = "text_chunk",
                embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The new index: kept rows as they were, inserts/updates embedded now."""
-    fresh = embed(plan.where(F.col("op").isin("insert", "update")).select(key, "text_chunk", "text_hash"),
-                  embedder).select(key, "text_hash", "embedding")
+    """The new index: kept rows as they were, inserts/updates embedded now.
+
+    The changed texts are found by a semi join of the source with the keys of
+    inserts and updates, so unchanged text is never embedded.
+    """
+    changed = plan.where(F.col("op").isin("insert", "update")).select(key)
+    text = source.select(key, F.col(text_col).alias("text_chunk"), content_hash(F.col(text_col)).alias("text_hash"))
+    fresh = embed(text.join(changed, key, "left_semi"), embedder).select(key, "text_hash", "embedding")
     if index is None:
         return fresh
     kept_keys = plan.where(F.col("op") == "keep").select(key)
@@ -93,20 +103,32 @@ def apply_sync(index: DataFrame | None, plan: DataFrame, *, key: str = "id",
     return kept.unionByName(fresh)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in DOUBLE, summed in element order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+def sync_index(spark: SparkSession, source: DataFrame, root: str, *, name: str = "knowledge_index", key: str = "id",
+               text_col: str = "text_chunk",
+               embedder: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """Bring the published index up to ``source``; the first run creates it.  Returns the published version."""
+    version = tables.current_version(spark, root, name)
+    index = None if version is None else tables.read_published(spark, root, name)
+    path = scratch_path(spark, "sync-plan")
+    planned = sync_plan(index, source, key=key, text_col=text_col)
+    planned.write.parquet(path)  # the plan is read twice
+    plan = spark.read.schema(planned.schema).parquet(path)
+    fresh = apply_sync(index, plan, source, key=key, text_col=text_col, embedder=embedder)
+    return tables.publish(fresh, root, name, comment="Knowledge index: one vector and content hash per key.")
 
 
 def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
-    """Mean vector per group: exploded per dimension, partially aggregated per
-    task (a hot group costs no more than a cold one), reassembled in order."""
-    per_dim = (df.select(group_col, F.posexplode(vec_col).alias("_i", "_x"))
-                 .groupBy(group_col, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m")))
-    return (per_dim.groupBy(group_col)
-                   .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_parts"))
-                   .select(group_col, F.transform("_parts", lambda p: p["_m"]).alias("centroid")))
+    """Mean vector per group: one JVM aggregate, partial per task (a hot group
+    costs no more than a cold one).  NULL and non-finite vectors are left out."""
+    mean = Summarizer.mean(array_to_vector(F.col(vec_col).cast("array<double>")))
+    return (df.where(finite(vec_col)).groupBy(group_col)
+              .agg(vector_to_array(mean).alias("centroid")))
+
+
+def finite(vec_col: str) -> Column:
+    """TRUE for a vector without NULL, NaN or infinite components."""
+    ok = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.col(vec_col).isNotNull() & ok, F.lit(False))
 
 
 def _partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, block_elems):
@@ -174,66 +196,63 @@ def _partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, block_elems):
     return run
 
 
-MAX_BROADCAST_BYTES = 64 << 20
+CHUNK_BYTES = 64 << 20
 BLOCK_ELEMS = 1 << 22
 
 
-def _topk_chunk(index: DataFrame, chunk: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str,
-                qvec_col: str, exclude_self: bool) -> DataFrame:
-    """Candidates (≤ k per query per index partition) for one bounded query chunk."""
+def _topk_chunk(index: DataFrame, rows: list, k: int, id_col: str, vec_col: str, qid_col: str, qvec_col: str,
+                out: T.StructType, exclude_self: bool, path: str) -> None:
+    """Write the candidates (at most k per query per index partition) of one broadcast query chunk."""
     import numpy as np
-    spark = index.sparkSession
-    rows = chunk.collect()  # bounded by the caller: ≤ max_broadcast rows, ≤ MAX_BROADCAST_BYTES
     qids = np.asarray([r[qid_col] for r in rows])
     Q = np.asarray([r[qvec_col] for r in rows], dtype=np.float64)
-    bq = spark.sparkContext.broadcast((qids, Q))
-    fields = {f.name: f for f in index.schema.fields}
-    qfield = chunk.schema[qid_col]
-    out = T.StructType([T.StructField(qid_col, qfield.dataType), T.StructField(id_col, fields[id_col].dataType),
-                        T.StructField("score", T.DoubleType())])
-    return index.mapInPandas(_partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, BLOCK_ELEMS), out)
+    bq = index.sparkSession.sparkContext.broadcast((qids, Q))
+    run = _partition_topk(bq, k, id_col, vec_col, qid_col, exclude_self, BLOCK_ELEMS)
+    index.mapInPandas(run, out).write.mode("append").parquet(path)
+    bq.unpersist()
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
         qid_col: str = "query_id", qvec_col: str = "query_vec", exclude_self: bool = False,
-        max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+        chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """Exact top-k neighbours of every query: ``(query_id, id, score, rank)``.
 
-    No pair table: each index partition scores a broadcast chunk of query
-    vectors in numpy blocks and keeps only its own top-k per query (ties by
-    id), so the shuffle carries at most k rows per query per partition; a
-    ``row_number`` window on the query key then picks the global top-k.
-    The query set is checkpointed (lineage cut in the shared checkpoint
-    folder), counted and size-checked; a set larger than one broadcast is
-    split into chunks that each make one pass over the index — exact, never
-    capped.  Index rows whose vector is NULL have no similarity and are
-    skipped; a vector of another dimension fails the job.
+    No pair table: query vectors are dealt to chunks of about
+    ``chunk_queries`` (and ``CHUNK_BYTES``) by a hash of their id.  Each chunk
+    is broadcast in turn; the index partitions score it in numpy blocks and
+    keep their own top-k per query (ties by id).  Its candidates are written
+    to the shared folder and its broadcast is released before the next chunk
+    begins, so the driver holds one chunk at a time.  A ``row_number`` window
+    on the query key picks the global top-k.  NULL vectors and vectors with
+    NULL, NaN or infinite components have no similarity: as index rows they
+    are skipped, as queries they get no rows.  A vector of another dimension
+    fails the job.
     """
-    from ..session import checkpoint_root
-    checkpoint_root(index.sparkSession)  # lineage is cut in the shared folder named by spark.checkpoint.dir
-    q = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).checkpoint(eager=True)
+    spark = index.sparkSession
+    asked = queries.select(qid_col, qvec_col).where(finite(qvec_col))
+    stored = scratch_path(spark, "knn-queries")
+    asked.write.parquet(stored)
+    q = spark.read.schema(asked.schema).parquet(stored)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d"),
                   F.min(F.size(qvec_col)).alias("d0")).first()
     n, d = stats["n"], stats["d"]
-    if not n:
-        schema = f"{qid_col} {queries.schema[qid_col].dataType.simpleString()}, " \
-                 f"{id_col} {index.schema[id_col].dataType.simpleString()}, score double, rank int"
-        return index.sparkSession.createDataFrame([], schema)
-    if stats["d0"] != d:
-        raise ValueError(f"query vectors have different dimensions ({stats['d0']}..{d})")
-    per_chunk = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // (8 * d)))
-    same_dim = F.when(F.size(vec_col) == d, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"index vector dimension differs from the query dimension {d}")))
-    idx = index.select(id_col, vec_col).where(F.col(vec_col).isNotNull() & same_dim)
-    if n <= per_chunk:
-        cands = _topk_chunk(idx, q, k, id_col, vec_col, qid_col, qvec_col, exclude_self)
-    else:
-        ranked = global_rank(q, [F.asc(qid_col)], "_qrank").withColumn(
-            "_chunk", F.floor((F.col("_qrank") - 1) / per_chunk)).checkpoint(eager=True)
-        cands = None
-        for c in range((n + per_chunk - 1) // per_chunk):
-            part = _topk_chunk(idx, ranked.where(F.col("_chunk") == c).select(qid_col, qvec_col), k, id_col,
-                               vec_col, qid_col, qvec_col, exclude_self)
-            cands = part if cands is None else cands.unionByName(part)
+    out = T.StructType([T.StructField(qid_col, queries.schema[qid_col].dataType),
+                        T.StructField(id_col, index.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    path = scratch_path(spark, "knn-candidates")
+    spark.createDataFrame([], out).write.parquet(path)
+    if n:
+        if stats["d0"] != d:
+            raise ValueError(f"query vectors have different dimensions ({stats['d0']}..{d})")
+        per_chunk = max(1, min(chunk_queries, CHUNK_BYTES // (8 * max(d, 1))))
+        chunks = -(-n // per_chunk)
+        same_dim = F.when(F.size(vec_col) == d, F.lit(True)).otherwise(
+            F.raise_error(F.lit(f"index vector dimension differs from the query dimension {d}")))
+        idx = index.select(id_col, vec_col).where(finite(vec_col) & same_dim)
+        number = F.pmod(F.xxhash64(qid_col), F.lit(chunks))
+        for c in range(chunks):
+            rows = q.where(number == c).collect()  # about per_chunk rows of one dimension
+            if rows:
+                _topk_chunk(idx, rows, k, id_col, vec_col, qid_col, qvec_col, out, exclude_self, path)
     w = Window.partitionBy(qid_col).orderBy(F.desc("score"), F.asc(id_col))
+    cands = spark.read.schema(out).parquet(path)
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

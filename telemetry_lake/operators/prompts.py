@@ -5,7 +5,7 @@ check the proposed call at the governance boundary, execute allowed calls
 as a join with the scored gold table, and ground the answer in the returned
 numbers and the fleet baseline.  The ordered trace is an array column.
 
-One Catalyst plan: expressions, a broadcast of the registry, one equi-join
+One Catalyst plan: expressions, a join with the registry, one equi-join
 with the scores (AQE picks broadcast or skew-split sort-merge from runtime
 sizes), and the one-row fleet baseline as a scalar subquery.
 """
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (ANSWER_FORMAT, CUSTOMER_ID_PREFIX, CUSTOMER_MENTION_PATTERN, DEFAULT_NAMESPACE,
-                         OUTCOME_REFUSED, OUTCOME_SUCCESS, PROMPT_SQL_WORDS, REFUSAL_FORMAT, SCORE_FUNCTION,
+from ..constants import (ANSWER_FORMAT, BLOCKED_DETAIL, CUSTOMER_ID_PREFIX, CUSTOMER_MENTION_PATTERN,
+                         DEFAULT_NAMESPACE, INVOKED_FORMAT, MATCH_FORMAT, NO_MATCH_FORMAT, OUTCOME_REFUSED, OUTCOME_SUCCESS, PROMPT_SQL_WORDS, REFUSAL_FORMAT, SANITISED_DETAIL, SCORE_FUNCTION,
                          SCORE_PARAMETER, SERVING_MODE, STATUS_BLOCKED, STATUS_COMPLETED, STATUS_DENIED,
                          STATUS_GRANTED, STATUS_NEUTRALISED, STATUS_NO_MATCH, STATUS_SUCCESS, STEP_BLOCKED,
-                         STEP_BOUNDARY, STEP_EXECUTE, STEP_INTENT, STEP_SANITISE, STEP_SYNTHESIS,
+                         STEP_BOUNDARY, STEP_EXECUTE, STEP_INTENT, STEP_SANITISE, STEP_SYNTHESIS, SYNTHESIS_DETAIL,
                          UNKNOWN_CUSTOMER_ANSWER, VERDICT_HIGH, VERDICT_HIGH_RISK, VERDICT_NONE, VERDICT_SOME)
 from ..functions.expressions import present2, sql_token_regex
 from . import analytics, governance
@@ -41,11 +41,8 @@ def resolve_intents(prompts: DataFrame, prompt_col: str = "prompt") -> DataFrame
                 "function": F.when(found, F.lit(SCORE_FUNCTION)),
                 "params_json": F.when(found, F.to_json(F.struct(F.col("target_id").alias(SCORE_PARAMETER))))
                                 .otherwise(F.lit("{}")),
-                "rationale": F.when(found, F.format_string(
-                    "Query names customer %s and requests behavioural assessment; "
-                    "matched to the anomaly scoring function.", F.col("target_id")))
-                    .otherwise(F.lit(f"No granted function satisfies this intent. The agent holds EXECUTE on "
-                                     f"['{SCORE_FUNCTION}'] only.")),
+                "rationale": F.when(found, F.format_string(MATCH_FORMAT, F.col("target_id")))
+                    .otherwise(F.lit(NO_MATCH_FORMAT % SCORE_FUNCTION)),
                 "has_sql": F.coalesce(F.regexp_like(p, F.lit(PROMPT_SQL_REGEX)), F.lit(False)),
             }))
 
@@ -100,24 +97,21 @@ def route(prompts: DataFrame, gold_df: DataFrame, fleet: DataFrame, registry: Da
     trace = F.filter(F.array(
         _step(STEP_INTENT, F.when(F.col("function").isNotNull(), F.lit(STATUS_SUCCESS))
                             .otherwise(F.lit(STATUS_NO_MATCH)), F.col("rationale")),
-        F.when(F.col("has_sql"), _step(STEP_SANITISE, STATUS_NEUTRALISED,
-               "Input contained SQL control tokens; only typed parameter values were extracted, "
-               "so the text never reached the engine.")),
+        F.when(F.col("has_sql"), _step(STEP_SANITISE, STATUS_NEUTRALISED, SANITISED_DETAIL)),
         _step(STEP_BOUNDARY, F.when(executed, F.lit(STATUS_GRANTED)).otherwise(F.lit(STATUS_DENIED)),
               F.col("detail")),
-        F.when(~executed, _step(STEP_BLOCKED, STATUS_BLOCKED, "No statement was submitted to the lakehouse.")),
+        F.when(~executed, _step(STEP_BLOCKED, STATUS_BLOCKED, BLOCKED_DETAIL)),
         F.when(executed, _step(STEP_EXECUTE, STATUS_COMPLETED, F.format_string(
-            "Invoked %s.%s with bound parameter target_id='%s'. Returned %d row(s) from the gold layer.",
-            F.lit(namespace), F.lit(SCORE_FUNCTION), F.col("target_id"), rows_returned))),
+            INVOKED_FORMAT, F.lit(namespace), F.lit(SCORE_FUNCTION), F.col("target_id"), rows_returned))),
         F.when(executed, _step(STEP_SYNTHESIS, STATUS_COMPLETED,
-               "Answer composed only from the returned rows and the fleet baseline.")),
+               SYNTHESIS_DETAIL)),
     ), lambda s: s.isNotNull())
 
     payload = F.when(found, F.struct(F.col("_cid").alias("customer_id"), "total_events", "total_anomalies",
                                      "mean_latency_ms", "risk_factor"))
     keep = [c for c in prompts.columns]
     return joined.select(
-        *keep, "target_id", "function", "has_sql", "allowed", "control", "detail",
+        *keep, "target_id", "function", F.col("params_json").alias("parameters"), "has_sql", "allowed", "control", "detail",
         executed.alias("executed"),
         F.when(executed, F.lit(OUTCOME_SUCCESS)).otherwise(F.lit(OUTCOME_REFUSED)).alias("status"),
         band.alias("verdict"),

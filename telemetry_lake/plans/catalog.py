@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..operators import analytics, dashboards, expectations, governance, knowledge, medallion, prompts
-from ..operators.partitioning import spread
 from ..session import scratch_path
-from ..sources import landing
+from ..sources import landing, tables
 from ..schemas import BRONZE_KEYED
 from ..functions import sql_functions
 from . import oracle
@@ -47,12 +46,6 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return medallion.gold(_silver(spark, sf_dir))
 
 
-def _heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table feeding CPU-heavy per-row work (tokenising, JSON, regex),
-    spread over the cores when it arrives in fewer partitions than that."""
-    return spread(adapters.read_table(spark, sf_dir, name))
-
-
 def _view(df: DataFrame, stem: str) -> str:
     name = f"{stem}_{uuid.uuid4().hex[:8]}"
     df.createOrReplaceTempView(name)
@@ -98,22 +91,45 @@ def anomaly_scores_all(spark, sf_dir):
     return _scores_out(analytics.scores(_gold(spark, sf_dir)))
 
 
+def _stored_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold published once, sorted by customer, and read back: what a lookup scans."""
+    root = scratch_path(spark, "gold")
+    tables.publish(_gold(spark, sf_dir), root, "gold_customer_analytics", sort_within=["customer_id"])
+    return tables.read_published(spark, root, "gold_customer_analytics")
+
+
 @register("anomaly_score_lookup", oracle.ANOMALY_SCORE_LOOKUP)
 def anomaly_score_lookup(spark, sf_dir):
-    return _scores_out(analytics.score_lookup(spark, _gold(spark, sf_dir), oracle.LOOKUP_ID))
+    """One id against stored gold: the equality reaches the scan, raw events are not read."""
+    return _scores_out(analytics.score_lookup(spark, _stored_gold(spark, sf_dir), oracle.LOOKUP_ID))
 
 
 @register("anomaly_score_hostile_id", oracle.ANOMALY_SCORE_HOSTILE_ID)
 def anomaly_score_hostile_id(spark, sf_dir):
-    return _scores_out(analytics.score_lookup(spark, _gold(spark, sf_dir), oracle.HOSTILE_ID))
+    return _scores_out(analytics.score_lookup(spark, _stored_gold(spark, sf_dir), oracle.HOSTILE_ID))
+
+
+def _score_requests(spark, sf_dir) -> DataFrame:
+    calls = adapters.calls_from_events(adapters.read_table(spark, sf_dir, "events"))
+    return (calls.where(F.col("function") == sql_functions.SCORE_FUNCTION)
+                 .select("call_id", F.get_json_object("params_json", "$.target_id").alias("target_id")))
+
+
+@register("anomaly_scores_governed", oracle.ANOMALY_SCORES_LATERAL)
+def anomaly_scores_governed(spark, sf_dir):
+    """The persistent governed function over a saved gold table, applied to every request."""
+    stem = uuid.uuid4().hex[:8]
+    (_gold(spark, sf_dir).sortWithinPartitions("customer_id").write
+     .option("path", scratch_path(spark, "saved-gold")).saveAsTable(f"gold_{stem}"))
+    fn = f"governed_score_{stem}"
+    sql_functions.register_score_function(spark, f"gold_{stem}", name=fn, temporary=False)
+    joined = sql_functions.lateral_scores(spark, _view(_score_requests(spark, sf_dir), "requests"), name=fn)
+    return joined.select("call_id", "customer_id", "total_events", "total_anomalies", _mean9(), "risk_factor")
 
 
 @register("anomaly_scores_lateral", oracle.ANOMALY_SCORES_LATERAL)
 def anomaly_scores_lateral(spark, sf_dir):
-    events = adapters.read_table(spark, sf_dir, "events")
-    calls = adapters.calls_from_events(events)
-    requests = (calls.where(F.col("function") == sql_functions.SCORE_FUNCTION)
-                     .select("call_id", F.get_json_object("params_json", "$.target_id").alias("target_id")))
+    requests = _score_requests(spark, sf_dir)
     gold_view = _view(_gold(spark, sf_dir), "gold")
     fn = f"score_{uuid.uuid4().hex[:8]}"
     sql_functions.register_score_function(spark, gold_view, name=fn)
@@ -158,7 +174,7 @@ def dashboard_kpis(spark, sf_dir):
 
 @register("latency_series", oracle.LATENCY_SERIES)
 def latency_series(spark, sf_dir):
-    return dashboards.latency_series(_frame(spark, sf_dir)).select("event_id", _ntz(), "latency")
+    return dashboards.latency_series(_frame(spark, sf_dir)).select("event_id", _ntz(), "latency", "rank")
 
 
 @register("top_customers_by_latency", oracle.TOP_CUSTOMERS_BY_LATENCY)
@@ -169,18 +185,18 @@ def top_customers_by_latency(spark, sf_dir):
 @register("recent_feed", oracle.RECENT_FEED)
 def recent_feed(spark, sf_dir):
     return dashboards.recent_feed(_frame(spark, sf_dir)).select(
-        "event_id", _ntz(), "customer_id", "event_type", "latency", "is_pii")
+        "event_id", _ntz(), "customer_id", "event_type", "latency", "is_pii", "rank")
 
 
 @register("governance_decisions", oracle.GOVERNANCE_DECISIONS)
 def governance_decisions(spark, sf_dir):
-    calls = adapters.calls_from_events(_heavy(spark, sf_dir, "events"))
+    calls = adapters.calls_from_events(adapters.read_table(spark, sf_dir, "events"))
     decided = governance.decide(calls, governance.registry_frame(spark))
     return decided.select("call_id", "function", "allowed", "control")
 
 
 def _prompts(spark, sf_dir):
-    return adapters.prompts_from_events(_heavy(spark, sf_dir, "events"))
+    return adapters.prompts_from_events(adapters.read_table(spark, sf_dir, "events"))
 
 
 @register("prompt_intents", oracle.PROMPT_INTENTS)
@@ -188,6 +204,13 @@ def prompt_intents(spark, sf_dir):
     return prompts.resolve_intents(_prompts(spark, sf_dir)).select("prompt_id", "target_id", "function", "has_sql")
 
 
+@register("conversation_intents", oracle.CONVERSATION_INTENTS)
+def conversation_intents(spark, sf_dir):
+    """Intent resolution over free text: every turn of every conversation."""
+    turns = adapters.read_table(spark, sf_dir, "conversations")
+    return prompts.resolve_intents(turns, "text").select("conv_id", "turn", "target_id", "function", "has_sql")
+
+
 def _routed(spark, sf_dir):
     silver = _silver(spark, sf_dir)
     return prompts.route(_prompts(spark, sf_dir), medallion.gold(silver), analytics.fleet_context(silver),
@@ -203,42 +226,53 @@ def prompt_answers(spark, sf_dir):
                     F.size("trace").alias("trace_steps"))
 
 
-@register("prompt_audit_records")
+@register("prompt_audit_records", oracle.PROMPT_AUDIT_RECORDS)
 def prompt_audit_records(spark, sf_dir):
-    """Answer text, decision record and ordered trace (rows-only: prose)."""
+    """Answer text, complete decision record and ordered trace, written to the audit table and read back."""
     r = _routed(spark, sf_dir)
-    return r.select("prompt_id", "prompt", "status", "answer",
-                    F.struct("allowed", "control", "detail", "function").alias("governance"),
-                    "payload", "executed", "trace", "serving_mode")
+    path = scratch_path(spark, "audit")
+    governance.write_audit(r.select(
+        "prompt_id", "prompt", "status", "answer", "allowed", "control", "detail", "function", "parameters", "executed",
+        F.array_join(F.transform("trace", lambda t: F.concat_ws(" | ", t["step"], t["status"], t["detail"])), "\n")
+        .alias("trace"), "serving_mode"), path)
+    return spark.read.parquet(path).select(
+        "prompt_id", "prompt", "status", "answer", "allowed", "control", "detail", "function", "parameters", "executed",
+        "trace", "serving_mode", F.col("audited_at").isNotNull().alias("audited"))
+
 
+def _snapshots(spark, sf_dir):
+    return adapters.knowledge_snapshots(adapters.read_table(spark, sf_dir, "documents"))
 
-def _snapshots(spark, sf_dir, heavy=True):
-    read = _heavy if heavy else adapters.read_table
-    return adapters.knowledge_snapshots(read(spark, sf_dir, "documents"))
+
+def _shape(vector: str = "embedding") -> list:
+    """What a vector's oracle can tell: its dimension and its length."""
+    square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return [F.size(vector).alias("dimension"), F.round(F.sqrt(square), 4).alias("norm")]
 
 
 @register("knowledge_sync_plan", oracle.KNOWLEDGE_SYNC_PLAN)
 def knowledge_sync_plan(spark, sf_dir):
     """Plan the sync of an index built from the old snapshot against the new one."""
-    old, new = _snapshots(spark, sf_dir, heavy=False)  # hashing only: no need to move the text
+    old, new = _snapshots(spark, sf_dir)
     index = knowledge.sync_plan(None, old).select("id", "text_hash")
     return knowledge.sync_plan(index, new).select("id", "op")
 
 
-@register("knowledge_embeddings")
+@register("knowledge_embeddings", oracle.KNOWLEDGE_EMBEDDINGS)
 def knowledge_embeddings(spark, sf_dir):
-    """Default embedder over every knowledge chunk (rows-only: feature hashing has no SQL twin)."""
-    src = adapters.knowledge_source(_heavy(spark, sf_dir, "documents"))
-    return knowledge.embed(src).select("id", "embedding")
+    """Default embedder over every knowledge chunk."""
+    src = adapters.knowledge_source(adapters.read_table(spark, sf_dir, "documents"))
+    return knowledge.embed(src).select("id", *_shape())
 
 
-@register("knowledge_index_sync")
+@register("knowledge_index_sync", oracle.KNOWLEDGE_INDEX_SYNC)
 def knowledge_index_sync(spark, sf_dir):
-    """Apply a sync: keep unchanged vectors, embed only inserts and updates."""
+    """The sync job twice: it creates the index from the old snapshot, then brings it up to the new one."""
     old, new = _snapshots(spark, sf_dir)
-    first = knowledge.apply_sync(None, knowledge.sync_plan(None, old))
-    plan = knowledge.sync_plan(first, new)
-    return knowledge.apply_sync(first, plan).select("id", "text_hash", "embedding")
+    root = scratch_path(spark, "index")
+    knowledge.sync_index(spark, old, root)
+    knowledge.sync_index(spark, new, root)
+    return tables.read_published(spark, root, "knowledge_index").select("id", "text_hash", *_shape())
 
 
 @register("vector_topk", oracle.VECTOR_TOPK)
@@ -252,44 +286,72 @@ def vector_topk(spark, sf_dir):
     return hits.select("query_label", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _land_in_chunks(spark, sf_dir, path, edges=(10, 20)):
-    """Land the adapter rows as NDJSON in arrival order: one append per
-    stretch of days, so a stream sees several generations of files."""
-    events = adapters.read_table(spark, sf_dir, "events")
-    day = F.dayofmonth("ts")
-    bounds = [0, *edges, 32]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = events.where((day > lo) & (day <= hi))
-        landing.write_events(adapters.bronze_from_events(part), path, mode="append")
-    return path
+def _backdate(spark, folder: str, days: int = 30) -> None:
+    """Give the files of a folder an old modification time, as copied or late files have."""
+    fs, path, jvm = tables._fs(spark, folder)
+    old = jvm.System.currentTimeMillis() - days * 86_400_000
+    for status in fs.listStatus(path):
+        fs.setTimes(status.getPath(), old, -1)
+
+
+def _malformed(events: DataFrame) -> DataFrame:
+    """A cut-off line for every 101st event and a blank line for every 103rd."""
+    k = F.col("event_id")
+    return (events.where((k % 101 == 0) | (k % 103 == 0))
+            .select(F.when(k % 101 == 0, F.concat(F.lit('{"event_id": '), k.cast("string"), F.lit(', "customer_id"')))
+                    .otherwise(F.lit("")).alias("value")))
+
+
+def _land_chunk(spark, sf_dir, zone: str, number: int, chunks: int = 3) -> None:
+    """Append one chunk of the events (by event id), with malformed and blank lines, to a folder of the zone."""
+    events = adapters.read_table(spark, sf_dir, "events").where(F.pmod("event_id", F.lit(chunks)) == number)
+    folder = f"{zone}/chunk={number}"
+    landing.write_events(adapters.bronze_from_events(events), folder, mode="append")
+    _malformed(events).write.mode("append").text(folder)
 
 
 def _streamed_medallion(spark, sf_dir):
+    """Two runs of the streams; the second finds files that are older than all files of the first."""
     from ..streaming import ingest
     root = scratch_path(spark, "stream")
-    zone = _land_in_chunks(spark, sf_dir, f"{root}/landing")
-    ingest.run_available_now(spark, zone, root, schema=BRONZE_KEYED)
+    zone = f"{root}/landing"
+    _land_chunk(spark, sf_dir, zone, 0)
+    _land_chunk(spark, sf_dir, zone, 1)
+    ingest.run_available_now(spark, f"{zone}/*", root, schema=BRONZE_KEYED)
+    _land_chunk(spark, sf_dir, zone, 2)
+    _backdate(spark, f"{zone}/chunk=2")
+    ingest.run_available_now(spark, f"{zone}/*", root, schema=BRONZE_KEYED)
     return root
 
 
 @register("streaming_silver", oracle.STREAMING_SILVER)
 def streaming_silver(spark, sf_dir):
-    """Silver produced by the availableNow streams (ingest_time dropped)."""
+    """Silver produced by the availableNow streams; every row has the time of its batch."""
     root = _streamed_medallion(spark, sf_dir)
     s = spark.read.parquet(f"{root}/silver")
     return s.select("event_id", "customer_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"),
-                    "timestamp_date", "event_type", "latency_ms", "is_pii", "masked_payload")
+                    "timestamp_date", "event_type", "latency_ms", "is_pii", "masked_payload",
+                    F.col("ingest_time").isNotNull().alias("has_ingest_time"))
+
+
+@register("streaming_quarantine", oracle.STREAMING_QUARANTINE)
+def streaming_quarantine(spark, sf_dir):
+    """What the streams did not keep: rows that failed a rule and malformed lines with their text."""
+    root = _streamed_medallion(spark, sf_dir)
+    return spark.read.parquet(f"{root}/rejected").select(
+        "kind", "event_id", "customer_id", "event_type", "failed_rules", "raw_line",
+        F.col("masked_payload").isNotNull().alias("has_payload"))
 
 
 @register("batch_refresh_gold", oracle.BATCH_REFRESH_GOLD)
 def batch_refresh_gold(spark, sf_dir):
     """Full batch refresh from an NDJSON landing zone; gold read back from
     its published version."""
-    from ..sources import tables
     from .refresh import refresh
     root = scratch_path(spark, "refresh")
-    zone = _land_in_chunks(spark, sf_dir, f"{root}/landing")
-    refresh(spark, zone, root, schema=BRONZE_KEYED)
+    for number in range(3):
+        _land_chunk(spark, sf_dir, f"{root}/landing", number)
+    refresh(spark, f"{root}/landing", root, schema=BRONZE_KEYED)
     g = tables.read_published(spark, root, "gold_customer_analytics")
     return g.select("customer_id", "total_events", _mean9(), "total_anomalies")
 
@@ -297,7 +359,6 @@ def batch_refresh_gold(spark, sf_dir):
 @register("streaming_gold_refresh", oracle.STREAMING_GOLD_REFRESH)
 def streaming_gold_refresh(spark, sf_dir):
     """Gold republished from the streamed silver table."""
-    from ..sources import tables
     root = _streamed_medallion(spark, sf_dir)
     g = tables.read_published(spark, root, "gold_customer_analytics")
     return g.select("customer_id", "total_events", _mean9(), "total_anomalies")
@@ -305,24 +366,24 @@ def streaming_gold_refresh(spark, sf_dir):
 
 @register("schema_evolution", oracle.SCHEMA_EVOLUTION)
 def schema_evolution(spark, sf_dir):
-    """Later files add a top-level and a nested field; the stored schema is
-    widened (add-new-columns) and old rows read the new fields as NULL."""
+    """Later, older-dated files add a top-level and a nested field and hold decimals where whole numbers were: the
+    stored schema is widened, and earlier rows read the new fields as NULL."""
     from ..streaming import ingest
     root = scratch_path(spark, "evolve")
     zone = f"{root}/landing"
     events = adapters.read_table(spark, sf_dir, "events")
-    day = F.dayofmonth("ts")
-    landing.write_events(adapters.bronze_from_events(events.where(day <= 15)), zone)
-    first, _ = ingest.evolve_schema(spark, zone, f"{root}/_schema")
-    later = events.where(day > 15)
-    grown = adapters.bronze_from_events(later).join(
-        later.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("session_key"),
-                     F.floor(F.col("user_id") / 100).cast("bigint").alias("user_bucket")), "event_id")
-    grown = grown.select("event_id", "customer_id", "timestamp", "event_type",
-                         F.struct("context.latency", "context.pii", "user_bucket").alias("context"),
-                         "payload", "session_key")
-    landing.write_events(grown, zone)
-    merged, _ = ingest.evolve_schema(spark, zone, f"{root}/_schema")
-    df = landing.read_landing(spark, zone, merged, mode="FAILFAST")
-    return df.select("event_id", "customer_id", "event_type", F.col("context.latency").alias("latency"),
-                     "session_key", F.col("context.user_bucket").alias("user_bucket"))
+    parity = F.pmod("event_id", F.lit(2))
+    early, later = events.where(parity == 0), events.where(parity == 1)
+    amount = F.col("context.latency")
+    landing.write_events(adapters.bronze_from_events(early).withColumn("amount", F.floor(amount).cast("bigint")),
+                         f"{zone}/early")
+    ingest.evolve_schema(spark, f"{zone}/*", f"{root}/_schema")
+    grown = adapters.bronze_from_events(later).withColumns({
+        "amount": amount, "session_key": F.get_json_object("payload", "$.k").cast("bigint"),
+        "context": F.struct("context.latency", "context.pii", (F.col("event_id") % 10).alias("digit"))})
+    landing.write_events(grown, f"{zone}/later")
+    _backdate(spark, f"{zone}/later")
+    merged, _, _ = ingest.evolve_schema(spark, f"{zone}/*", f"{root}/_schema")
+    df = landing.read_landing(spark, zone, merged, mode="FAILFAST", recursive=True)
+    return df.select("event_id", "customer_id", "event_type", F.col("context.latency").alias("latency"), "amount",
+                     "session_key", F.col("context.digit").alias("digit"))

@@ -7,7 +7,10 @@ rounding (2 decimals) on both sides, taken from the 9-decimal value so a
 mean that is exactly a tie rounds the same way whatever the merge order.
 """
 
-EVENT_TYPES_SQL = "('click', 'purchase', 'search', 'error')"
+from .. import constants as C
+from ..operators.knowledge import DEFAULT_DIM
+
+EVENT_TYPES_SQL = "(" + ", ".join(f"'{t}'" for t in C.VALID_EVENT_TYPES) + ")"
 
 BRONZE_CTE = """bronze AS (
   SELECT event_id,
@@ -147,7 +150,7 @@ SELECT COUNT(*) AS total_events,
 FROM silver s CROSS JOIN baseline b""")
 
 KNOWN_CUSTOMERS = with_ctes(*MEDALLION, body="""
-SELECT customer_id, total_events,
+SELECT customer_id, total_events, total_anomalies,
        ROW_NUMBER() OVER (ORDER BY total_events DESC, customer_id) AS rank
 FROM gold""")
 
@@ -168,7 +171,9 @@ SELECT COUNT(*) AS total_events,
 FROM frame f CROSS JOIN t""")
 
 LATENCY_SERIES = with_ctes(BRONZE_CTE, FRAME_CTE, body="""
-SELECT event_id, "timestamp", latency FROM frame""")
+SELECT event_id, "timestamp", latency,
+       ROW_NUMBER() OVER (ORDER BY "timestamp" NULLS FIRST, event_id, latency) AS rank
+FROM frame""")
 
 TOP_CUSTOMERS_BY_LATENCY = with_ctes(BRONZE_CTE, FRAME_CTE, body="""
 SELECT customer_id, events, mean_latency_ms,
@@ -178,13 +183,20 @@ FROM (SELECT customer_id, COUNT(latency) AS events, ROUND(ROUND(AVG(latency), 9)
 QUALIFY rank <= 10""")
 
 RECENT_FEED = with_ctes(BRONZE_CTE, FRAME_CTE, body="""
-SELECT event_id, "timestamp", customer_id, event_type, latency, is_pii
-FROM frame ORDER BY "timestamp" DESC, event_id DESC LIMIT 10""")
+SELECT event_id, "timestamp", customer_id, event_type, latency, is_pii,
+       ROW_NUMBER() OVER (ORDER BY "timestamp" DESC NULLS LAST, event_id DESC) AS rank
+FROM frame QUALIFY rank <= 10""")
 
 # --- governance ---------------------------------------------------------------
-BOUNDARY_SQL_RE = r"\b(select|insert|update|delete|drop|alter|create|truncate|grant|revoke|union|exec|execute)\b|--|;|/\*"
-PROMPT_SQL_RE = r"\b(select|insert|update|delete|drop|alter|create|truncate|grant|revoke)\b"
-MENTION_RE = r"\bCUST[_\-\s]?(\d{3})\b"
+def _words(words, symbols=()) -> str:
+    """The token pattern in RE2's spelling: words between boundaries, symbols as they are."""
+    marks = [m.replace("*", "\\*") for m in symbols]
+    return "|".join([rf"\b({'|'.join(words)})\b", *marks])
+
+
+BOUNDARY_SQL_RE = _words(C.BOUNDARY_SQL_WORDS, C.BOUNDARY_SQL_SYMBOLS)
+PROMPT_SQL_RE = _words(C.PROMPT_SQL_WORDS)
+MENTION_RE = C.CUSTOMER_MENTION_PATTERN
 
 GOVERNANCE_DECISIONS = with_ctes(CALLS_CTE, body=f"""
 , parsed AS (
@@ -232,6 +244,15 @@ INTENTS_CTE = f"""intents AS (
   FROM prompts
 )"""
 
+CONVERSATION_INTENTS = f"""
+WITH prompts AS (SELECT conv_id, turn, text AS prompt FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN regexp_matches(prompt, '{MENTION_RE}', 'i')
+            THEN 'CUST_' || regexp_extract(prompt, '{MENTION_RE}', 1, 'i') END AS target_id,
+       CASE WHEN regexp_matches(prompt, '{MENTION_RE}', 'i') THEN '{C.SCORE_FUNCTION}' END AS function,
+       COALESCE(regexp_matches(prompt, '{PROMPT_SQL_RE}', 'i'), false) AS has_sql
+FROM prompts"""
+
 PROMPT_INTENTS = with_ctes(PROMPTS_CTE, INTENTS_CTE, body="""
 SELECT prompt_id, target_id,
        CASE WHEN target_id IS NOT NULL THEN 'get_customer_anomaly_score' END AS function, has_sql
@@ -264,6 +285,57 @@ FROM decided d
 LEFT JOIN scores s ON d.allowed AND s.customer_id = d.target_id
 CROSS JOIN fleet f""")
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _printf(fmt: str, *args: str) -> str:
+    return f"printf({', '.join([_text(fmt), *args])})"
+
+
+_GRANTED = _printf(C.GRANTED_FORMAT, _text(f"{C.DEFAULT_NAMESPACE}.{C.SCORE_FUNCTION}"))
+_DENIED = _printf(C.NO_GRANT_FORMAT, "'None'", _text(C.DEFAULT_NAMESPACE), _text(f"['{C.SCORE_FUNCTION}']"))
+_ANSWER = _printf(
+    C.ANSWER_FORMAT.replace("%,d", "%s"), "target_id", "verdict", "format('{:,}', total_events)",
+    "format('{:,}', total_anomalies)", "ft", "risk_factor", "mean", "fm", "CASE WHEN fm <> 0 THEN mean / fm ELSE 0.0 END")
+
+
+def _step(step: str, status: str, detail: str) -> str:
+    return f"'{step}' || ' | ' || {status} || ' | ' || {detail}"
+
+
+_TRACE = f"""concat_ws(chr(10),
+  {_step(C.STEP_INTENT, f"CASE WHEN target_id IS NOT NULL THEN '{C.STATUS_SUCCESS}' ELSE '{C.STATUS_NO_MATCH}' END",
+         f"CASE WHEN target_id IS NOT NULL THEN {_printf(C.MATCH_FORMAT, 'target_id')} ELSE {_text(C.NO_MATCH_FORMAT % C.SCORE_FUNCTION)} END")},
+  CASE WHEN has_sql THEN {_step(C.STEP_SANITISE, _text(C.STATUS_NEUTRALISED), _text(C.SANITISED_DETAIL))} END,
+  {_step(C.STEP_BOUNDARY, f"CASE WHEN allowed THEN '{C.STATUS_GRANTED}' ELSE '{C.STATUS_DENIED}' END", "detail")},
+  CASE WHEN NOT allowed THEN {_step(C.STEP_BLOCKED, _text(C.STATUS_BLOCKED), _text(C.BLOCKED_DETAIL))} END,
+  CASE WHEN allowed THEN {_step(C.STEP_EXECUTE, _text(C.STATUS_COMPLETED), _printf(
+      C.INVOKED_FORMAT, _text(C.DEFAULT_NAMESPACE), _text(C.SCORE_FUNCTION), "target_id",
+      "CASE WHEN customer_id IS NULL THEN 0 ELSE 1 END"))} END,
+  CASE WHEN allowed THEN {_step(C.STEP_SYNTHESIS, _text(C.STATUS_COMPLETED), _text(C.SYNTHESIS_DETAIL))} END)"""
+
+PROMPT_AUDIT_RECORDS = with_ctes(*MEDALLION, SCORES_CTE, PROMPTS_CTE, INTENTS_CTE, FLEET_CTE, body=f"""
+, decided AS (
+  SELECT *, COALESCE(target_id IS NOT NULL AND regexp_full_match(target_id, 'CUST_\\d{{3}}'), false) AS allowed FROM intents
+), joined AS (
+  SELECT d.*, s.customer_id, s.total_events, s.total_anomalies, s.risk_factor,
+         ROUND(ROUND(s.mean_latency_ms, 9), 2) AS mean, f.fm, f.ft,
+         CASE WHEN s.risk_factor >= {C.VERDICT_HIGH_RISK} THEN '{C.VERDICT_HIGH}'
+              WHEN s.risk_factor > 0 THEN '{C.VERDICT_SOME}' ELSE '{C.VERDICT_NONE}' END AS verdict,
+         CASE WHEN d.allowed THEN {_GRANTED} ELSE {_DENIED} END AS detail
+  FROM decided d LEFT JOIN scores s ON d.allowed AND s.customer_id = d.target_id CROSS JOIN fleet f
+)
+SELECT prompt_id, prompt, CASE WHEN allowed THEN '{C.OUTCOME_SUCCESS}' ELSE '{C.OUTCOME_REFUSED}' END AS status,
+       CASE WHEN NOT allowed THEN {_printf(C.REFUSAL_FORMAT, _text(C.CONTROL_GRANT), "detail")}
+            WHEN customer_id IS NULL THEN {_text(C.UNKNOWN_CUSTOMER_ANSWER)}
+            ELSE {_ANSWER} END AS answer,
+       allowed, '{C.CONTROL_GRANT}' AS control, detail,
+       CASE WHEN target_id IS NOT NULL THEN '{C.SCORE_FUNCTION}' END AS function,
+       CASE WHEN target_id IS NOT NULL THEN '{{"{C.SCORE_PARAMETER}":"' || target_id || '"}}' ELSE '{{}}' END AS parameters,
+       allowed AS executed, {_TRACE} AS trace, '{C.SERVING_MODE}' AS serving_mode, true AS audited
+FROM joined""")
+
 # --- knowledge index ------------------------------------------------------------
 KNOWLEDGE_SYNC_PLAN = """
 WITH old AS (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0),
@@ -275,6 +347,14 @@ SELECT COALESCE(n.id, o.id) AS id,
             WHEN o.h <> n.h THEN 'update' ELSE 'keep' END AS op
 FROM old o FULL OUTER JOIN new n ON o.id = n.id"""
 
+_SHAPE = f"""{DEFAULT_DIM} AS dimension,
+       CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]') THEN 1.0 ELSE 0.0 END AS norm"""
+KNOWLEDGE_EMBEDDINGS = f"SELECT doc_id AS id, {_SHAPE} FROM documents"
+KNOWLEDGE_INDEX_SYNC = f"""
+SELECT id, sha256(text) AS text_hash, {_SHAPE}
+FROM (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 2 THEN text || ' (rev 2)' ELSE text END AS text
+      FROM documents WHERE doc_id % 10 <> 1)"""
+
 VECTOR_TOPK = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 dims AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
@@ -287,20 +367,31 @@ FROM scored
 QUALIFY rank <= 3"""
 
 # --- streaming (same answers as the batch forms) -------------------------------
-STREAMING_SILVER = SILVER_TELEMETRY
+STREAMING_SILVER = with_ctes(BRONZE_CTE, SILVER_CTE, body="""
+SELECT event_id, customer_id, event_time, timestamp_date, event_type, latency_ms, is_pii, masked_payload,
+       true AS has_ingest_time
+FROM silver""")
 STREAMING_GOLD_REFRESH = GOLD_CUSTOMER_ANALYTICS
 BATCH_REFRESH_GOLD = GOLD_CUSTOMER_ANALYTICS
 
-SCHEMA_EVOLUTION = with_ctes(BRONZE_CTE, body="""
-, src AS (
-  SELECT e.event_id, e.ts, e.user_id, e.props, b.customer_id, b.event_type, b.latency
-  FROM bronze b JOIN events e USING (event_id)
-), first_files AS (
-  SELECT event_id, customer_id, event_type, latency FROM src WHERE day(ts) <= 15
-), later_files AS (
-  SELECT event_id, customer_id, event_type, latency,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS session_key,
-         user_id // 100 AS user_bucket
-  FROM src WHERE day(ts) > 15
+STREAMING_QUARANTINE = with_ctes(BRONZE_CTE, body=f"""
+, rejected AS (
+  SELECT event_id, customer_id, event_type, payload,
+         concat_ws(',', CASE WHEN NOT COALESCE(customer_id IS NOT NULL, false) THEN 'valid_customer_id' END,
+                   CASE WHEN NOT COALESCE(event_type IN {EVENT_TYPES_SQL}, false) THEN 'valid_event_type' END) AS failed_rules
+  FROM bronze
 )
-SELECT * FROM first_files UNION ALL BY NAME SELECT * FROM later_files""")
+SELECT 'quarantine' AS kind, event_id, customer_id, event_type, failed_rules, CAST(NULL AS VARCHAR) AS raw_line,
+       payload IS NOT NULL AS has_payload
+FROM rejected WHERE failed_rules <> ''
+UNION ALL
+SELECT 'corrupt' AS kind, NULL AS event_id, NULL AS customer_id, NULL AS event_type, NULL AS failed_rules,
+       '{{"event_id": ' || event_id || ', "customer_id"' AS raw_line, false AS has_payload
+FROM events WHERE event_id % 101 = 0""")
+
+SCHEMA_EVOLUTION = with_ctes(BRONZE_CTE, body="""
+SELECT event_id, customer_id, event_type, latency,
+       CASE WHEN event_id % 2 = 0 THEN floor(latency) ELSE latency END AS amount,
+       CASE WHEN event_id % 2 = 1 THEN CAST(json_extract_string(payload, '$.k') AS BIGINT) END AS session_key,
+       CASE WHEN event_id % 2 = 1 THEN event_id % 10 END AS digit
+FROM bronze""")

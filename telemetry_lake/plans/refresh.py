@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import ANOMALY_SIGMA
+from ..functions.expressions import masked_payload
 from ..operators import expectations as ex
 from ..operators import medallion
 from ..schemas import BRONZE
@@ -46,13 +47,19 @@ def refresh(spark: SparkSession, landing_dir: str, root: str, *, schema: T.Struc
     drop_rules = [r for r in rules if r.action == "drop"]
     if drop_rules:
         q = ex.quarantine(bronze, drop_rules)
+        keep = [c for c in ("event_id", "customer_id", "timestamp", "event_type") if c in q.columns]
         versions["quarantine"] = tables.publish(
-            q.withColumn("failed_rules", F.array_join("failed_rules", ",")), root, "silver_quarantine",
-            comment="Rows removed by drop expectations, with the rules they failed.")
+            q.select(*keep, masked_payload(F.col("context.pii"), F.col("payload"), True).alias("masked_payload"),
+                     F.array_join("failed_rules", ",").alias("failed_rules")),
+            root, "silver_quarantine",
+            comment="Rows removed by drop expectations, with the rules they failed; payload masked.")
 
     silver = tables.read_published(spark, root, "silver_telemetry_cleaned")
+    versions["baseline"] = tables.publish(medallion.baseline(silver, sigma), root, "population_baseline",
+                                          comment="Population mean, deviation and anomaly threshold: one row.")
+    threshold = tables.read_published(spark, root, "population_baseline").select("anomaly_threshold_ms").scalar()
     versions["gold"] = tables.publish(
-        medallion.gold(silver, sigma), root, "gold_customer_analytics", sort_within=["customer_id"],
+        medallion.gold(silver, sigma, threshold), root, "gold_customer_analytics", sort_within=["customer_id"],
         comment="Per-customer totals, mean latency and anomalies against the population threshold.",
         properties={"quality": "gold", "sigma": str(sigma)})
     return {"versions": versions, "expectations": obs.get}

@@ -17,13 +17,6 @@ BRONZE = T.StructType([
 # Bronze as produced by the test-data adapter: the event key rides along.
 BRONZE_KEYED = T.StructType([T.StructField("event_id", T.LongType(), True)] + BRONZE.fields)
 
-SILVER_COLUMNS = ("customer_id", "event_time", "timestamp_date", "event_type",
-                  "latency_ms", "is_pii", "masked_payload")
-GOLD_COLUMNS = ("customer_id", "total_events", "mean_latency_ms", "total_anomalies")
-SCORE_COLUMNS = ("customer_id", "total_events", "total_anomalies", "mean_latency_ms", "risk_factor")
-FLEET_COLUMNS = ("total_events", "mean_latency_ms", "total_anomalies", "distinct_customers",
-                 "anomaly_threshold_ms")
-
 # Governed-function result, as declared by the table function.
 SCORE_TABLE_DDL = ("customer_id STRING, total_events BIGINT, total_anomalies BIGINT, "
                    "mean_latency_ms DOUBLE, risk_factor DOUBLE")
@@ -45,9 +38,3 @@ REGISTRY = T.StructType([
     T.StructField("required", T.BooleanType(), False),
     T.StructField("param_description", T.StringType(), True),
 ])
-
-TRACE_STEP = T.StructType([
-    T.StructField("step", T.StringType(), False),
-    T.StructField("status", T.StringType(), False),
-    T.StructField("detail", T.StringType(), True),
-])

@@ -5,8 +5,8 @@
 * ``read_landing``       pinned-schema scan; blank lines skipped; malformed
                          lines kept in ``_corrupt_record`` (PERMISSIVE) or
                          fatal (FAILFAST) (SRC-1, FLT-P5, D18)
-* ``infer_schema``       one inference pass, result stored and reused (SRC-3)
-* ``merge_schema``       add-new-columns evolution (SRC-4)
+* ``infer_schema``       one inference pass over given files (SRC-3)
+* ``merge_schema``       add-new-columns and widen-types evolution (SRC-4)
 * ``dashboard_frame``    flattened view used by the dashboards (SRC-8)
 """
 
@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from ..schemas import BRONZE
+from .tables import _fs
 
 CORRUPT = "_corrupt_record"
 
@@ -32,23 +32,27 @@ def write_events(df: DataFrame, path: str, mode: str = "append", compression: st
 
 
 def require_landing(spark: SparkSession, path: str) -> None:
-    """Raise ``FileNotFoundError`` when ``path`` is missing or holds no files."""
-    try:
-        files = spark.read.format("text").load(path).inputFiles()
-    except AnalysisException as exc:
-        raise FileNotFoundError(f"No telemetry found in {path}: {exc.getMessage() if hasattr(exc, 'getMessage') else exc}") from exc
-    if not files:
-        raise FileNotFoundError(f"No telemetry found in {path}: the landing zone is empty")
-
-
-def _with_corrupt(schema: T.StructType) -> T.StructType:
+    """Raise ``FileNotFoundError`` when ``path`` is missing or holds no files (stops at the first file found)."""
+    fs, p, _ = _fs(spark, path)
+    folders = [s.getPath() for s in (fs.globStatus(p) or [])]
+    if not folders:
+        raise FileNotFoundError(f"No telemetry found in {path}: no such folder")
+    for folder in folders:
+        files = fs.listFiles(folder, True)
+        while files.hasNext():
+            if not files.next().getPath().getName().startswith(("_", ".")):
+                return
+    raise FileNotFoundError(f"No telemetry found in {path}: the landing zone is empty")
+
+
+def with_corrupt(schema: T.StructType) -> T.StructType:
     if CORRUPT in schema.fieldNames():
         return schema
     return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
 def read_landing(spark: SparkSession, path: str, schema: T.StructType = BRONZE, *,
-                 mode: str = "PERMISSIVE", check: bool = True) -> DataFrame:
+                 mode: str = "PERMISSIVE", check: bool = True, recursive: bool = True) -> DataFrame:
     """Scan the landing zone with a pinned schema.
 
     PERMISSIVE keeps malformed lines as rows whose ``_corrupt_record`` holds
@@ -57,9 +61,9 @@ def read_landing(spark: SparkSession, path: str, schema: T.StructType = BRONZE,
     """
     if check:
         require_landing(spark, path)
-    reader = spark.read.option("mode", mode)
+    reader = spark.read.option("mode", mode).option("recursiveFileLookup", str(recursive).lower())
     if mode == "PERMISSIVE":
-        schema = _with_corrupt(schema)
+        schema = with_corrupt(schema)
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     return reader.schema(schema).json(path)
 
@@ -77,42 +81,51 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def infer_schema(spark: SparkSession, path: str, sampling_ratio: float = 1.0,
-                 modified_after: str | None = None) -> T.StructType:
-    """Infer the landing schema (a sampled pass); store and reuse it.
-
-    ``modified_after`` (``YYYY-MM-DDTHH:mm:ss``, session time zone) limits the
-    pass to files landed since then; no such file gives an empty schema.
-    """
-    reader = spark.read.option("samplingRatio", sampling_ratio).option("mode", "DROPMALFORMED")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    try:
-        df = reader.json(path)
-    except AnalysisException:
-        if modified_after:  # nothing new to look at
-            return T.StructType([])
-        raise
+def infer_schema(spark: SparkSession, paths) -> T.StructType:
+    """The schema of all lines of the given files or folder; malformed lines add nothing."""
+    df = spark.read.option("mode", "DROPMALFORMED").json(paths)
     return T.StructType([f for f in df.schema.fields if f.name != CORRUPT])
 
 
+def widen(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds both: structs and arrays by part, numbers as double, anything else as text."""
+    if a == b:
+        return a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return merge_schema(a, b)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(widen(a.elementType, b.elementType), True)
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.LongType() if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType) else T.DoubleType()
+    return T.StringType()
+
+
 def merge_schema(stored: T.StructType, incoming: T.StructType) -> T.StructType:
-    """Add-new-columns evolution: keep every stored field and its type, append
-    fields that only the incoming schema has (recursively inside structs).
-    New fields are nullable, so older rows read them as NULL."""
+    """Keep every stored field in its place, widen its type to hold what the
+    incoming schema has under that name, and append fields that only the
+    incoming schema has.  All fields are nullable, so older rows read new
+    fields as NULL."""
     by_name = {f.name: f for f in incoming.fields}
-    fields = []
-    for f in stored.fields:
-        new = by_name.get(f.name)
-        if new is not None and isinstance(f.dataType, T.StructType) and isinstance(new.dataType, T.StructType):
-            fields.append(T.StructField(f.name, merge_schema(f.dataType, new.dataType), True))
-        else:
-            fields.append(f)
+    fields = [T.StructField(f.name, widen(f.dataType, by_name[f.name].dataType) if f.name in by_name else f.dataType, True)
+              for f in stored.fields]
     known = set(stored.fieldNames())
     fields += [T.StructField(f.name, f.dataType, True) for f in incoming.fields if f.name not in known]
     return T.StructType(fields)
 
 
+def widened_columns(stored: T.StructType, merged: T.StructType, prefix: str = "") -> list[str]:
+    """``name: old -> new`` of the stored fields whose type changed."""
+    out = []
+    new = {f.name: f.dataType for f in merged.fields}
+    for f in stored.fields:
+        t = new[f.name]
+        if isinstance(f.dataType, T.StructType) and isinstance(t, T.StructType):
+            out += widened_columns(f.dataType, t, f"{prefix}{f.name}.")
+        elif f.dataType.simpleString() != t.simpleString():
+            out.append(f"{prefix}{f.name}: {f.dataType.simpleString()} -> {t.simpleString()}")
+    return out
+
+
 def added_columns(stored: T.StructType, merged: T.StructType, prefix: str = "") -> list[str]:
     """Dotted names present in ``merged`` but not in ``stored``."""
     out = []
@@ -126,14 +139,6 @@ def added_columns(stored: T.StructType, merged: T.StructType, prefix: str = "")
     return out
 
 
-def read_evolving(spark: SparkSession, path: str, stored: T.StructType | None,
-                  sampling_ratio: float = 1.0) -> tuple[DataFrame, T.StructType]:
-    """Read the zone with the stored schema widened by whatever new files add."""
-    incoming = infer_schema(spark, path, sampling_ratio)
-    merged = incoming if stored is None else merge_schema(stored, incoming)
-    return read_landing(spark, path, merged, check=False), merged
-
-
 def dashboard_frame(bronze: DataFrame) -> DataFrame:
     """Flatten bronze for dashboards: missing latency is 0, missing pii is
     false, the ISO timestamp is parsed.  No expectation is applied."""

@@ -1,17 +1,22 @@
 """Incremental medallion ingestion with Structured Streaming.
 
 * landing NDJSON -> bronze Parquet: file source with a pinned schema, each
-  file processed once (checkpointed file log), ``trigger(availableNow)``
-  (STR-1, SRC-2)
-* bronze Parquet -> silver Parquet: the same ``silver`` function on the
-  streaming DataFrame, append mode, partitioned by date; expectations run
-  inside the stream and their counts are observed per micro-batch
-  (STR-2, STR-3, SRC-6, SCL-7)
+  file processed once (checkpointed file log), ``trigger(availableNow)``;
+  a malformed line becomes a bronze row that keeps its text (STR-1, SRC-2)
+* bronze -> silver: the same ``silver`` function on the streaming DataFrame,
+  append mode, partitioned by date; ``fail`` rules abort the stream
+  (STR-2, SRC-6, SCL-7)
+* bronze -> rejected: malformed lines and rows removed by drop rules, with
+  the rules they failed and the payload masked (EXP-4).  Kept + rejected +
+  corrupt rows are exactly the lines landed.
+* counts per run come from committed data: every row carries the run that
+  wrote it, and the report counts the rows of that run (STR-3)
 * gold refresh: batch recompute over the whole silver table and publish a
   new version (STR-4).  Gold cannot be a streaming aggregate: one new event
   moves the population threshold and can reclassify any past event.
-* schema growth: the landing schema is inferred, merged with the stored one
-  (new fields nullable) and the stream restarted on the same checkpoint.
+* schema growth: files not yet inferred (by a log of their paths) are
+  inferred and merged with the stored schema, and the stream restarts on the
+  same checkpoint with the merged schema.
 
 Checkpoints live under the shared ``spark.checkpoint.dir``; a lost executor
 or a restarted driver resumes from the last committed micro-batch.
@@ -19,111 +24,173 @@ or a restarted driver resumes from the last committed micro-batch.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from datetime import datetime, timedelta, timezone
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import ANOMALY_SIGMA
+from ..functions.expressions import masked_payload
 from ..operators import medallion
-from ..operators.expectations import SILVER_RULES
+from ..operators.expectations import SILVER_RULES, apply_expectations, failed_rules
 from ..schemas import BRONZE
 from ..sources import landing, tables
 
+RUN = "ingest_run"
+# A file's age never decides whether it is ingested; only the log of seen files does.
+NO_AGE_LIMIT = "36500d"
+CORRUPT_KIND, QUARANTINE_KIND = "corrupt", "quarantine"
 
-@dataclass
-class StreamRun:
-    rows_in: int = 0
-    batches: int = 0
-    observed: dict = field(default_factory=dict)
 
+def stored_bronze(schema: T.StructType) -> T.StructType:
+    """The bronze table's schema: the landed fields, the text of a malformed line, the run."""
+    return T.StructType(landing.with_corrupt(schema).fields + [T.StructField(RUN, T.StringType(), True)])
 
-def _await(query) -> StreamRun:
-    query.awaitTermination()
-    run = StreamRun()
-    for p in query.recentProgress:
-        run.batches += 1
-        run.rows_in += int(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows)
-        obs = (p.get("observedMetrics") if isinstance(p, dict) else getattr(p, "observedMetrics", None)) or {}
-        for _, metrics in obs.items():
-            for k, v in (metrics.asDict() if hasattr(metrics, "asDict") else dict(metrics)).items():
-                run.observed[k] = run.observed.get(k, 0) + (v or 0)
-    return run
+
+def _append(stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None) -> None:
+    writer = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                    .outputMode("append").trigger(availableNow=True))
+    (writer.partitionBy(partition_by) if partition_by else writer).start().awaitTermination()
+
+
+def _read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What streams appended under ``path`` (nothing before the first run)."""
+    if not tables.path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _limited(reader, max_files_per_trigger: int | None):
+    reader = reader.option("maxFileAge", NO_AGE_LIMIT)
+    return reader.option("maxFilesPerTrigger", max_files_per_trigger) if max_files_per_trigger else reader
 
 
 def landing_to_bronze(spark: SparkSession, landing_dir: str, bronze_dir: str, checkpoint: str, *,
-                      schema: T.StructType = BRONZE, max_files_per_trigger: int | None = None) -> StreamRun:
-    """Append every not-yet-seen landing file to bronze, then stop."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(landing_dir)
-    q = (stream.writeStream.format("parquet").option("path", bronze_dir)
-               .option("checkpointLocation", checkpoint).outputMode("append")
-               .trigger(availableNow=True).start())
-    return _await(q)
+                      schema: T.StructType = BRONZE, max_files_per_trigger: int | None = None) -> dict:
+    """Append every not-yet-seen landing file to bronze, then stop.
+
+    Returns the run's name and its exact numbers of rows and malformed lines.
+    """
+    run = uuid.uuid4().hex
+    reader = spark.readStream.schema(landing.with_corrupt(schema)).option("columnNameOfCorruptRecord", landing.CORRUPT)
+    lines = _limited(reader, max_files_per_trigger).json(landing_dir)
+    _append(lines.withColumn(RUN, F.lit(run)), bronze_dir, checkpoint)
+    written = _read_appended(spark, bronze_dir, stored_bronze(schema)).where(F.col(RUN) == run)
+    n, bad = written.agg(F.count(F.lit(1)), F.count(landing.CORRUPT)).first()
+    return {"run": run, "rows": n, "corrupt": bad}
+
+
+def _rejected(bronze: DataFrame, rules) -> DataFrame:
+    """Malformed lines and rows that a drop rule removes; raw payload and context stay in bronze (D3)."""
+    drop = [r for r in rules if r.action == "drop"]
+    corrupt = F.col(landing.CORRUPT).isNotNull()
+    names = F.when(~corrupt, F.array_join(failed_rules(drop), ",")) if drop else F.lit(None).cast("string")
+    kept = [c for c in ("event_id", "customer_id", "timestamp", "event_type") if c in bronze.columns]
+    return (bronze.withColumn("failed_rules", names).where(corrupt | (F.col("failed_rules") != ""))
+            .select(F.when(corrupt, F.lit(CORRUPT_KIND)).otherwise(F.lit(QUARANTINE_KIND)).alias("kind"), *kept,
+                    F.col(landing.CORRUPT).alias("raw_line"),
+                    F.when(~corrupt, masked_payload(F.col("context.pii"), F.col("payload"), True)).alias("masked_payload"),
+                    "failed_rules", RUN))
+
+
+def _valid(bronze: DataFrame, rules) -> DataFrame:
+    """Silver rows with the warn rules they violate and the run that wrote them."""
+    warn = [r for r in rules if r.action == "warn"]
+    warned = F.array_join(failed_rules(warn), ",") if warn else F.lit("")
+    good = apply_expectations(bronze.where(F.col(landing.CORRUPT).isNull()), rules)
+    return medallion.silver(good.withColumn("warnings", warned), (), ingest_time=True, keep=("event_id", "warnings", RUN))
 
 
 def bronze_to_silver(spark: SparkSession, bronze_dir: str, silver_dir: str, checkpoint: str, *,
-                     schema: T.StructType = BRONZE, rules=SILVER_RULES,
-                     max_files_per_trigger: int | None = None) -> StreamRun:
-    """Validate, type and mask new bronze files into silver (append), then stop.
+                     schema: T.StructType = BRONZE, rules=SILVER_RULES, rejected_dir: str | None = None,
+                     max_files_per_trigger: int | None = None) -> dict:
+    """Append new bronze files to silver and the rows it refuses to ``rejected_dir``, then stop.
 
     A ``fail`` rule aborts the stream; the file sink commits nothing for the
-    failed micro-batch, so readers of silver never see its rows.
+    failed micro-batch, so readers of silver never see its rows.  Returns the
+    exact counts of this run: rows checked and violations by rule.
     """
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    bronze = reader.parquet(bronze_dir)
-    from ..operators.expectations import observe_violations
-    watched, _ = observe_violations(bronze, rules, name="silver_expectations")
-    silver = medallion.silver(watched, rules, ingest_time=True)
-    q = (silver.writeStream.format("parquet").option("path", silver_dir)
-               .option("checkpointLocation", checkpoint).partitionBy("timestamp_date")
-               .outputMode("append").trigger(availableNow=True).start())
-    return _await(q)
+    run = uuid.uuid4().hex
+    rejected_dir = rejected_dir or f"{silver_dir}_rejected"
+    schema_ = stored_bronze(schema)
+
+    def bronze() -> DataFrame:
+        rows = _limited(spark.readStream.schema(schema_), max_files_per_trigger).parquet(bronze_dir)
+        return rows.withColumn(RUN, F.lit(run))
+
+    _append(_valid(bronze(), rules), silver_dir, checkpoint, partition_by="timestamp_date")
+    _append(_rejected(bronze(), rules), rejected_dir, f"{checkpoint}_rejected")
+
+    empty = spark.createDataFrame([], schema_)
+    kept = (_read_appended(spark, silver_dir, _valid(empty, rules).schema).where(F.col(RUN) == run)
+            .select(F.col("warnings").alias("names"), F.lit(False).alias("bad")))
+    refused = (_read_appended(spark, rejected_dir, _rejected(empty, rules).schema).where(F.col(RUN) == run)
+               .select(F.col("failed_rules").alias("names"), (F.col("kind") == CORRUPT_KIND).alias("bad")))
+    counts = [F.count_if(~F.col("bad")).alias("rows"), F.count_if(F.col("bad")).alias("corrupt")]
+    counts += [F.count_if(F.coalesce(F.array_contains(F.split("names", ","), r.name), F.lit(False))).alias(f"v{i}")
+               for i, r in enumerate(rules)]
+    row = kept.union(refused).agg(*counts).first()
+    return {"run": run, "rows": row["rows"], "corrupt": row["corrupt"],
+            "violations": {r.name: row[f"v{i}"] for i, r in enumerate(rules)}}
 
 
 def refresh_gold(spark: SparkSession, silver_dir: str, gold_root: str, *, sigma: float = ANOMALY_SIGMA,
                  name: str = "gold_customer_analytics") -> str:
     """Recompute gold over the whole silver table and publish a new version."""
     silver = spark.read.parquet(silver_dir)
-    return tables.publish(medallion.gold(silver, sigma), gold_root, name,
+    return tables.publish(medallion.gold(silver, sigma), gold_root, name, sort_within=["customer_id"],
                           comment="Per-customer totals, mean latency and anomalies (population threshold).")
 
 
-def run_available_now(spark: SparkSession, landing_dir: str, root: str, *, schema: T.StructType = BRONZE,
+def run_available_now(spark: SparkSession, landing_dir: str, root: str, *, schema: T.StructType | None = BRONZE,
                       rules=SILVER_RULES, sigma: float = ANOMALY_SIGMA) -> dict:
-    """One incremental refresh: landing -> bronze -> silver streams, then gold."""
+    """One incremental refresh: landing -> bronze -> silver streams, then gold.
+
+    With ``schema=None`` the schema is the stored one merged with what the new
+    files hold (``evolve_schema``).  A stored field whose type had to be
+    widened cannot be appended to bronze files of the narrower type: such a
+    run is refused before anything is ingested, and the zone has to be read
+    into a new root, where the wider type holds from the start.
+    """
     root = root.rstrip("/")
+    added: list[str] = []
+    if schema is None:
+        schema, added, widened = evolve_schema(spark, landing_dir, f"{root}/_schema")
+        if widened and tables.path_exists(spark, f"{root}/bronze"):
+            raise ValueError(f"landed types grew ({'; '.join(widened)}); bronze under {root} holds the narrower type, "
+                             "ingest the landing zone into a new root")
     b = landing_to_bronze(spark, landing_dir, f"{root}/bronze", f"{root}/_checkpoints/bronze", schema=schema)
     s = bronze_to_silver(spark, f"{root}/bronze", f"{root}/silver", f"{root}/_checkpoints/silver",
-                         schema=schema, rules=rules)
+                         schema=schema, rules=rules, rejected_dir=f"{root}/rejected")
     gold_version = refresh_gold(spark, f"{root}/silver", root, sigma=sigma)
-    return {"bronze_rows": b.rows_in, "silver_input_rows": s.rows_in, "expectations": s.observed,
-            "gold_version": gold_version}
-
-
-INFERENCE_OVERLAP = timedelta(minutes=10)
+    return {"bronze_rows": b["rows"], "corrupt_rows": b["corrupt"], "silver_input_rows": s["rows"],
+            "expectations": {"rows": s["rows"], **s["violations"]}, "added_columns": added, "gold_version": gold_version}
 
 
-def evolve_schema(spark: SparkSession, landing_dir: str, schema_path: str,
-                  sampling_ratio: float = 1.0) -> tuple[T.StructType, list[str]]:
+def evolve_schema(spark: SparkSession, landing_dir: str, schema_path: str) -> tuple[T.StructType, list[str], list[str]]:
     """Merge the stored landing schema with what the files now contain.
 
-    Returns ``(schema, added_columns)``; the merged schema is stored so the
-    next (re)start of the bronze stream reads the new columns.  Only files
-    modified since the previous inference (less a safety overlap, harmless
-    because merging is idempotent) are read, so a growing landing zone is
-    not re-parsed on every run.
+    Returns ``(schema, added columns, widened columns)``.  The paths already
+    inferred are logged beside the schema; every other file is inferred,
+    whatever its age, and logged once the merged schema is stored.
     """
-    started = (datetime.now(timezone.utc) - INFERENCE_OVERLAP).strftime("%Y-%m-%dT%H:%M:%S")
-    stored, since = tables.load_schema_record(spark, schema_path)
-    incoming = landing.infer_schema(spark, landing_dir, sampling_ratio,
-                                    modified_after=since if stored is not None else None)
+    landing.require_landing(spark, landing_dir)
+    log = f"{schema_path}/files"
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing_dir)
+              .select("path", "modificationTime"))  # a listing: contents are not read
+    seen = _read_appended(spark, log, listed.schema)
+    fresh = listed.join(seen, ["path", "modificationTime"], "left_anti")
+    paths = [r["path"] for r in fresh.select("path").collect()]  # the new files only, as Spark's own reader lists them
+    stored = tables.load_schema(spark, f"{schema_path}/versions")
+    if not paths:
+        return stored, [], []
+    incoming = landing.infer_schema(spark, paths)
     merged = incoming if stored is None else landing.merge_schema(stored, incoming)
     added = [] if stored is None else landing.added_columns(stored, merged)
-    tables.save_schema(spark, merged, schema_path, inferred_from=started)
-    return merged, added
+    widened = [] if stored is None else landing.widened_columns(stored, merged)
+    if stored is None or added or widened:
+        tables.save_schema(spark, merged, f"{schema_path}/versions", changes=added + widened)
+    logged = spark.createDataFrame([(p,) for p in paths], "path string")
+    listed.join(logged, "path", "left_semi").coalesce(1).write.mode("append").parquet(log)
+    return merged, added, widened

@@ -25,8 +25,10 @@ def test_report_and_quarantine_golden(spark, sf_dir, null_ids, bad_types, reject
     assert rep["valid_customer_id"]["violations"] == null_ids
     assert rep["valid_event_type"]["violations"] == bad_types
     assert ex.quarantine(bronze).count() == rejected
-    kept, quarantined = ex.split_valid(bronze)
-    assert kept.count() + quarantined.count() == bronze.count()
+    assert ex.apply_expectations(bronze).count() + rejected == bronze.count()
+    quoted = ex.expect("it's \"quoted\"", "event_id >= 0")
+    assert ex.expectation_report(bronze, [quoted]).first()["rule"] == quoted.name
+    assert ex.expectation_report(bronze, []).count() == 0
 
 
 def test_observed_violations_without_second_scan(spark):
@@ -159,11 +161,39 @@ def test_schema_merge_adds_nullable_fields():
 def test_evolving_read_old_rows_null(spark, scratch):
     path = scratch("evolve")
     _write_lines(path, "a.json", [GOOD])
-    df1, s1 = landing.read_evolving(spark, path, None)
+    s1 = landing.infer_schema(spark, path)
     _write_lines(path, "b.json", [GOOD[:-1] + ',"session_key":7}'])
-    df2, s2 = landing.read_evolving(spark, path, s1)
+    s2 = landing.merge_schema(s1, landing.infer_schema(spark, path))
     assert "session_key" in s2.fieldNames()
-    assert sorted((r["session_key"] is None) for r in df2.collect()) == [False, True]
+    rows = landing.read_landing(spark, path, s2).collect()
+    assert sorted((r["session_key"] is None) for r in rows) == [False, True]
+
+
+def test_types_widen_and_the_change_is_told():
+    a = T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.LongType()),
+                      T.StructField("x", T.StructType([T.StructField("y", T.LongType())]))])
+    b = T.StructType([T.StructField("n", T.DoubleType()), T.StructField("s", T.StringType()),
+                      T.StructField("x", T.StructType([T.StructField("y", T.DoubleType())]))])
+    merged = landing.merge_schema(a, b)
+    assert [merged[c].dataType.simpleString() for c in "nsx"] == ["double", "string", "struct<y:double>"]
+    assert landing.merge_schema(b, a) == merged
+    assert landing.widened_columns(a, merged) == ["n: bigint -> double", "s: bigint -> string", "x.y: bigint -> double"]
+
+
+def test_publish_keeps_comment_properties_and_the_last_version(spark, scratch):
+    root = scratch("publish")
+    assert tables.describe(spark, root, "t") is None
+    first = tables.publish(spark.range(3), root, "t", comment="three", properties={"quality": "gold"})
+    record = tables.describe(spark, root, "t")
+    assert (record["version"], record["comment"], record["properties"]) == (first, "three", {"quality": "gold"})
+    bad = spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        tables.publish(bad, root, "t")
+    assert tables.current_version(spark, root, "t") == first and tables.read_published(spark, root, "t").count() == 3
+    second = tables.publish(spark.range(5), root, "t")
+    assert tables.current_version(spark, root, "t") == second != first
+    with pytest.raises(FileNotFoundError):
+        tables.read_published(spark, root, "other")
 
 
 def test_batch_refresh_publishes_every_layer(spark, scratch):
@@ -179,7 +209,9 @@ def test_batch_refresh_publishes_every_layer(spark, scratch):
     assert [r["raw_line"] for r in read("bronze_corrupt_lines").collect()] == ['{"customer_id": "CUST_001", oops']
     silver = read("silver_telemetry_cleaned")
     assert silver.count() == 608 and "timestamp_date" in silver.columns
-    assert read("silver_quarantine").count() == 392
+    quarantined = read("silver_quarantine")
+    assert quarantined.count() == 392
+    assert "payload" not in quarantined.columns and "context" not in quarantined.columns
     gold = read("gold_customer_analytics")
     assert gold.count() == 15 and gold.agg(F.sum("total_anomalies")).first()[0] == 32
     # A second refresh publishes new versions; readers switch only at the end.

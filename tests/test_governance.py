@@ -89,10 +89,20 @@ def test_golden_call_counts(spark, sf_dir, expected):
     assert counts == expected
 
 
-def test_registry_size_checked(spark):
-    rows = [(f"f{i}", None, 0, "p", ".*", True, None) for i in range(governance.MAX_REGISTRY_ROWS + 1)]
-    with pytest.raises(ValueError):
-        governance.registry_frame(spark, rows)
+def test_registry_of_any_size(spark):
+    rows = [(f"f{i}", None, 0, "p", "x+", True, None) for i in range(12_000)]
+    calls = spark.createDataFrame([(i, f"f{i * 1000}", '{"p":"xx"}') for i in range(13)],
+                                  "call_id long, function string, params_json string")
+    got = {r["call_id"]: r["allowed"] for r in governance.decide(calls, governance.registry_frame(spark, rows)).collect()}
+    assert got == {i: i < 12 for i in range(13)}
+
+
+def test_grant_denial_lists_the_registered_functions(spark):
+    reg = governance.registry_frame(spark, governance.DEFAULT_REGISTRY + [("b'c", None, 0, "p", ".*", True, None)])
+    calls = spark.createDataFrame([(0, "no\\such\n", "{}")], "call_id long, function string, params_json string")
+    detail = governance.decide(calls, reg).first()["detail"]
+    names = str(sorted([governance.SCORE_FUNCTION, "b'c"]))
+    assert detail.startswith("No EXECUTE grant for " + repr("no\\such\n")) and names in detail
 
 
 def test_registry_with_two_functions_and_optional_param(spark):
