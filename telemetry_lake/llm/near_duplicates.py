@@ -4,7 +4,8 @@ Every document becomes the set of its distinct word shingles.  Documents with eq
 exact copies never meet as pairs.  Each class has ``TREES`` signatures of ``DEPTH`` minimum hashes; every tree is one global
 sorted order of its signatures (a range-partitioned sort, which splits any dense region).  Neighbours in an order whose
 longest common prefix is at least ``LEAST_PREFIX`` are candidates.  The depth adapts to the region: in a sparse run all
-pairs within ``WINDOW`` are candidates, in a dense run only the nearest neighbours, whose common prefixes are longest.
+pairs within ``WINDOW`` are candidates; in a dense run the nearest neighbours, whose common prefixes are longest, and every
+member with the region's centre, so that a text and its many copies meet however large the region is.
 
 Candidates are confirmed on full sets (64-bit shingle hashes) in two rounds: first each class's best candidate, then
 every candidate between classes that are not yet connected and whose signatures do not rule the pair out.  Connected
@@ -132,13 +133,37 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, trees): candidate pairs of classes and in how many trees they are neighbours."""
+    """(a, b, trees): candidate pairs of classes and how often they were found.
+
+    Rows of one order are sorted by their signature, then by that of the next tree, so equal signatures too lie by
+    likeness.
+    """
     step = DEPTH * 4
     entries = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", F.expr(f"substring(signature, tree * {step} + 1, {step})").alias("key"), "node")
-    ordered = entries.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return (ordered.mapInArrow(neighbours, "a long, b long")
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
+        "tree", F.expr(f"substring(signature, tree * {step} + 1, {step})").alias("key"),
+        F.expr(f"substring(signature, (tree + 1) % {TREES} * {step} + 1, {step})").alias("more"), "node")
+    ordered = (entries.repartitionByRange("tree", "key", "more", "node")
+               .sortWithinPartitions("tree", "key", "more", "node").select("tree", "key", "node"))
+    pairs = ordered.mapInArrow(neighbours, "a long, b long").union(centre_pairs(entries))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
+
+
+def centre_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): each member of a dense region with the region's centre, the class whose signatures most others share.
+
+    Copies of one text that differ from it in different places are less like each other than like the text, which their
+    common signatures point to.
+    """
+    named = entries.select("node", F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_PREFIX)).alias("region"),
+                           F.xxhash64("tree", "key").alias("whole"))
+    dense = named.groupBy("region").count().where(F.col("count") > WINDOW + 1).select("region")
+    members = written(named.join(dense, "region"), "dense")
+    shared = members.groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
+    weight = members.join(shared, "whole").groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = (members.join(weight, "node").groupBy("region")
+              .agg(F.max(F.struct("weight", "node")).alias("top")).select("region", F.col("top.node").alias("centre")))
+    return (members.join(centre, "region").where(F.col("node") != F.col("centre"))
+            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -92,6 +92,24 @@ def test_near_duplicates_dense_group(spark):
     assert all(got[5000 + i] == 5000 + i for i in range(50))
 
 
+def test_near_duplicates_star(spark):
+    """Hundreds of copies of one text, each like the text but not like each other: the text links them all."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(10_000, " ".join(base))]
+    for i in range(700):
+        words = list(base)
+        for at in rng.choice(130, 9, replace=False) * 3:
+            words[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows[:40], 3, 85)
+    assert {c for _, _, c in want} == {0}  # by way of the text alone: without it they fall apart
+    assert len({c for _, _, c in brute_components(rows[1:40], 3, 85)}) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs, 3, 85).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_near_duplicates_edge_cases(spark):
     docs = edge_documents(spark)
     got = near_duplicates.near_duplicates(docs, 3, 85)
