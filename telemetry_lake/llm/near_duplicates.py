@@ -7,8 +7,9 @@ longest common prefix is at least ``LEAST_PREFIX`` are candidates.  The depth ad
 pairs within ``WINDOW`` are candidates; in a dense run the nearest neighbours, whose common prefixes are longest, and every
 member with the region's centre, so that a text and its many copies meet however large the region is.
 
-Candidates are confirmed on full sets (64-bit shingle hashes) in two rounds: first each class's best candidate, then
-every candidate between classes that are not yet connected and whose signatures do not rule the pair out.  Connected
+Candidates are confirmed on full sets (64-bit shingle hashes) in three rounds: first each class's best candidate, then
+every candidate between classes that are not yet connected and whose signatures do not rule the pair out, and last, in dense
+regions, the classes that share a signature with a component but are not in it, with all its members in question.  Connected
 components alternate star contractions, with partial aggregates only.  No list of links reaches the driver.
 
 Defined cases: NULL text is the empty text; a text without words has the empty set and is linked with nothing; repeated
@@ -35,6 +36,8 @@ WINDOW = 8
 DENSE_WINDOW = 2
 #: A pair whose signatures agree in fewer of the hashes than the threshold less this share is ruled out (over 5 deviations).
 SLACK = 0.2
+STRAY_SLACK = 0.15
+BLOCK = 2048
 PRINTS = "doc_id long, row_key long, n_shingles long, node long, signature binary"
 
 
@@ -132,32 +135,40 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_node, held_place = key[-WINDOW:], node[-WINDOW:], place[-WINDOW:]
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def forest(classes: DataFrame) -> DataFrame:
+    """(tree, key, more, node): each class in every order; ``more`` is its signature in the next tree."""
+    step = DEPTH * 4
+    return classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "tree", F.expr(f"substring(signature, tree * {step} + 1, {step})").alias("key"),
+        F.expr(f"substring(signature, (tree + 1) % {TREES} * {step} + 1, {step})").alias("more"), "node")
+
+
+def dense_members(entries: DataFrame) -> DataFrame:
+    """(region, whole, node) of the classes in regions of more than ``WINDOW`` + 1; ``whole`` names the entire signature."""
+    named = entries.select("node", F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_PREFIX)).alias("region"),
+                           F.xxhash64("tree", "key").alias("whole"))
+    dense = named.groupBy("region").count().where(F.col("count") > WINDOW + 1).select("region")
+    return written(named.join(dense, "region"), "dense")
+
+
+def candidates(entries: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b, trees): candidate pairs of classes and how often they were found.
 
     Rows of one order are sorted by their signature, then by that of the next tree, so equal signatures too lie by
     likeness.
     """
-    step = DEPTH * 4
-    entries = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", F.expr(f"substring(signature, tree * {step} + 1, {step})").alias("key"),
-        F.expr(f"substring(signature, (tree + 1) % {TREES} * {step} + 1, {step})").alias("more"), "node")
     ordered = (entries.repartitionByRange("tree", "key", "more", "node")
                .sortWithinPartitions("tree", "key", "more", "node").select("tree", "key", "node"))
-    pairs = ordered.mapInArrow(neighbours, "a long, b long").union(centre_pairs(entries))
+    pairs = ordered.mapInArrow(neighbours, "a long, b long").union(centre_pairs(members))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
 
 
-def centre_pairs(entries: DataFrame) -> DataFrame:
+def centre_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each member of a dense region with the region's centre, the class whose signatures most others share.
 
     Copies of one text that differ from it in different places are less like each other than like the text, which their
     common signatures point to.
     """
-    named = entries.select("node", F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_PREFIX)).alias("region"),
-                           F.xxhash64("tree", "key").alias("whole"))
-    dense = named.groupBy("region").count().where(F.col("count") > WINDOW + 1).select("region")
-    members = written(named.join(dense, "region"), "dense")
     shared = members.groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
     weight = members.join(shared, "whole").groupBy("node").agg(F.sum("n").alias("weight"))
     centre = (members.join(weight, "node").groupBy("region")
@@ -166,6 +177,43 @@ def centre_pairs(entries: DataFrame) -> DataFrame:
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
 
 
+def stray_pairs(members: DataFrame, root: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): in dense regions, classes outside the main component of their signature, with every member of another
+    component whose signatures agree in at least the share ``least``.
+
+    Strays are few, members may be many: members are dealt to blocks of about ``BLOCK``, strays go to every block of their
+    signature, and only plausible pairs leave a block.
+    """
+    own = members.select("whole", "node").join(root, "node", "left").select(
+        "whole", "node", F.coalesce("root", "node").alias("part"))
+    own = written(own, "parts")
+    size = own.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = size.groupBy("whole").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"),
+                                     F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = own.join(main.select("whole", F.col("top.part").alias("main"),
+                                 F.ceil(F.col("all") / BLOCK).alias("blocks")), "whole")
+    mixed = written(mixed.join(classes.select("node", "signature"), "node"), "mixed")
+    side = mixed.select("whole", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "part", "signature")
+    strays = mixed.where(F.col("part") != F.col("main")).select(
+        "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"),
+        "node", "part", "signature")
+
+    def compare(few: pa.Table, many: pa.Table) -> pa.Table:
+        found = []
+        if few.num_rows and many.num_rows:
+            x, y = (np.frombuffer(b"".join(t.column("signature").to_pylist()), ">u4").reshape(t.num_rows, -1)
+                    for t in (few, many))
+            node, part = many.column("node").to_numpy(), many.column("part").to_numpy()
+            for n, p, s in zip(few.column("node").to_pylist(), few.column("part").to_pylist(), x):
+                like = np.flatnonzero(((y == s).mean(axis=1) >= least) & (part != p))
+                found.append(np.stack([np.minimum(node[like], n), np.maximum(node[like], n)], axis=1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    cell = ["whole", "block"]
+    return strays.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(compare, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs with 100 * intersection >= percent * union on full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +264,12 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = written(prints.where(F.col("signature").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature")),
         "classes")
-    pairs = written(candidates(classes), "candidates")
+    entries = forest(classes)
+    dense = dense_members(entries)
+    pairs = written(candidates(entries, dense), "candidates")
 
-    wanted = (classes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-              .select("row_key"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct()
+    wanted = classes.join(met, "node", "left_semi").select("row_key")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +296,9 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             .join(sign.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(plausible(percent / 100 - SLACK), "a long, b long"))
     second = confirmed(written(rest, "open-pairs"), sets, percent)
-    root = components(written(first.union(second), "all-links"))
+    links = written(first.union(second), "links-so-far")
+    third = confirmed(stray_pairs(dense, components(links), classes, percent / 100 - STRAY_SLACK), sets, percent)
+    root = components(written(links.union(third), "all-links"))
 
     named = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
