@@ -86,13 +86,17 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
                            F.lit(1).cast("long").alias("depth")), "ancestors")
     total = up.count()
     jumps = []
-    while up.where(F.col("far").isNotNull()).limit(1).count() and (1 << len(jumps)) <= 2 * total:
-        jumps.append(up.where(F.col("far").isNotNull()).select("node", "far"))
+    while (1 << len(jumps)) <= 2 * total:
+        open_ = up.where(F.col("far").isNotNull())
+        if open_.isEmpty():
+            break
+        jumps.append(open_.select("node", "far"))
         onward = up.select(F.col("node").alias("far"), F.col("far").alias("farther"), F.col("sum").alias("sum2"),
                            F.col("depth").alias("depth2"))
-        up = written(up.join(onward, "far", "left").select(
-            "node", F.col("farther").alias("far"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0).cast("long"))).alias("depth")), "ancestors")
+        moved = open_.join(onward, "far").select(  # only messages that have not met their root move on
+            "node", F.col("farther").alias("far"), (F.col("sum") + F.col("sum2")).alias("sum"),
+            (F.col("depth") + F.col("depth2")).alias("depth"))
+        up = written(up.where(F.col("far").isNull()).unionByName(moved), "ancestors")
     parents = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
     leaves = (up.where(F.col("far").isNull()).join(parents, "node", "left_anti")
               .join(messages.select("node", "tree"), "node"))
