@@ -33,7 +33,7 @@ GRAPH = 10
 PART_ROWS = 2048
 MOST_PARTS = 64
 HIDDEN = 128
-COVER = 0.98
+COVER = 0.95
 BLOCK = 4096
 CHUNK = 1024
 FOUND = "query_id long, vec_id long, score double"
