@@ -84,7 +84,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[lang] = total.get(lang, 0) + counted
     for lang, row in total.items():
         at = np.flatnonzero(row)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)),
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)),
                                           pa.array(row[at].astype(np.int64))], ["lang", "bucket", "n"])
 
 
