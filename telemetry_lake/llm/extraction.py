@@ -357,7 +357,7 @@ def laid_out(rng: np.random.Generator, main: list[str], other: list[str]) -> tup
         way = ways[rng.integers(len(ways))]
         out = []
         for _ in range(int(rng.integers(1, 7))):
-            text = str(rng.choice(other))
+            text = other[rng.integers(len(other))]
             words = text.split()
             if kind in ("menu", "top", "form") or rng.random() < 0.3:
                 text = " ".join(words[:int(rng.integers(1, 5))]) or text
@@ -401,7 +401,7 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[str, np.ndarray]:
     for _ in range(2):
         for texts in main:
             if texts:
-                more = rng.choice(lines, int(rng.integers(0, 5))).tolist()
+                more = [lines[i] for i in rng.integers(len(lines), size=int(rng.integers(0, 5)))]
                 page, y = laid_out(rng, texts + more, other + lines[:len(other)])
                 real.append(page)
                 labels.append(y)
