@@ -381,8 +381,10 @@ def laid_out(rng: np.random.Generator, main: list[str], other: list[str]) -> tup
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[str, np.ndarray]:
     """Weights from at most ``fit_pages`` pages of at most ``FIT_BYTES`` and as many pages laid out anew, twice."""
-    rows = (pages.where(F.octet_length("html") <= FIT_BYTES).orderBy(F.xxhash64("page_id", "html"), "html")
-            .select("html").limit(fit_pages).collect())
+    keyed = pages.where(F.octet_length("html") <= FIT_BYTES).select("html", F.xxhash64("page_id", "html").alias("key"))
+    chosen = keyed.select("key").distinct().orderBy("key").limit(fit_pages)  # keys only; then their pages
+    rows = keyed.join(F.broadcast(chosen), "key", "left_semi").limit(fit_pages).collect()
+    rows = sorted(rows, key=lambda r: (r["key"], r["html"]))
     real, labels, main, other = [], [], [], []
     for r in rows:
         page = blocks(r["html"])
