@@ -37,7 +37,7 @@ DENSE_WINDOW = 2
 #: A pair whose signatures agree in fewer of the hashes than the threshold less this share is ruled out (over 5 deviations).
 SLACK = 0.2
 STRAY_SLACK = 0.15
-BLOCK = 2048
+BLOCK = 512
 PRINTS = "doc_id long, row_key long, n_shingles long, node long, signature binary"
 
 
@@ -177,55 +177,84 @@ def centre_pairs(members: DataFrame) -> DataFrame:
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
 
 
-def stray_pairs(members: DataFrame, root: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b): in dense regions, classes outside the main component of their signature, with every member of another
-    component whose signatures agree in at least the share ``least``.
+def mixed_signatures(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(whole, node, part, main) of the members of dense regions whose signature is shared by several components."""
+    own = written(members.select("whole", "node").join(root, "node", "left").select(
+        "whole", "node", F.coalesce("root", "node").alias("part")), "parts")
+    size = own.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = size.groupBy("whole").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    return written(own.join(main.where("parts > 1").select("whole", F.col("top.part").alias("main")), "whole"), "mixed")
+
 
-    Strays are few, members may be many: members are dealt to blocks of about ``BLOCK``, strays go to every block of their
-    signature, and only plausible pairs leave a block.
+def stray_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a confirmed link of each class outside the main component of a signature it has, to that component, if any.
+
+    A component's members are dealt to blocks of about ``BLOCK`` with their sets; the strays of the component go to every
+    block.  In a block a stray is held against all members, the likeliest first, until one confirms; no pairs leave it.
     """
-    own = members.select("whole", "node").join(root, "node", "left").select(
-        "whole", "node", F.coalesce("root", "node").alias("part"))
-    own = written(own, "parts")
-    size = own.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = size.groupBy("whole").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"),
-                                     F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = own.join(main.select("whole", F.col("top.part").alias("main"),
-                                 F.ceil(F.col("all") / BLOCK).alias("blocks")), "whole")
-    mixed = written(mixed.join(classes.select("node", "signature"), "node"), "mixed")
-    side = mixed.select("whole", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "part", "signature")
-    strays = mixed.where(F.col("part") != F.col("main")).select(
-        "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"),
-        "node", "part", "signature")
-
-    def compare(few: pa.Table, many: pa.Table) -> pa.Table:
+    whole = classes.select("node", "signature").join(sets, "node")
+    few = mixed.where(F.col("part") != F.col("main")).select("main", "node").distinct()
+    many = (mixed.select(F.col("part").alias("main"), "node").distinct()
+            .join(few.select("main").distinct(), "main", "left_semi"))
+    blocks = many.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    many = many.join(blocks, "main").select("main", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
+    few = few.join(blocks, "main").select(
+        "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "node")
+    least = percent / 100 - SLACK
+
+    def look(strays: pa.Table, block: pa.Table) -> pa.Table:
         found = []
-        if few.num_rows and many.num_rows:
+        if strays.num_rows and block.num_rows:
             x, y = (np.frombuffer(b"".join(t.column("signature").to_pylist()), ">u4").reshape(t.num_rows, -1)
-                    for t in (few, many))
-            node, part = many.column("node").to_numpy(), many.column("part").to_numpy()
-            for n, p, s in zip(few.column("node").to_pylist(), few.column("part").to_pylist(), x):
-                like = np.flatnonzero(((y == s).mean(axis=1) >= least) & (part != p))
-                found.append(np.stack([np.minimum(node[like], n), np.maximum(node[like], n)], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                    for t in (strays, block))
+            node, held = block.column("node").to_pylist(), block.column("members").to_pylist()
+            for n, s, own in zip(strays.column("node").to_pylist(), x, strays.column("members").to_pylist()):
+                like = (y == s).mean(axis=1)
+                for j in np.argsort(-like, kind="stable")[:np.count_nonzero(like >= least)].tolist():
+                    if linked(own, held[j], percent):
+                        found.append((min(n, node[j]), max(n, node[j])))
+                        break
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    cell = ["main", "block"]
+    sides = []
+    for side in (few, many):  # each with columns of its own
+        sides.append(side.join(whole, "node").select(*[F.col(c).alias(c) for c in (*cell, "node", "signature", "members")])
+                     .groupBy(*cell))
+    return sides[0].cogroup(sides[1]).applyInArrow(look, "a long, b long")
+
+
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union holds for two sets of distinct hashes."""
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def between_strays(mixed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): classes of different components outside the main one that share a signature and are plausible."""
+    sign = mixed.where(F.col("part") != F.col("main")).join(classes.select("node", "signature"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, part = group.column("node").to_numpy(), group.column("part").to_numpy()
+        x = np.frombuffer(b"".join(group.column("signature").to_pylist()), ">u4").reshape(group.num_rows, -1)
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(1, len(node)):
+            like = np.flatnonzero(((x[:i] == x[i]).mean(axis=1) >= least) & (part[:i] != part[i]))
+            found.append(np.stack([np.minimum(node[like], node[i]), np.maximum(node[like], node[i])], axis=1))
+        pairs = np.concatenate(found)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    cell = ["whole", "block"]
-    return strays.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(compare, "a long, b long").distinct()
+    return sign.groupBy("whole").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs with 100 * intersection >= percent * union on full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = [linked(x.as_py(), y.as_py(), percent) for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
@@ -256,6 +285,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
 
 
+def joined_by(root: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the stars found so far take the place of the links they came from."""
+    links = written(links, "more-links")
+    if links.isEmpty():
+        return root
+    return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, component_id, kept."""
     texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row_key").alias("row_key"), "text")
@@ -295,10 +332,10 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rest = (rest.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
             .join(sign.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(plausible(percent / 100 - SLACK), "a long, b long"))
-    second = confirmed(written(rest, "open-pairs"), sets, percent)
-    links = written(first.union(second), "links-so-far")
-    third = confirmed(stray_pairs(dense, components(links), classes, percent / 100 - STRAY_SLACK), sets, percent)
-    root = components(written(links.union(third), "all-links"))
+    root = joined_by(root, confirmed(written(rest, "open-pairs"), sets, percent))
+    mixed = mixed_signatures(dense, root)
+    root = joined_by(root, stray_links(mixed, classes, sets, percent).union(
+        confirmed(between_strays(mixed, classes, percent / 100 - STRAY_SLACK), sets, percent)))
 
     named = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
