@@ -38,6 +38,7 @@ DENSE_WINDOW = 2
 SLACK = 0.2
 STRAY_SLACK = 0.15
 BLOCK = 512
+STRAY_BLOCK = 1024
 PRINTS = "doc_id long, row_key long, n_shingles long, node long, signature binary"
 
 
@@ -144,8 +145,8 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def dense_members(entries: DataFrame) -> DataFrame:
-    """(region, whole, node) of the classes in regions of more than ``WINDOW`` + 1; ``whole`` names the entire signature."""
-    named = entries.select("node", F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_PREFIX)).alias("region"),
+    """(region, tree, node, whole) of the classes in regions of more than ``WINDOW`` + 1; ``whole`` names the entire signature."""
+    named = entries.select("tree", "node", F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_PREFIX)).alias("region"),
                            F.xxhash64("tree", "key").alias("whole"))
     dense = named.groupBy("region").count().where(F.col("count") > WINDOW + 1).select("region")
     return written(named.join(dense, "region"), "dense")
@@ -178,9 +179,9 @@ def centre_pairs(members: DataFrame) -> DataFrame:
 
 
 def mixed_signatures(members: DataFrame, root: DataFrame) -> DataFrame:
-    """(whole, node, part, main) of the members of dense regions whose signature is shared by several components."""
-    own = written(members.select("whole", "node").join(root, "node", "left").select(
-        "whole", "node", F.coalesce("root", "node").alias("part")), "parts")
+    """(whole, tree, node, part, main) of the members of dense regions whose signature is shared by several components."""
+    own = written(members.select("whole", "tree", "node").join(root, "node", "left").select(
+        "whole", "tree", "node", F.coalesce("root", "node").alias("part")), "parts")
     size = own.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
     main = size.groupBy("whole").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
     return written(own.join(main.where("parts > 1").select("whole", F.col("top.part").alias("main")), "whole"), "mixed")
@@ -232,21 +233,69 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def between_strays(mixed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b): classes of different components outside the main one that share a signature and are plausible."""
-    sign = mixed.where(F.col("part") != F.col("main")).join(classes.select("node", "signature"), "node")
+def sharing(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, sets no larger than set i that may be linked with it), in order of size; no linked pair is left out.
 
-    def compare(group: pa.Table) -> pa.Table:
-        node, part = group.column("node").to_numpy(), group.column("part").to_numpy()
-        x = np.frombuffer(b"".join(group.column("signature").to_pylist()), ">u4").reshape(group.num_rows, -1)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in range(1, len(node)):
-            like = np.flatnonzero(((x[:i] == x[i]).mean(axis=1) >= least) & (part[:i] != part[i]))
-            found.append(np.stack([np.minimum(node[like], node[i]), np.maximum(node[like], node[i])], axis=1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    Shingles are ordered from the rarest on.  Two sets that are linked share one among the first
+    size - 2 * percent * size / (100 + percent) + 1 of the smaller and the first size - percent * size / 100 + 1 of the
+    larger, so a passage that many sets have in common brings no pairs.
+    """
+    size = np.asarray([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    rank = rank[code][np.lexsort((rank[code], owner))]
+    by_size = np.argsort(size, kind="stable")
+    place = np.empty(len(sets), np.int64)
+    place[by_size] = np.arange(len(sets))
+    asks = size + percent * size // -100 + 1
+    shows = size + 2 * percent * size // -(100 + percent) + 1
+    shown = np.arange(len(owner)) - start[owner] < shows[owner]
+    shingle, at = rank[shown], place[owner[shown]]
+    order = np.lexsort((at, shingle))
+    shingle, at = shingle[order], at[order]
+    for i in by_size.tolist():
+        asked = rank[start[i]:start[i] + asks[i]]
+        lo, hi = np.searchsorted(shingle, asked), np.searchsorted(shingle, asked, side="right")
+        met = np.unique(np.concatenate([at[x:y] for x, y in zip(lo.tolist(), hi.tolist())]))
+        yield i, by_size[met[met < place[i]]]
+
+
+def between_strays(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links between classes outside the main component of a signature they share.
+
+    The strays of a signature are dealt to blocks of about ``STRAY_BLOCK`` with their sets, and every two blocks meet in a
+    cell.  A cell confirms its pairs on full sets and sends only links that join two components; a pair is looked at in the
+    first tree it shares.
+    """
+    few = mixed.where(F.col("part") != F.col("main")).select("tree", "whole", "node", "part")
+    blocks = few.groupBy("whole").agg(F.ceil(F.count(F.lit(1)) / STRAY_BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    few = few.join(blocks.where("n > 1"), "whole").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    few = few.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))))
+    cells = (few.select("tree", "whole", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                        "own", "part", "node")
+             .join(classes.select("node", "signature"), "node").join(sets, "node"))
+    least = percent / 100 - STRAY_SLACK
+
+    def compare(cell: pa.Table) -> pa.Table:
+        node, part, own = (cell.column(c).to_numpy().copy() for c in ("node", "part", "own"))
+        x = np.frombuffer(b"".join(cell.column("signature").to_pylist()), ">u4").reshape(cell.num_rows, TREES, DEPTH)
+        held = cell.column("members").to_pylist()
+        tree, inside = cell.column("tree")[0].as_py(), cell.column("low")[0] == cell.column("high")[0]
+        found = []
+        for i, met in sharing([np.frombuffer(m, np.uint64) for m in held], percent):
+            met = met[(part[met] != part[i]) & (inside | (own[met] != own[i]))]
+            same = x[met] == x[i]
+            met = met[(same.mean(axis=(1, 2)) >= least) & ~same[:, :tree].all(axis=2).any(axis=1)]
+            for j in met.tolist():
+                if part[j] != part[i] and linked(held[i], held[j], percent):
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    part[part == part[j]] = part[i]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return sign.groupBy("whole").applyInArrow(compare, "a long, b long").distinct()
+    return cells.groupBy("whole", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -335,7 +384,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     root = joined_by(root, confirmed(written(rest, "open-pairs"), sets, percent))
     mixed = mixed_signatures(dense, root)
     root = joined_by(root, stray_links(mixed, classes, sets, percent).union(
-        confirmed(between_strays(mixed, classes, percent / 100 - STRAY_SLACK), sets, percent)))
+        between_strays(mixed, classes, sets, percent)))
 
     named = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

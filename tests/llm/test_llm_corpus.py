@@ -127,6 +127,40 @@ def test_near_duplicates_edge_cases(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([0, 1, 2, 3, 4, 5, 6, 8, None])
 
 
+def test_near_duplicates_template_below_the_threshold(spark, monkeypatch):
+    """Texts that share a long passage, alike just below the threshold: blocks of strays meet, only links leave a cell."""
+    monkeypatch.setattr(near_duplicates, "STRAY_BLOCK", 32)
+    passage = [f"w{i}" for i in range(510)]
+    rows = []
+    for i in range(240):
+        own = [f"v{i}_{j}" for j in range(90)]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(passage + own[:60] + [f"x{i}"] + own[61:])))
+    want = {d: c for d, _, c in brute_components(rows, 3, 85)}
+    assert len(set(want.values())) == 240
+    sent, plain = [], near_duplicates.between_strays
+    monkeypatch.setattr(near_duplicates, "between_strays", lambda *a: sent.append(plain(*a)) or sent[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs, 3, 85).collect()}
+    assert got == want
+    assert sent[0].count() <= 80
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_that_share_a_passage_bring_no_pairs(percent):
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 1 << 60, 425).astype(np.uint64)
+    apart = (400, 100) if percent == 80 else (425, 75)
+    sets = [np.unique(np.concatenate([passage[:apart[0]], rng.integers(0, 1 << 60, apart[1]).astype(np.uint64)]))
+            for _ in range(1000)]
+    assert sum(len(met) for _, met in near_duplicates.sharing(sets, percent)) < 2000
+    sets = [np.unique(rng.choice(passage[:60], int(rng.integers(1, 60)), replace=False)) for _ in range(300)]
+    found = {(min(i, j), max(i, j)) for i, met in near_duplicates.sharing(sets, percent) for j in met.tolist()}
+    assert {(i, j) for j in range(300) for i in range(j)
+            if near_duplicates.linked(sets[i].tobytes(), sets[j].tobytes(), percent)} <= found
+
+
 def test_candidate_windows_find_every_pair_of_a_short_run():
     import pyarrow as pa
     key = b"\0" * (4 * near_duplicates.DEPTH)
