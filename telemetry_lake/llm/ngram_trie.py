@@ -3,8 +3,8 @@
 The text is tokenised once into chunks (word hashes and token codes) in the shared folder.  For each order n, every chunk sends
 its distinct n-grams with their training counts to shards by context; a shard sums the counts of all chunks, builds its part
 of the trie and answers every chunk's n-grams with codes.  A chunk then turns the codes into scores of its documents.  So the
-corpus counts grow with the input, a shard holds about ``SHARD_TOKENS`` n-grams, and the bigrams of a frequent word (at least
-an eighth of that many tokens) are spread over all shards by their second word.
+corpus counts grow with the input, a shard holds about ``SHARD_TOKENS`` n-grams, and the successors of a frequent context
+of any order (at least an eighth of that many tokens) are spread over all shards by their own hash.
 
 A level of the trie holds, in one memory-mapped block: the sorted contexts and the pointers to their first successors, both as
 Elias-Fano sequences; the successors relative to their context (number of the context, then a 40-bit word hash) as one
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, hash_words, mix, slices, split_words, table, written
 
-ORDER = 2
+ORDER = 3
 MU = 2.0
 CHUNK_BYTES = 10 << 20
 SHARD_TOKENS = 1_500_000
@@ -126,7 +126,8 @@ RESTORED = np.concatenate([[0.0], 10 ** (DECADES * (np.arange(255) / 254 - 1))])
 class Level:
     """Contexts, pointers, successors and quantised probabilities of the n-grams of one shard."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, total_of, mu: float):
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, total_of, mu: float,
+                 frequent: float = np.inf):
         order = np.lexsort((word, context))
         context, word, count = context[order], word[order], count[order]
         new = np.ones(len(context), bool)
@@ -134,6 +135,8 @@ class Level:
         first = np.flatnonzero(new)
         self.counts = np.add.reduceat(count, first) if len(first) else count
         context, word = context[first], word[first]
+        self.often = np.flatnonzero(self.counts >= frequent)
+        self.often_hash = gram_hash(context[self.often], word[self.often])
         start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else first
         names = context[start]
         size = np.diff(np.append(start, len(context)))
@@ -188,6 +191,12 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
+def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, which are the contexts of the next order."""
+    with np.errstate(over="ignore"):
+        return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
 class Chunk:
     """The tokens of one chunk and its distinct n-grams by order."""
 
@@ -211,13 +220,12 @@ class Chunk:
         v, n = len(self.words), len(self.codes)
         use = np.flatnonzero(self.place >= self.order)
         distinct, inverse = np.unique(self.gram[use - 1] * v + self.codes[use], return_inverse=True)
-        context, word = self.hash[distinct // v], self.words[distinct % v]
+        context, word = self.hash[distinct // v], self.words[distinct % v] >> np.uint64(64 - SUCCESSOR_BITS)
         self.gram = np.full(n, -1, np.int64)
         self.gram[use] = inverse
-        with np.errstate(over="ignore"):
-            self.hash = mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+        self.hash = gram_hash(context, word)
         self.order += 1
-        return context, word >> np.uint64(64 - SUCCESSOR_BITS)
+        return context, word
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -313,11 +321,16 @@ def answered(order: int, hot: tuple[np.ndarray, np.ndarray], frequent: float, mu
                 wide[:, :SUCCESSOR_BITS // 8] = np.frombuffer(b, np.uint8).reshape(SUCCESSOR_BITS // 8, n).T
                 words.append(wide.view(np.uint64).ravel())
             context = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, repeats)])[seen]
-            level = Level(context, np.concatenate(words)[seen], count[seen], total_of, mu)
+            level = Level(context, np.concatenate(words)[seen], count[seen], total_of, mu, frequent)
             answers = level.lookup(contexts, repeats, words)
+            for names, (_, gamma) in zip(contexts, answers):  # a spread context may have no learned successor here
+                if len(hot_hash):
+                    at = np.minimum(np.searchsorted(hot_hash, names), len(hot_hash) - 1)
+                    spread = hot_hash[at] == names
+                    gamma[spread] = quantise(mu / (hot_count[at[spread]] + mu))
             sums, total, distinct = level.counts, 0, 0
-        often = np.flatnonzero(sums >= frequent) if order == 1 else np.zeros(0, np.int64)
-        hashes = keys[often] if order == 1 else np.zeros(0, np.uint64)
+        often = np.flatnonzero(sums >= frequent) if order == 1 else level.often
+        hashes = keys[often] if order == 1 else level.often_hash
         n = len(view["chunk"])
         blank = [b""] * (n - 1)
         return pa.table([
@@ -388,14 +401,12 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, mu: float = M
         replies.append(got.select(F.lit(n).alias("order"), "shard", "chunk", "alpha", "gamma"))
         if n == 1:
             total, distinct = got.agg(F.sum("total"), F.sum("distinct")).first()
-        if n == 1 and order > 1:  # at most 8 words a shard are this frequent
+        if n < order:  # at most 8 n-grams a shard are this frequent
             rare = got.where(F.length("hot") > 0).select("hot", "hot_count").collect()
             names = np.frombuffer(b"".join(r["hot"] for r in rare), np.uint64)
             often = np.frombuffer(b"".join(r["hot_count"] for r in rare), "<i8")
             by = np.argsort(names)
             hot = (names[by], often[by])
-        else:
-            hot = (none, np.zeros(0, np.int64))
     answers = replies[0]
     for r in replies[1:]:
         answers = answers.union(r)

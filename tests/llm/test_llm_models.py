@@ -367,6 +367,26 @@ def test_lm_spreads_frequent_contexts(spark):
         assert r["score"] == pytest.approx(want[r["doc_id"]][5], abs=0.02 * r["n_tokens"])
 
 
+def test_lm_spreads_frequent_contexts_of_two_words(spark, monkeypatch):
+    """A pair of words that every text repeats: its successors go to all shards, not to one."""
+    rows = [(i, "in the " + " in the ".join(f"w{(i * 31 + j) % 400}" for j in range(40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, plain = {}, ngram_trie.sent
+    monkeypatch.setattr(ngram_trie, "sent", lambda n, hot, shards: sent.update({n: hot}) or plain(n, hot, shards))
+    want = brute_lm(rows, 3, ngram_trie.MU)
+    for r in ngram_trie.score_documents(docs, ngram_trie.crc_mod("doc_id", 10) == 0, 3, shard_tokens=2000).collect():
+        assert r["base_score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
+        assert r["score"] == pytest.approx(want[r["doc_id"]][5], abs=0.02 * r["n_tokens"])
+    assert [len(sent[n]) > 0 for n in (1, 2, 3)] == [False, True, True]
+
+
+def test_lm_registered_query_is_a_trigram_model(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    want = brute_lm([(r["doc_id"], r["text"]) for r in docs.collect()], 3, ngram_trie.MU)
+    for r in ngram_trie.op9_elias_fano_lm(spark, SF001).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][5], abs=0.02 * r["n_tokens"] + 1e-6)
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=200), st.lists(st.integers(0, 2**64 - 1), max_size=30))
 @settings(max_examples=80, deadline=None)
 def test_elias_fano_round_trip_and_search(values, others):
