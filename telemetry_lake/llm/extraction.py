@@ -9,7 +9,8 @@ semantic elements teach: blocks in article or main, outside menus, footers, asid
 Their blocks are also laid out anew in generated page frames, which carry the same roles by other elements and class
 names.  Every page is then labelled from its whole html.
 
-Defined cases: NULL or empty html, and pages without main text, give the empty text; markup may be unclosed or broken; an
+Defined cases: NULL or empty html, and pages without main text, give the empty text; markup may be unclosed or broken (a
+head ends where something begins that cannot stand in it, an unseen element without an end tag at the next block); an
 empty table gives no rows; NULL or repeated ids and NULL urls are kept; other columns are ignored.
 """
 
@@ -49,6 +50,9 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPE = {"div", "section", "article", "main", "body", "html", "ul", "ol", "dl", "table", "nav", "aside", "header", "footer",
          "form", "blockquote"}
 
+IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
+ENDS_UNSEEN = SCOPE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figure", "fieldset", "address"}
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
@@ -60,6 +64,41 @@ def mark(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % MARKS
 
 
+def tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """(text before it, tag) in page order, with None after the last; what raw elements hold is left out."""
+    at, n = 0, len(page)
+    while at < n:
+        found = TAG.search(page, at)
+        if found is None:
+            yield page[at:], None
+            break
+        yield page[at:found.start()], found
+        at = found.end()
+        name = (found.group(2) or "").lower()
+        if name in RAW and not found.group(1):
+            end = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
+            at = end.start() if end else n
+
+
+def never_closed(page: str) -> set[int]:
+    """Where unseen elements begin that have no end tag of their own; a select ends an open select."""
+    waiting: dict[str, list[int]] = {}
+    lost: list[int] = []
+    for _, found in tags(page):
+        name = (found.group(2) or "").lower() if found else ""
+        if name in UNSEEN:
+            held = waiting.setdefault(name, [])
+            if found.group(1):
+                if held:
+                    held.pop()
+            else:
+                if name == "select":
+                    lost += held
+                    held.clear()
+                held.append(found.start())
+    return {at for held in (lost, *waiting.values()) for at in held}
+
+
 def blocks(page: str) -> list[tuple[list[str], str]]:
     """(path marks, text) of each leaf block in page order; character references decoded, white space made one space."""
     out: list[tuple[list[str], str]] = []
@@ -86,14 +125,14 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
             text.append(piece)
             linked += len(piece) if in_link else 0
 
-    at, n = 0, len(page)
-    while at < n:
-        found = TAG.search(page, at)
+    begun: list[int] = []  # where the open unseen elements other than head began
+    lost: set[int] | None = None
+    for piece, found in tags(page):
+        if stack and stack[-1][0] == "head" and piece.strip():  # text ends a head, as does what cannot stand in one
+            stack.pop()
+        say(piece)
         if found is None:
-            say(page[at:])
             break
-        say(page[at:found.start()])
-        at = found.end()
         name = (found.group(2) or "").lower()
         if not name:
             continue
@@ -105,6 +144,8 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
                 while stack:
                     gone = stack.pop()[0]
                     in_link -= gone == "a"
+                    if gone in UNSEEN and gone != "head":
+                        begun.pop()
                     if gone == name:
                         break
             elif block:
@@ -112,6 +153,16 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
             continue
         if block:
             flush()
+        if name in ENDS_UNSEEN and begun:
+            lost = never_closed(page) if lost is None else lost
+            while begun and begun[-1] in lost:  # an unseen element without an end tag holds no blocks
+                begun.pop()
+                gone = ""
+                while gone not in UNSEEN or gone == "head":
+                    gone = stack.pop()[0]
+                    in_link -= gone == "a"
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            stack.pop()
         if name in VOID:
             continue
         ends = CLOSES.get(name) or (BLOCK_END if block and name in BLOCK_END else None)
@@ -119,6 +170,8 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
                     in_link -= sum(n_ == "a" for n_, _ in stack[i:])
+                    hidden = sum(n_ in UNSEEN and n_ != "head" for n_, _ in stack[i:])
+                    del begun[len(begun) - hidden:]
                     del stack[i:]
                     break
                 if stack[i][0] in SCOPE:
@@ -129,12 +182,11 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
             own += [f".{w}" for w in PARTS.findall("".join(values).lower())]
         if HIDDEN.search(attributes):
             own.append(".hidden")
-        if name in RAW:
-            end = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
-            at = end.start() if end else n
         if not attributes.endswith("/") or name not in ("svg", "iframe"):
             stack.append((name, own))
             in_link += name == "a"
+            if name in UNSEEN and name != "head":
+                begun.append(found.start())
     flush()
     return out
 

@@ -290,6 +290,24 @@ def test_extraction_edge_cases(spark):
     assert extraction.extract(frame.limit(0), extraction.fit(frame.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><meta charset=u><body><p>seen</p></body></html>",
+    "<html><head><title>t</title><p>seen</p>",
+    "<head><title>t</title>seen",
+    "<head><link rel=x><a href=/>seen</a>",
+    "<head><script>var a = '<p>';</script><div>seen</div>",
+    "<head><template><i>no</i><body><p>seen",
+    "<body><form><select><option>no<option>no</form><p>seen</p>",
+    "<body><select><option>no<p>seen</p>",
+    "<body><select><option>no<p>seen</p><select><option>no</select>",
+    "<body><object data=x>no<div><p>seen</p></div>",
+    "<body><object data=x><p>no</p></object><select><option><div>no</div></select><p>seen</p>",
+    "<body><template><p>no</p><template><p>no</p></template></template><div>seen</div>",
+    "<body><ul><li><object>no<li>seen</ul>"])
+def test_unclosed_unseen_elements_end_at_blocks(page):
+    assert [text for _, text in extraction.blocks(page)] == ["seen"]
+
+
 def test_gradients_of_the_recurrent_network():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in extraction.new_weights().items()}
