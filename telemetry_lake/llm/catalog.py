@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (chat, extraction, fingerprints, language, near_duplicates, neighbours, ngram_trie, packing, quality,
-               sentencepieces)
+from . import (audit, chat, exact_dedup, extraction, fingerprints, language, near_duplicates, neighbours, ngram_trie, packing,
+               quality, sentencepieces, spelling)
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
@@ -16,7 +16,13 @@ QUERIES = {
     "op8_minhash_near_duplicates": near_duplicates.op8_minhash_near_duplicates,
     "op9_elias_fano_lm": ngram_trie.op9_elias_fano_lm,
     "op10_reply_trees": chat.op10_reply_trees,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
+}
+#: Where trained models, hashed signatures or check sums that SQL lacks decide, or SQL is too slow on whole tables, the query is
+#: tested against brute force, an exact round trip or held-out accuracy instead.
+ORACLE: dict[str, str] = {
+    "op12_filter_audit": audit.ORACLE_SQL,
+    "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
-#: Trained models, hashed signatures and whole-text digests decide; SQL either cannot express them or is too slow on whole
-#: tables, so every query is tested against brute force, an exact round trip or held-out accuracy instead.
-ORACLE: dict[str, str] = {}
