@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters
-from ..operators import analytics, dashboards, expectations, governance, knowledge, medallion, prompts
+from ..operators import analytics, dashboards, expectations, governance, knowledge, medallion, prompts, vector_search
 from ..session import scratch_path
 from ..sources import landing, tables
 from ..schemas import BRONZE_KEYED
 from ..functions import sql_functions
+from ..constants import VALID_EVENT_TYPES
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,6 +365,24 @@ def streaming_gold_refresh(spark, sf_dir):
     return g.select("customer_id", "total_events", _mean9(), "total_anomalies")
 
 
+def _land_growing(spark, sf_dir, folder: str, parity: int) -> None:
+    """Events of one parity: even ones with whole amounts; odd ones, in files of an old date, with decimals and new fields."""
+    events = adapters.read_table(spark, sf_dir, "events").where(F.pmod("event_id", F.lit(2)) == parity)
+    rows, amount = adapters.bronze_from_events(events), F.col("context.latency")
+    if parity == 0:
+        landing.write_events(rows.withColumn("amount", F.floor(amount).cast("bigint")), folder)
+        return
+    landing.write_events(rows.withColumns({
+        "amount": amount, "session_key": F.get_json_object("payload", "$.k").cast("bigint"),
+        "context": F.struct("context.latency", "context.pii", (F.col("event_id") % 10).alias("digit"))}), folder)
+    _backdate(spark, folder)
+
+
+def _grown(bronze: DataFrame) -> DataFrame:
+    return bronze.select("event_id", "customer_id", "event_type", F.col("context.latency").alias("latency"), "amount",
+                         "session_key", F.col("context.digit").alias("digit"))
+
+
 @register("schema_evolution", oracle.SCHEMA_EVOLUTION)
 def schema_evolution(spark, sf_dir):
     """Later, older-dated files add a top-level and a nested field and hold decimals where whole numbers were: the
@@ -371,19 +390,90 @@ def schema_evolution(spark, sf_dir):
     from ..streaming import ingest
     root = scratch_path(spark, "evolve")
     zone = f"{root}/landing"
-    events = adapters.read_table(spark, sf_dir, "events")
-    parity = F.pmod("event_id", F.lit(2))
-    early, later = events.where(parity == 0), events.where(parity == 1)
-    amount = F.col("context.latency")
-    landing.write_events(adapters.bronze_from_events(early).withColumn("amount", F.floor(amount).cast("bigint")),
-                         f"{zone}/early")
+    _land_growing(spark, sf_dir, f"{zone}/early", 0)
     ingest.evolve_schema(spark, f"{zone}/*", f"{root}/_schema")
-    grown = adapters.bronze_from_events(later).withColumns({
-        "amount": amount, "session_key": F.get_json_object("payload", "$.k").cast("bigint"),
-        "context": F.struct("context.latency", "context.pii", (F.col("event_id") % 10).alias("digit"))})
-    landing.write_events(grown, f"{zone}/later")
-    _backdate(spark, f"{zone}/later")
+    _land_growing(spark, sf_dir, f"{zone}/later", 1)
     merged, _, _ = ingest.evolve_schema(spark, f"{zone}/*", f"{root}/_schema")
-    df = landing.read_landing(spark, zone, merged, mode="FAILFAST", recursive=True)
-    return df.select("event_id", "customer_id", "event_type", F.col("context.latency").alias("latency"), "amount",
-                     "session_key", F.col("context.digit").alias("digit"))
+    return _grown(landing.read_landing(spark, zone, merged, mode="FAILFAST", recursive=True))
+
+
+@register("strict_silver", oracle.SILVER_TELEMETRY)
+def strict_silver(spark, sf_dir):
+    """Events of known types under the rule set that fails on any other: published and read back."""
+    bronze = adapters.load_bronze(spark, sf_dir).where(F.col("event_type").isin(*VALID_EVENT_TYPES))
+    root = scratch_path(spark, "strict")
+    tables.publish(medallion.silver(bronze, expectations.STRICT_SILVER_RULES), root, "silver", partition_by=["timestamp_date"])
+    s = tables.read_published(spark, root, "silver")
+    return s.select("event_id", "customer_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+                    "timestamp_date", "event_type", "latency_ms", "is_pii", "masked_payload")
+
+
+@register("streaming_batch_log", oracle.STREAMING_BATCH_LOG)
+def streaming_batch_log(spark, sf_dir):
+    """What the commit records of all micro-batches add up to: landed, kept, rejected and malformed rows."""
+    from ..streaming import commits, ingest
+    root = _streamed_medallion(spark, sf_dir)
+    landed = commits.log_frame(spark, f"{root}/_commits/bronze", ingest.BRONZE_LOG)
+    checked = commits.log_frame(spark, f"{root}/_commits/silver", ingest.SILVER_LOG)
+    total = landed.agg(F.sum("rows").alias("landed"))
+    return checked.agg(*[F.sum(c).alias(c) for c in ("kept", "rejected", "corrupt")]).select(
+        total.scalar().alias("landed"), "kept", "rejected", "corrupt")
+
+
+@register("schema_widening_stream", oracle.SCHEMA_EVOLUTION)
+def schema_widening_stream(spark, sf_dir):
+    """The growth of ``schema_evolution`` through the streams: the later run finds stored bronze of a narrower type, starts
+    a new group of files, and all rows are read in the widened schema."""
+    from ..streaming import ingest
+    root = scratch_path(spark, "widening")
+    zone = f"{root}/landing"
+    _land_growing(spark, sf_dir, f"{zone}/early", 0)
+    ingest.run_available_now(spark, f"{zone}/*", root, schema=None, widened="group", gold="none")
+    _land_growing(spark, sf_dir, f"{zone}/later", 1)
+    ingest.run_available_now(spark, f"{zone}/*", root, schema=None, widened="group", gold="none")
+    merged = tables.load_schema(spark, f"{root}/_schema/versions")
+    return _grown(ingest.read_bronze(spark, root, merged))
+
+
+@register("streaming_gold_incremental", oracle.STREAMING_GOLD_REFRESH)
+def streaming_gold_incremental(spark, sf_dir):
+    """Gold brought up to date after each of three runs from the batches that were new."""
+    from ..streaming import ingest
+    root = scratch_path(spark, "gold-state")
+    for number in range(3):
+        _land_chunk(spark, sf_dir, f"{root}/landing", number)
+        ingest.run_available_now(spark, f"{root}/landing/*", root, schema=BRONZE_KEYED, gold="incremental")
+    g = tables.read_published(spark, root, "gold_customer_analytics")
+    return g.select("customer_id", "total_events", _mean9(), "total_anomalies")
+
+
+@register("customer_events_lookup", oracle.CUSTOMER_EVENTS_LOOKUP)
+def customer_events_lookup(spark, sf_dir):
+    """All events of one customer from published silver in order of time: Bloom filters skip the other row groups."""
+    root = scratch_path(spark, "silver")
+    tables.publish(_silver(spark, sf_dir), root, "silver", sort_within=["event_time"], bloom={"customer_id": 100_000})
+    found = tables.read_published(spark, root, "silver").where(F.col("customer_id") == oracle.LOOKUP_ID)
+    return found.select("event_id", "customer_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "latency_ms")
+
+
+@register("knowledge_index_merge", oracle.KNOWLEDGE_INDEX_SYNC)
+def knowledge_index_merge(spark, sf_dir):
+    """The index of ``knowledge_index_sync`` kept by change files: the triggered stream rewrites touched buckets only."""
+    from ..streaming import index_merge
+    old, new = _snapshots(spark, sf_dir)
+    root = scratch_path(spark, "index-merge")
+    index_merge.upserts(old, 1).write.parquet(f"{root}/changes/run=1")
+    index_merge.merge_changes(spark, f"{root}/changes/*", f"{root}/index")
+    gone = old.join(new.select("id"), "id", "left_anti")
+    index_merge.upserts(new, 2).unionByName(index_merge.deletes(gone, 2)).write.parquet(f"{root}/changes/run=2")
+    index_merge.merge_changes(spark, f"{root}/changes/*", f"{root}/index")
+    return index_merge.read_index(spark, f"{root}/index").select("id", "text_hash", *_shape())
+
+
+@register("vector_topk_blocks", oracle.VECTOR_TOPK)
+def vector_topk_blocks(spark, sf_dir):
+    """``vector_topk`` over blocks that bounds let it skip; the queries stay a table."""
+    emb = adapters.read_table(spark, sf_dir, "embeddings")
+    queries = knowledge.centroids(emb, "label").select(F.col("label").alias("query_label"), F.col("centroid"))
+    hits = vector_search.knn_blocks(emb, queries, 3, id_col="vec_id", qid_col="query_label", qvec_col="centroid")
+    return hits.select("query_label", "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -389,6 +389,15 @@ SELECT 'corrupt' AS kind, NULL AS event_id, NULL AS customer_id, NULL AS event_t
        '{{"event_id": ' || event_id || ', "customer_id"' AS raw_line, false AS has_payload
 FROM events WHERE event_id % 101 = 0""")
 
+STREAMING_BATCH_LOG = with_ctes(BRONZE_CTE, SILVER_CTE, body="""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM events) + (SELECT CAST(count(*) AS BIGINT) FROM events WHERE event_id % 101 = 0) AS landed,
+       (SELECT CAST(count(*) AS BIGINT) FROM silver) AS kept,
+       (SELECT CAST(count(*) AS BIGINT) FROM events) - (SELECT CAST(count(*) AS BIGINT) FROM silver) AS rejected,
+       (SELECT CAST(count(*) AS BIGINT) FROM events WHERE event_id % 101 = 0) AS corrupt""")
+
+CUSTOMER_EVENTS_LOOKUP = with_ctes(BRONZE_CTE, SILVER_CTE, body=f"""
+SELECT event_id, customer_id, event_time, latency_ms FROM silver WHERE customer_id = '{LOOKUP_ID}'""")
+
 SCHEMA_EVOLUTION = with_ctes(BRONZE_CTE, body="""
 SELECT event_id, customer_id, event_type, latency,
        CASE WHEN event_id % 2 = 0 THEN floor(latency) ELSE latency END AS amount,

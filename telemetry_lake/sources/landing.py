@@ -20,6 +20,7 @@ from ..schemas import BRONZE
 from .tables import _fs
 
 CORRUPT = "_corrupt_record"
+WIDENED = " -> "
 
 
 def write_events(df: DataFrame, path: str, mode: str = "append", compression: str | None = None) -> str:
@@ -113,6 +114,20 @@ def merge_schema(stored: T.StructType, incoming: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
+def with_types_of(schema: T.StructType, narrow: T.StructType) -> T.StructType:
+    """The fields of ``schema`` in its order, each in the type it has in ``narrow`` if it is there."""
+    old = {f.name: f.dataType for f in narrow.fields}
+
+    def typed(name: str, new: T.DataType) -> T.DataType:
+        if name not in old:
+            return new
+        if isinstance(new, T.StructType) and isinstance(old[name], T.StructType):
+            return with_types_of(new, old[name])
+        return old[name]
+
+    return T.StructType([T.StructField(f.name, typed(f.name, f.dataType), True) for f in schema.fields])
+
+
 def widened_columns(stored: T.StructType, merged: T.StructType, prefix: str = "") -> list[str]:
     """``name: old -> new`` of the stored fields whose type changed."""
     out = []
@@ -122,7 +137,7 @@ def widened_columns(stored: T.StructType, merged: T.StructType, prefix: str = ""
         if isinstance(f.dataType, T.StructType) and isinstance(t, T.StructType):
             out += widened_columns(f.dataType, t, f"{prefix}{f.name}.")
         elif f.dataType.simpleString() != t.simpleString():
-            out.append(f"{prefix}{f.name}: {f.dataType.simpleString()} -> {t.simpleString()}")
+            out.append(f"{prefix}{f.name}: {f.dataType.simpleString()}{WIDENED}{t.simpleString()}")
     return out
 
 

@@ -65,21 +65,32 @@ def _last_record(spark: SparkSession, path: str) -> dict | None:
     return json.loads(text)
 
 
+def with_bloom(writer, bloom: dict[str, int] | None):
+    """A Parquet writer that adds Bloom filters: column -> distinct values expected in a row group."""
+    for column, distinct in (bloom or {}).items():
+        writer = (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                        .option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct)))
+    return writer
+
+
 def publish(df: DataFrame, root: str, name: str, *, partition_by=None, sort_within=None,
-            comment: str | None = None, properties: dict | None = None) -> str:
+            comment: str | None = None, properties: dict | None = None, bloom: dict[str, int] | None = None) -> str:
     """Write ``df`` to ``root/name/v-<id>`` and make it the current version.
 
     ``comment`` and ``properties`` are stored with the pointer (SNK-3).  With
     ``partition_by`` the rows are rebalanced by those columns first: adaptive
     execution merges small partitions and splits large ones, so a version has
-    few files per value instead of one per task and value.
+    few files per value instead of one per task and value.  ``bloom`` maps
+    columns to the number of distinct values expected in a row group: their
+    Parquet Bloom filters let a lookup skip row groups whose minimum and
+    maximum enclose the value but that do not hold it.
     """
     spark = df.sparkSession
     version = f"{root.rstrip('/')}/{name}/v-{uuid.uuid4().hex[:12]}"
     out = df.hint("rebalance", *partition_by) if partition_by else df
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
-    w = out.write.mode("error")
+    w = with_bloom(out.write.mode("error"), bloom)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(version)
@@ -112,6 +123,11 @@ def save_schema(spark: SparkSession, schema: T.StructType, path: str, changes: l
     _append_record(spark, path, {"schema": schema.jsonValue(), "changes": changes or []})
 
 
+def schema_records(spark: SparkSession, path: str) -> list[dict]:
+    """All stored schemas with their changes, oldest first (one record per change of the schema)."""
+    return [json.loads(spark.read.text(f, wholetext=True).first()[0]) for _, f in _records(spark, path)]
+
+
 def load_schema(spark: SparkSession, path: str) -> T.StructType | None:
     record = _last_record(spark, path)
     return T.StructType.fromJson(record["schema"]) if record else None

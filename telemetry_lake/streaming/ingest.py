@@ -3,14 +3,14 @@
 * landing NDJSON -> bronze Parquet: file source with a pinned schema, each
   file processed once (checkpointed file log), ``trigger(availableNow)``;
   a malformed line becomes a bronze row that keeps its text (STR-1, SRC-2)
-* bronze -> silver: the same ``silver`` function on the streaming DataFrame,
-  append mode, partitioned by date; ``fail`` rules abort the stream
-  (STR-2, SRC-6, SCL-7)
-* bronze -> rejected: malformed lines and rows removed by drop rules, with
-  the rules they failed and the payload masked (EXP-4).  Kept + rejected +
-  corrupt rows are exactly the lines landed.
-* counts per run come from committed data: every row carries the run that
-  wrote it, and the report counts the rows of that run (STR-3)
+* bronze -> silver and rejected: one stream, the same ``silver`` function on
+  each micro-batch, partitioned by date; malformed lines and rows removed by
+  drop rules go to the rejected table with the rules they failed and the
+  payload masked; ``fail`` rules abort the stream (STR-2, SRC-6, SCL-7, EXP-4)
+* one commit per micro-batch (``commits``): kept, rejected and corrupt rows
+  of a batch are visible together or not at all, with their counts, so
+  kept + rejected + corrupt = landed also after a crash between the sinks.  A
+  run reports the counts of the batches it committed and scans nothing (STR-3)
 * gold refresh: batch recompute over the whole silver table and publish a
   new version (STR-4).  Gold cannot be a streaming aggregate: one new event
   moves the population threshold and can reclassify any past event.
@@ -25,8 +25,9 @@ or a restarted driver resumes from the last committed micro-batch.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,26 +37,52 @@ from ..operators import medallion
 from ..operators.expectations import SILVER_RULES, apply_expectations, failed_rules
 from ..schemas import BRONZE
 from ..sources import landing, tables
+from . import commits, gold_state
 
 RUN = "ingest_run"
 # A file's age never decides whether it is ingested; only the log of seen files does.
 NO_AGE_LIMIT = "36500d"
+# Distinct customers expected in a row group of silver: sizes its Bloom filter, which lookups skip files by.
+CUSTOMERS = 100_000
 CORRUPT_KIND, QUARANTINE_KIND = "corrupt", "quarantine"
 
 
+# The commit records of the two streams, read as tables.
+BRONZE_LOG = T.StructType([T.StructField("batch", T.StringType()), T.StructField("run", T.StringType()),
+                           T.StructField("rows", T.LongType()), T.StructField("corrupt", T.LongType())])
+SILVER_LOG = T.StructType([*BRONZE_LOG.fields, T.StructField("kept", T.LongType()), T.StructField("rejected", T.LongType()),
+                           T.StructField("violations", T.MapType(T.StringType(), T.LongType()))])
+
+
 def stored_bronze(schema: T.StructType) -> T.StructType:
     """The bronze table's schema: the landed fields, the text of a malformed line, the run."""
     return T.StructType(landing.with_corrupt(schema).fields + [T.StructField(RUN, T.StringType(), True)])
 
 
-def _append(stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None) -> None:
-    writer = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-                    .outputMode("append").trigger(availableNow=True))
-    (writer.partitionBy(partition_by) if partition_by else writer).start().awaitTermination()
+def _run(stream: DataFrame, sink, checkpoint: str) -> None:
+    """Hand every available micro-batch to ``sink(batch, batch name)``, then stop."""
+    spark, stream_name = stream.sparkSession, []
+
+    def each(batch: DataFrame, number: int) -> None:
+        if not stream_name:
+            stream_name.append(commits.stream_id(spark, checkpoint))
+        sink(batch, commits.batch_name(stream_name[0], number))
+
+    (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+     .start().awaitTermination())
+
+
+def _write(df: DataFrame, path: str, counts: dict, partition_by: str | None = None, bloom: dict[str, int] | None = None) -> dict:
+    """Write one output of a batch, over what an earlier attempt left; returns ``counts`` of the rows written."""
+    seen = Observation()
+    watched = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
+    writer = tables.with_bloom(watched.write.mode("overwrite"), bloom)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return {name: seen.get[name] or 0 for name in counts}
 
 
 def _read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """What streams appended under ``path`` (nothing before the first run)."""
+    """What was appended under ``path`` (nothing before the first run)."""
     if not tables.path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
@@ -67,18 +94,34 @@ def _limited(reader, max_files_per_trigger: int | None):
 
 
 def landing_to_bronze(spark: SparkSession, landing_dir: str, bronze_dir: str, checkpoint: str, *,
-                      schema: T.StructType = BRONZE, max_files_per_trigger: int | None = None) -> dict:
+                      schema: T.StructType = BRONZE, max_files_per_trigger: int | None = None,
+                      commits_dir: str | None = None, archive_dir: str | None = None) -> dict:
     """Append every not-yet-seen landing file to bronze, then stop.
 
-    Returns the run's name and its exact numbers of rows and malformed lines.
+    With ``archive_dir`` (outside the landing zone) files move there once the batch that read them is followed by another
+    one, so a run lists the new files and those of the last batch before it, not the zone's history.  Returns the run's name
+    and its exact numbers of rows and malformed lines.
     """
     run = uuid.uuid4().hex
+    log = commits_dir or f"{bronze_dir}_commits"
+    done = {"run": run, "rows": 0, "corrupt": 0, "batches": []}
+
+    def sink(batch: DataFrame, name: str) -> None:
+        if commits.is_committed(spark, log, name):
+            return
+        got = _write(batch.withColumn(RUN, F.lit(run)), commits.batch_path(bronze_dir, name),
+                     {"rows": F.count(F.lit(1)), "corrupt": F.count(landing.CORRUPT)})
+        commits.commit(spark, log, name, {"run": run, **got})
+        done["batches"].append(name)
+        for key in got:
+            done[key] += got[key]
+
+    commits.discard_in_flight(spark, bronze_dir, log)
     reader = spark.readStream.schema(landing.with_corrupt(schema)).option("columnNameOfCorruptRecord", landing.CORRUPT)
-    lines = _limited(reader, max_files_per_trigger).json(landing_dir)
-    _append(lines.withColumn(RUN, F.lit(run)), bronze_dir, checkpoint)
-    written = _read_appended(spark, bronze_dir, stored_bronze(schema)).where(F.col(RUN) == run)
-    n, bad = written.agg(F.count(F.lit(1)), F.count(landing.CORRUPT)).first()
-    return {"run": run, "rows": n, "corrupt": bad}
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
+    _run(_limited(reader, max_files_per_trigger).json(landing_dir), sink, checkpoint)
+    return done
 
 
 def _rejected(bronze: DataFrame, rules) -> DataFrame:
@@ -102,37 +145,63 @@ def _valid(bronze: DataFrame, rules) -> DataFrame:
     return medallion.silver(good.withColumn("warnings", warned), (), ingest_time=True, keep=("event_id", "warnings", RUN))
 
 
+def _names_rule(column: str, rule) -> Column:
+    """How many rows name the rule in a comma-separated column."""
+    return F.count_if(F.coalesce(F.array_contains(F.split(column, ","), rule.name), F.lit(False)))
+
+
+def silver_schema(spark: SparkSession, schema: T.StructType = BRONZE, rules=SILVER_RULES) -> T.StructType:
+    return _valid(spark.createDataFrame([], stored_bronze(schema)), rules).schema
+
+
+def rejected_schema(spark: SparkSession, schema: T.StructType = BRONZE, rules=SILVER_RULES) -> T.StructType:
+    return _rejected(spark.createDataFrame([], stored_bronze(schema)), rules).schema
+
+
 def bronze_to_silver(spark: SparkSession, bronze_dir: str, silver_dir: str, checkpoint: str, *,
                      schema: T.StructType = BRONZE, rules=SILVER_RULES, rejected_dir: str | None = None,
-                     max_files_per_trigger: int | None = None) -> dict:
+                     max_files_per_trigger: int | None = None, commits_dir: str | None = None,
+                     stored: T.StructType | None = None) -> dict:
     """Append new bronze files to silver and the rows it refuses to ``rejected_dir``, then stop.
 
-    A ``fail`` rule aborts the stream; the file sink commits nothing for the
-    failed micro-batch, so readers of silver never see its rows.  Returns the
-    exact counts of this run: rows checked and violations by rule.
+    Both tables of a micro-batch are covered by one commit record, which also holds its counts.  A ``fail`` rule aborts the
+    stream before anything of the batch is committed.  ``stored`` is the schema of the bronze files where it is narrower than
+    ``schema``: their rows are cast.  Returns the exact counts of this run: rows checked and violations by rule.
     """
     run = uuid.uuid4().hex
     rejected_dir = rejected_dir or f"{silver_dir}_rejected"
-    schema_ = stored_bronze(schema)
-
-    def bronze() -> DataFrame:
-        rows = _limited(spark.readStream.schema(schema_), max_files_per_trigger).parquet(bronze_dir)
-        return rows.withColumn(RUN, F.lit(run))
-
-    _append(_valid(bronze(), rules), silver_dir, checkpoint, partition_by="timestamp_date")
-    _append(_rejected(bronze(), rules), rejected_dir, f"{checkpoint}_rejected")
-
-    empty = spark.createDataFrame([], schema_)
-    kept = (_read_appended(spark, silver_dir, _valid(empty, rules).schema).where(F.col(RUN) == run)
-            .select(F.col("warnings").alias("names"), F.lit(False).alias("bad")))
-    refused = (_read_appended(spark, rejected_dir, _rejected(empty, rules).schema).where(F.col(RUN) == run)
-               .select(F.col("failed_rules").alias("names"), (F.col("kind") == CORRUPT_KIND).alias("bad")))
-    counts = [F.count_if(~F.col("bad")).alias("rows"), F.count_if(F.col("bad")).alias("corrupt")]
-    counts += [F.count_if(F.coalesce(F.array_contains(F.split("names", ","), r.name), F.lit(False))).alias(f"v{i}")
-               for i, r in enumerate(rules)]
-    row = kept.union(refused).agg(*counts).first()
-    return {"run": run, "rows": row["rows"], "corrupt": row["corrupt"],
-            "violations": {r.name: row[f"v{i}"] for i, r in enumerate(rules)}}
+    log = commits_dir or f"{silver_dir}_commits"
+    done = {"run": run, "rows": 0, "corrupt": 0, "violations": {r.name: 0 for r in rules}, "batches": []}
+    warn, drop = ([r for r in rules if r.action == a] for a in ("warn", "drop"))
+
+    def sink(batch: DataFrame, name: str) -> None:
+        if commits.is_committed(spark, log, name):
+            return
+        rows = widen_rows(batch, stored_bronze(schema)).withColumn(RUN, F.lit(run))
+        kept = _write(_valid(rows, rules), commits.batch_path(silver_dir, name),
+                      {"rows": F.count(F.lit(1)), **{r.name: _names_rule("warnings", r) for r in warn}}, "timestamp_date",
+                      {"customer_id": CUSTOMERS})
+        refused = _write(_rejected(rows, rules), commits.batch_path(rejected_dir, name),
+                         {"rows": F.count(F.lit(1)), "corrupt": F.count_if(F.col("kind") == CORRUPT_KIND),
+                          **{r.name: _names_rule("failed_rules", r) for r in drop}})
+        violations = {r.name: kept.get(r.name, 0) + refused.get(r.name, 0) for r in rules}
+        counts = {"rows": kept["rows"] + refused["rows"] - refused["corrupt"], "corrupt": refused["corrupt"],
+                  "kept": kept["rows"], "rejected": refused["rows"] - refused["corrupt"]}
+        commits.commit(spark, log, name, {"run": run, **counts, "violations": violations})
+        done["batches"].append(name)
+        for key in ("rows", "corrupt"):
+            done[key] += counts[key]
+        for rule, n in violations.items():
+            done["violations"][rule] += n
+
+    bronze = _limited(spark.readStream.schema(stored_bronze(stored or schema)), max_files_per_trigger).parquet(bronze_dir)
+    _run(bronze, sink, checkpoint)
+    return done
+
+
+def widen_rows(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` from rows whose types may be narrower."""
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def refresh_gold(spark: SparkSession, silver_dir: str, gold_root: str, *, sigma: float = ANOMALY_SIGMA,
@@ -144,28 +213,82 @@ def refresh_gold(spark: SparkSession, silver_dir: str, gold_root: str, *, sigma:
 
 
 def run_available_now(spark: SparkSession, landing_dir: str, root: str, *, schema: T.StructType | None = BRONZE,
-                      rules=SILVER_RULES, sigma: float = ANOMALY_SIGMA) -> dict:
+                      rules=SILVER_RULES, sigma: float = ANOMALY_SIGMA, widened: str = "refuse",
+                      max_files_per_trigger: int | None = None, archive_dir: str | None = None, gold: str = "full") -> dict:
     """One incremental refresh: landing -> bronze -> silver streams, then gold.
 
-    With ``schema=None`` the schema is the stored one merged with what the new
-    files hold (``evolve_schema``).  A stored field whose type had to be
-    widened cannot be appended to bronze files of the narrower type: such a
-    run is refused before anything is ingested, and the zone has to be read
-    into a new root, where the wider type holds from the start.
+    ``gold`` is recomputed from all of silver ("full"), brought up to date from the new batches ("incremental",
+    ``gold_state``) or left alone ("none").
+
+    With ``schema=None`` the schema is the stored one merged with what the new files hold (``evolve_schema``).  Bronze files
+    stay as they are when a stored field's type widens: with ``widened="group"`` the rows that follow go to a new group of
+    bronze files of the wider schema, and readers cast the earlier groups (``read_bronze``); with "refuse" such a run is
+    refused before anything is ingested.
     """
     root = root.rstrip("/")
     added: list[str] = []
     if schema is None:
-        schema, added, widened = evolve_schema(spark, landing_dir, f"{root}/_schema")
-        if widened and tables.path_exists(spark, f"{root}/bronze"):
-            raise ValueError(f"landed types grew ({'; '.join(widened)}); bronze under {root} holds the narrower type, "
-                             "ingest the landing zone into a new root")
-    b = landing_to_bronze(spark, landing_dir, f"{root}/bronze", f"{root}/_checkpoints/bronze", schema=schema)
-    s = bronze_to_silver(spark, f"{root}/bronze", f"{root}/silver", f"{root}/_checkpoints/silver",
-                         schema=schema, rules=rules, rejected_dir=f"{root}/rejected")
-    gold_version = refresh_gold(spark, f"{root}/silver", root, sigma=sigma)
-    return {"bronze_rows": b["rows"], "corrupt_rows": b["corrupt"], "silver_input_rows": s["rows"],
-            "expectations": {"rows": s["rows"], **s["violations"]}, "added_columns": added, "gold_version": gold_version}
+        schema, added, wider = evolve_schema(spark, landing_dir, f"{root}/_schema")
+        if wider and widened == "refuse" and tables.path_exists(spark, f"{root}/bronze"):
+            raise ValueError(f"landed types grew ({'; '.join(wider)}); bronze under {root} holds the narrower type, "
+                             "ingest with widened='group' or into a new root")
+    groups = bronze_groups(spark, root, schema)
+    log = f"{root}/_commits/bronze"
+    for group, _ in groups:  # what a run that stopped left behind may be in an earlier group
+        commits.discard_in_flight(spark, bronze_path(root, group), log)
+    b = landing_to_bronze(spark, landing_dir, bronze_path(root, groups[-1][0]), f"{root}/_checkpoints/bronze", schema=schema,
+                          commits_dir=log, max_files_per_trigger=max_files_per_trigger, archive_dir=archive_dir)
+    checked = {"rows": 0, **{r.name: 0 for r in rules}}
+    batches = []
+    for group, stored in groups:
+        drained = f"group-{group}"
+        path = bronze_path(root, group)
+        if commits.is_committed(spark, f"{root}/_commits/drained", drained) or not tables.path_exists(spark, path):
+            continue
+        s = bronze_to_silver(spark, path, f"{root}/silver", f"{root}/_checkpoints/silver-{group}", schema=schema, stored=stored,
+                             rules=rules, rejected_dir=f"{root}/rejected", commits_dir=f"{root}/_commits/silver",
+                             max_files_per_trigger=max_files_per_trigger)
+        checked["rows"] += s["rows"]
+        for rule, n in s["violations"].items():
+            checked[rule] += n
+        batches += s["batches"]
+        if group != groups[-1][0]:  # nothing is added to it any more
+            commits.commit(spark, f"{root}/_commits/drained", drained, {})
+    gold_version = None
+    if gold == "full":
+        gold_version = refresh_gold(spark, f"{root}/silver", root, sigma=sigma)
+    elif gold == "incremental":
+        gold_version = gold_state.refresh_gold_incremental(spark, f"{root}/silver", f"{root}/_commits/silver", root,
+                                                           sigma=sigma)["gold_version"]
+    return {"bronze_rows": b["rows"], "corrupt_rows": b["corrupt"], "silver_input_rows": checked["rows"],
+            "expectations": checked, "added_columns": added, "gold_version": gold_version, "batches": batches}
+
+
+def bronze_path(root: str, group: int) -> str:
+    return f"{root}/bronze/schema_group={group}"
+
+
+def bronze_groups(spark: SparkSession, root: str, schema: T.StructType) -> list[tuple[int, T.StructType]]:
+    """(group, schema its files can be read with) of bronze, oldest first; the last one takes new rows.
+
+    A group ends where a stored type widened.  Its files are read with the fields of ``schema``, in the types they had then.
+    """
+    records = tables.schema_records(spark, f"{root}/_schema/versions")
+    starts = [0] + [i for i, r in enumerate(records) if any(landing.WIDENED in c for c in r["changes"])]
+    ends = [*starts[1:], len(records)]
+    out = []
+    for group, end in enumerate(ends, 1):
+        narrow = T.StructType.fromJson(records[end - 1]["schema"]) if records else schema
+        out.append((group, landing.with_types_of(schema, narrow)))
+    return out
+
+
+def read_bronze(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """All committed bronze rows in the current schema, whatever the types of the files they are in."""
+    root = root.rstrip("/")
+    parts = [widen_rows(commits.read_committed(spark, bronze_path(root, group), f"{root}/_commits/bronze", stored_bronze(stored)),
+                        stored_bronze(schema)) for group, stored in bronze_groups(spark, root, schema)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evolve_schema(spark: SparkSession, landing_dir: str, schema_path: str) -> tuple[T.StructType, list[str], list[str]]:
