@@ -162,8 +162,18 @@ def groups(words: DataFrame, least_letters: int, group: int = GROUP) -> DataFram
     node = F.concat_ws(" ", "shorter", "head", "tail", F.substring(F.col("word"), F.lit(1), F.col("head")),
                        F.substring(F.col("word"), length - F.col("tail") + 1, F.col("tail")))
     open_letters = F.col("shorter") - F.col("head") - F.col("tail")
-    rows = (words.select("word", "n", F.explode(F.array(length, length - 1)).alias("shorter"), F.lit(0).alias("head"),
-                         F.lit(0).alias("tail"), F.lit(0).alias("masked")).where(F.col("shorter") >= least_letters))
+    half = F.ceil(open_letters / 2).cast("int")
+    halves = F.array(F.struct((F.col("head") + half).alias("head"), "tail", "masked"),
+                     F.struct("head", (F.col("tail") + open_letters - half).alias("tail"),
+                              (F.col("head") + half).alias("masked")))
+
+    def split(rows: DataFrame) -> DataFrame:
+        return (rows.select("word", "n", "shorter", F.explode(halves).alias("half"))
+                .select("word", "n", "shorter", "half.head", "half.tail", "half.masked"))
+
+    # a class is split once unseen: whole classes grow with the vocabulary, halves hardly at all
+    rows = split(words.select("word", "n", F.explode(F.array(length, length - 1)).alias("shorter"), F.lit(0).alias("head"),
+                              F.lit(0).alias("tail"), F.lit(0).alias("masked")).where(F.col("shorter") >= least_letters))
     settled = []
     while True:
         rows = written(rows.withColumn("node", node), "spelling-groups")
@@ -173,12 +183,7 @@ def groups(words: DataFrame, least_letters: int, group: int = GROUP) -> DataFram
         settled.append(rows.join(large, "node", "left_anti").select("word", "n", "shorter", "masked", "node"))
         if large.isEmpty():
             return reduce(DataFrame.unionByName, settled)
-        half = F.ceil(open_letters / 2).cast("int")
-        halves = F.array(F.struct((F.col("head") + half).alias("head"), "tail", "masked"),
-                         F.struct("head", (F.col("tail") + open_letters - half).alias("tail"),
-                                  (F.col("head") + half).alias("masked")))
-        rows = (rows.join(large, "node", "left_semi").select("word", "n", "shorter", F.explode(halves).alias("half"))
-                .select("word", "n", "shorter", "half.head", "half.tail", "half.masked"))
+        rows = split(rows.join(large, "node", "left_semi"))
 
 
 def near_words(words: DataFrame, least_letters: int = LEAST_LETTERS, group: int = GROUP) -> DataFrame:
