@@ -9,7 +9,8 @@ member with the region's centre, so that a text and its many copies meet however
 
 Candidates are confirmed on full sets (64-bit shingle hashes) in three rounds: first each class's best candidate, then
 every candidate between classes that are not yet connected and whose signatures do not rule the pair out, and last, in dense
-regions, the classes that share a signature with a component but are not in it, with all its members in question.  Connected
+regions, the classes that share the first hashes of a signature with a component but are not in it, with all its members in
+question.  How many hashes follows from the threshold (``stray_depth``).  Connected
 components alternate star contractions, with partial aggregates only.  No list of links reaches the driver.
 
 Defined cases: NULL text is the empty text; a text without words has the empty set and is linked with nothing; repeated
@@ -39,6 +40,10 @@ SLACK = 0.2
 STRAY_SLACK = 0.15
 BLOCK = 512
 STRAY_BLOCK = 1024
+#: Share of the pairs at the threshold that may have no stray key in common (nearness in an order still finds most of them).
+STRAY_MISSED = 2.5e-4
+#: A class of more rows than this, and than one in ``HOT_SHARE``, meets its rows by broadcast: fewer than ``HOT_SHARE`` are.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
 PRINTS = "doc_id long, row_key long, n_shingles long, node long, signature binary"
 
 
@@ -144,10 +149,21 @@ def forest(classes: DataFrame) -> DataFrame:
         F.expr(f"substring(signature, (tree + 1) % {TREES} * {step} + 1, {step})").alias("more"), "node")
 
 
-def dense_members(entries: DataFrame) -> DataFrame:
-    """(region, tree, node, whole) of the classes in regions of more than ``WINDOW`` + 1; ``whole`` names the entire signature."""
+def stray_depth(percent: int, missed: float = STRAY_MISSED) -> int:
+    """Hashes of a signature that classes of a dense region must share to be compared.
+
+    The deepest key at which at most the share ``missed`` of the pairs at the threshold have it in common in no tree; a lower
+    threshold needs a shallower one.
+    """
+    depths = range(DEPTH, LEAST_PREFIX, -1)
+    return next((d for d in depths if (1 - (percent / 100) ** d) ** TREES <= missed), LEAST_PREFIX)
+
+
+def dense_members(entries: DataFrame, depth: int) -> DataFrame:
+    """(region, tree, node, whole) of the classes in regions of more than ``WINDOW`` + 1; ``whole`` names the first ``depth``
+    hashes."""
     named = entries.select("tree", "node", F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_PREFIX)).alias("region"),
-                           F.xxhash64("tree", "key").alias("whole"))
+                           F.xxhash64("tree", F.substring("key", 1, 4 * depth)).alias("whole"))
     dense = named.groupBy("region").count().where(F.col("count") > WINDOW + 1).select("region")
     return written(named.join(dense, "region"), "dense")
 
@@ -279,6 +295,8 @@ def between_strays(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percen
              .join(classes.select("node", "signature"), "node").join(sets, "node"))
     least = percent / 100 - STRAY_SLACK
 
+    depth = stray_depth(percent)
+
     def compare(cell: pa.Table) -> pa.Table:
         node, part, own = (cell.column(c).to_numpy().copy() for c in ("node", "part", "own"))
         x = np.frombuffer(b"".join(cell.column("signature").to_pylist()), ">u4").reshape(cell.num_rows, TREES, DEPTH)
@@ -288,7 +306,7 @@ def between_strays(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percen
         for i, met in sharing([np.frombuffer(m, np.uint64) for m in held], percent):
             met = met[(part[met] != part[i]) & (inside | (own[met] != own[i]))]
             same = x[met] == x[i]
-            met = met[(same.mean(axis=(1, 2)) >= least) & ~same[:, :tree].all(axis=2).any(axis=1)]
+            met = met[(same.mean(axis=(1, 2)) >= least) & ~same[:, :tree, :depth].all(axis=2).any(axis=1)]
             for j in met.tolist():
                 if part[j] != part[i] and linked(held[i], held[j], percent):
                     found.append((min(node[i], node[j]), max(node[i], node[j])))
@@ -343,15 +361,15 @@ def joined_by(root: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, row_key, n_shingles, component_id, kept."""
+    """One row per document: doc_id, row_key, n_shingles, component_id, kept, root (of its component; NULL without words)."""
     texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row_key").alias("row_key"), "text")
     prints = written(texts.mapInArrow(fingerprints(words), PRINTS), "prints")
     slim = prints.drop("signature")
     classes = written(prints.where(F.col("signature").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature")),
-        "classes")
+        F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature"),
+        F.count(F.lit(1)).alias("n")), "classes")
     entries = forest(classes)
-    dense = dense_members(entries)
+    dense = dense_members(entries, stray_depth(percent))
     pairs = written(candidates(entries, dense), "candidates")
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct()
@@ -386,13 +404,17 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     root = joined_by(root, stray_links(mixed, classes, sets, percent).union(
         between_strays(mixed, classes, sets, percent)))
 
-    named = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "doc_id", "n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.select("node", "root").join(least, "root").select("node", "component_id")
-    out = slim.join(of_node, "node", "left").withColumn(
-        "component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    of_node = written(named.join(least, "root").select("node", "n", "root", "component_id"), "of-node")
+    alone = slim.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    full = slim.where("n_shingles > 0")
+    often = max(HOT_ROWS, full.count() // HOT_SHARE)  # a text copied that often is no shuffle key
+    hot, cold = of_node.where(F.col("n") > often).drop("n"), of_node.where(F.col("n") <= often).drop("n")
+    out = (full.join(F.broadcast(hot), "node")
+           .unionByName(full.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold, "node")).unionByName(alone))
     return out.select("doc_id", "row_key", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
 
 
 def plausible(least: float):
@@ -407,11 +429,18 @@ def plausible(least: float):
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("row_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("row_key", "root")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, the one of the smallest id; rows equal in id and text are one document."""
+    """One document of each group stays: the one of the smallest id, NULL ids last, then the smallest row key.
+
+    Rows equal in id and text are one document.  Documents without words are in no group: each stays.
+    """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    found = near_duplicates(docs, words, percent)
+    first = (found.where(F.col("root").isNotNull()).groupBy("root")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key")).alias("first")))
+    kept = (first.select(F.col("first.row_key").alias("_row_key"))
+            .union(found.where(F.col("root").isNull()).select("row_key").distinct()))
     return keyed(docs).join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*names)
