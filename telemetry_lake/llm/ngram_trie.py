@@ -1,15 +1,20 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The text is tokenised once into chunks (word hashes and token codes) in the shared folder.  For each order n, every chunk sends
-its distinct n-grams with their training counts to shards by context; a shard sums the counts of all chunks, builds its part
-of the trie and answers every chunk's n-grams with codes.  A chunk then turns the codes into scores of its documents.  So the
-corpus counts grow with the input, a shard holds about ``SHARD_TOKENS`` n-grams, and the successors of a frequent context
-of any order (at least an eighth of that many tokens) are spread over all shards by their own hash.
-
-A level of the trie holds, in one memory-mapped block: the sorted contexts and the pointers to their first successors, both as
-Elias-Fano sequences; the successors relative to their context (number of the context, then a 40-bit word hash) as one
+The text is tokenised once into chunks (word hashes and token codes) in the shared folder.  A chunk sends its distinct words
+with their training counts to shards and gets the corpus counts back.  Then it sends its distinct longer n-grams, of all
+orders at once, as a small trie in pre-order: words below their context, so a context is named once however many n-grams
+follow it.  A shard sums the counts of all chunks, builds its part of the model and answers with one byte per n-gram and per
+context; the chunk turns them into scores of its documents.  So the corpus counts grow with the input.
+
+An n-gram is kept where its context is kept, from the first word's shard on.  The successors of a frequent context of any
+order (at least an eighth of ``SHARD_TOKENS`` tokens) are spread over all shards by their own hash; its count goes to the
+tasks.  There are at most 8 such contexts a shard.
+
+A level of the trie holds, in one memory-mapped block: per context of the level below the pointer to its first successor,
+as an Elias-Fano sequence; the successors relative to their context (number of the context, then a 40-bit word hash) as one
 monotone Elias-Fano sequence; and one quantised byte each for a successor's discounted probability and a context's back-off.
-A lookup finds the context, then searches its successor among those between two pointers.
+A lookup starts at the first word and goes down: at each level it decodes the blocks that its context's pointers bound and
+searches its word between them; the place found is the context of the next level.
 
 Probabilities: P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), and for longer contexts
 P(w | h) = c(h, w) / (c(h) + MU) + MU / (c(h) + MU) * P(w | shorter h), a distribution over words.
@@ -36,14 +41,16 @@ from .common import crc_mod, hash_words, mix, slices, split_words, table, writte
 ORDER = 3
 MU = 2.0
 CHUNK_BYTES = 10 << 20
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_200_000
 SUCCESSOR_BITS = 40
 BLOCK = 1 << 16
 DECADES = 10.0
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, ends binary, codes binary, words binary, tokens long"
-GRAMS = "shard int, chunk long, context binary, repeats binary, word binary, count binary"
-ANSWERS = "shard int, chunk long, alpha binary, gamma binary, total long, distinct long, hot binary, hot_count binary"
+WORDS = "shard int, chunk long, names binary, counts binary"
+COUNTS = "shard int, chunk long, counts binary, total long, distinct long, hot binary, hot_count binary"
+TRIES = "shard int, chunk long, sizes binary, names binary, children binary, words binary, counts binary"
+ANSWERS = "shard int, chunk long, sizes binary, alpha binary, gamma binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
 
@@ -123,51 +130,51 @@ def quantise(p: np.ndarray) -> np.ndarray:
 RESTORED = np.concatenate([[0.0], 10 ** (DECADES * (np.arange(255) / 254 - 1))])
 
 
+def within(values: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Position of each word among ``values[lo:hi]``, which are sorted there, or -1: one binary search for all."""
+    end = hi
+    lo, hi = lo.copy(), hi.copy()
+    while (lo < hi).any():
+        mid = (lo + hi) >> 1
+        below = (lo < hi) & (values[np.minimum(mid, len(values) - 1)] < word)
+        lo, hi = np.where(below, mid + 1, lo), np.where(below | (lo >= hi), hi, mid)
+    hit = (lo < end) & (values[np.minimum(lo, len(values) - 1)] == word) if len(values) else np.zeros(len(word), bool)
+    return np.where(hit, lo, -1)
+
+
 class Level:
-    """Contexts, pointers, successors and quantised probabilities of the n-grams of one shard."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, total_of, mu: float,
-                 frequent: float = np.inf):
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order]
-        new = np.ones(len(context), bool)
-        new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-        first = np.flatnonzero(new)
-        self.counts = np.add.reduceat(count, first) if len(first) else count
-        context, word = context[first], word[first]
-        self.often = np.flatnonzero(self.counts >= frequent)
-        self.often_hash = gram_hash(context[self.often], word[self.often])
-        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else first
-        names = context[start]
-        size = np.diff(np.append(start, len(context)))
-        sums = np.add.reduceat(self.counts, start) if len(start) else self.counts
-        sums = total_of(names, sums)
-        number = np.repeat(np.arange(len(names)), size)
-        successors = (number.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | word
-        parts = [encode(names), encode(start.astype(np.uint64)), encode(successors)]
-        flat = mapped([a for p in parts for a in p] + [quantise(self.counts / (np.repeat(sums, size) + mu)),
-                                                       quantise(mu / (sums + mu))])
-        self.contexts, self.pointers, self.successors = (Monotone(flat[4 * i:4 * i + 4]) for i in range(3))
-        self.alpha, self.gamma = flat[12:]
-
-    def lookup(self, contexts: list[np.ndarray], repeats: list[np.ndarray], words: list[np.ndarray]):
-        """For each message of sorted contexts and their sorted successors: (alpha by n-gram, gamma by context) codes."""
-        at = self.contexts.find(contexts)
-        pointer = np.append(self.pointers.all().astype(np.int64), self.successors.n)
+    """Successors of the contexts of the level below: pointers, words and quantised probabilities of one shard."""
+
+    def __init__(self, keys: np.ndarray, contexts: int, counts: np.ndarray, totals: np.ndarray, mu: float):
+        """``keys``: sorted (number of the context << 40 | word); ``totals``: tokens that follow each context."""
+        parent = (keys >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
+        pointers = np.searchsorted(parent, np.arange(contexts + 1)).astype(np.uint64)
+        flat = mapped([*encode(pointers), *encode(keys), quantise(counts / (totals[parent] + mu)), quantise(mu / (totals + mu))])
+        self.pointers, self.successors = Monotone(flat[:4]), Monotone(flat[4:8])
+        self.alpha, self.gamma = flat[8:]
+
+    def find(self, contexts: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
+        """For each message (numbers of contexts, rising, -1 for none; words): the places of the successors or -1."""
+        pointer = self.pointers.all().astype(np.int64)
+        out = [np.full(len(w), -1, np.int64) for w in words]
         asked = []
-        for a, r, w in zip(at, repeats, words):
-            a = np.repeat(a, r)
-            asked.append(((a.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | w)[a >= 0])
-        out = []
-        for a, r, found in zip(at, repeats, self.successors.find(asked)):
-            each = np.repeat(a, r)
-            alpha = np.zeros(len(each), np.uint8)
-            inside = (found >= pointer[each[each >= 0]]) & (found < pointer[each[each >= 0] + 1])
-            alpha[each >= 0] = np.where(inside, self.alpha[np.maximum(found, 0)] if len(self.alpha) else 0, 0)
-            gamma = np.full(len(a), 255, np.uint8)
-            if len(self.gamma):
-                gamma[a >= 0] = self.gamma[a[a >= 0]]
-            out.append((alpha, gamma))
+        for c, w, found in zip(contexts, words, out):
+            at = np.flatnonzero(c >= 0)
+            lo, hi = pointer[c[at]], pointer[c[at] + 1]
+            some = lo < hi
+            asked.append((at[some], w[at[some]], lo[some], hi[some], found))
+        low = np.uint64((1 << SUCCESSOR_BITS) - 1)
+        for b in range(len(self.successors.starts)):
+            # the contexts whose successors begin in this block; the last of them may go on beyond it
+            cuts = [np.searchsorted(lo, (b * BLOCK, (b + 1) * BLOCK)) for _, _, lo, _, _ in asked]
+            if all(x == y for x, y in cuts):
+                continue
+            last = max(int(hi[x:y].max()) for (x, y), (_, _, _, hi, _) in zip(cuts, asked) if x < y)
+            values = np.concatenate([self.successors.block(i) for i in range(b, (last - 1) // BLOCK + 1)]) & low
+            for (x, y), (at, w, lo, hi, found) in zip(cuts, asked):
+                if x < y:
+                    place = within(values, w[x:y], lo[x:y] - b * BLOCK, hi[x:y] - b * BLOCK)
+                    found[at[x:y]] = np.where(place >= 0, place + b * BLOCK, -1)
         return out
 
 
@@ -197,8 +204,16 @@ def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+class Grams:
+    """The distinct n-grams of one order in a chunk, sorted by context and word."""
+
+    def __init__(self, parent, word, hashes, count, gram):
+        self.parent, self.word, self.hash, self.count = parent, word, hashes, count
+        self.gram = gram  # the n-gram that ends at each token, -1 near the start of a document
+
+
 class Chunk:
-    """The tokens of one chunk and its distinct n-grams by order."""
+    """The tokens of one chunk."""
 
     def __init__(self, ends: bytes, codes: bytes, words: bytes, held: list):
         self.ends = np.frombuffer(ends, np.int64)
@@ -209,48 +224,81 @@ class Chunk:
         size = np.diff(np.concatenate([[0], self.ends]))
         self.place = np.arange(n) - np.repeat(self.ends - size, size)
         self.learn = np.repeat(~np.asarray(held, bool), size)
-        self.gram, self.hash = self.codes, self.words  # the n-gram that ends at each token; the hashes of distinct n-grams
-        self.order = 1
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.gram[self.learn & (self.place >= self.order - 1)], minlength=len(self.hash))
-
-    def longer(self) -> tuple[np.ndarray, np.ndarray]:
-        """Goes to the next order; (hash of the context, 40-bit hash of the word) of each distinct n-gram."""
-        v, n = len(self.words), len(self.codes)
-        use = np.flatnonzero(self.place >= self.order)
-        distinct, inverse = np.unique(self.gram[use - 1] * v + self.codes[use], return_inverse=True)
-        context, word = self.hash[distinct // v], self.words[distinct % v] >> np.uint64(64 - SUCCESSOR_BITS)
-        self.gram = np.full(n, -1, np.int64)
-        self.gram[use] = inverse
-        self.hash = gram_hash(context, word)
-        self.order += 1
-        return context, word
+        self.short = self.words >> np.uint64(64 - SUCCESSOR_BITS)
+
+    def grams(self, order: int) -> list[Grams]:
+        """The distinct n-grams of orders 1 to ``order``."""
+        by = np.argsort(self.words)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        gram = rank[self.codes]
+        out = [Grams(None, self.short[by], self.words[by], np.bincount(gram[self.learn], minlength=len(by)), gram)]
+        for n in range(2, order + 1):
+            below = out[-1]
+            use = np.flatnonzero(self.place >= n - 1)
+            key = (below.gram[use - 1].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | self.short[self.codes[use]]
+            distinct, inverse = np.unique(key, return_inverse=True)
+            parent = (distinct >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
+            word = distinct & np.uint64((1 << SUCCESSOR_BITS) - 1)
+            gram = np.full(len(self.codes), -1, np.int64)
+            gram[use] = inverse
+            out.append(Grams(parent, word, gram_hash(below.hash[parent], word),
+                             np.bincount(inverse[self.learn[use]], minlength=len(distinct)), gram))
+        return out
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(context: np.ndarray, word: np.ndarray, gram: np.ndarray, hot: np.ndarray, shards: int):
-    """(order of the n-grams by shard, context and word; their shards in that order)."""
-    names, number = np.unique(context, return_inverse=True)
-    order = np.argsort((number.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | word, kind="stable")
-    shard = shard_of(context, shards)
-    if len(hot):
-        spread = np.isin(names, hot)[number]
-        shard[spread] = shard_of(gram[spread], shards)
-    shard = shard[order]
-    by_shard = np.argsort(shard, kind="stable")
-    return order[by_shard], shard[by_shard]
+def among(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` are in the sorted ``hot``."""
+    if not len(hot) or not len(hashes):
+        return np.zeros(len(hashes), bool)
+    return hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
 
 
-def runs(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """First positions of stretches of equal values; a new one begins at each of ``cuts`` too."""
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[cuts[cuts < len(values)]] = True
-    return np.flatnonzero(new)
+def sent(order: int, hot: np.ndarray, shards: int):
+    """Where n-grams of an order are kept: with their context, or by their own hash if there is none or it is in ``hot``."""
+    def where(context_shard: np.ndarray | None, context: np.ndarray | None, own: np.ndarray) -> np.ndarray:
+        alone = shard_of(own, shards)
+        return alone if order == 1 else np.where(among(hot, context), alone, context_shard)
+    return where
+
+
+class Parcels:
+    """The n-grams of a chunk by shard: per order, rows of (shard, n-gram) with every ancestor a shard needs to place them."""
+
+    def __init__(self, grams: list[Grams], dealers: list):
+        own = [dealers[0](None, None, grams[0].hash)]
+        for below, g, dealer in zip(grams, grams[1:], dealers[1:]):
+            own.append(dealer(own[-1][g.parent], below.hash[g.parent], g.hash))
+        up = np.zeros(0, np.int64)  # (shard << 40 | n-gram) of the contexts of the rows of the order above
+        self.shard, self.entry, self.mine, self.children = ([None] * len(grams) for _ in range(4))
+        for n in range(len(grams) - 1, -1, -1):
+            key = (own[n] << 40) | np.arange(len(own[n]))
+            key = np.unique(np.concatenate([key, up])) if len(up) or n == 0 else np.sort(key)
+            self.shard[n], self.entry[n] = key >> 40, key & ((1 << 40) - 1)
+            self.mine[n] = own[n][self.entry[n]] == self.shard[n]
+            self.children[n] = np.zeros(len(key), np.int64)
+            if n + 1 < len(grams):
+                above = (self.shard[n + 1] << 40) | grams[n + 1].parent[self.entry[n + 1]]
+                self.children[n] = np.bincount(np.searchsorted(key, above), minlength=len(key))
+            if n:
+                up = np.unique((self.shard[n] << 40) | grams[n].parent[self.entry[n]])
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Little-endian numbers of ``width`` bytes, byte by byte of all numbers, which compresses well."""
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(wide.T).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    n = len(data) // width
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return wide.view("<u8").ravel()
 
 
 def arrays(batch) -> Iterator[Chunk]:
@@ -258,116 +306,164 @@ def arrays(batch) -> Iterator[Chunk]:
         yield Chunk(e, c, w, h)
 
 
-def sent(order: int, hot: np.ndarray, shards: int):
-    """mapInArrow body: ``CHUNKS`` to the messages ``GRAMS`` of one order."""
+def columns(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)],
+                                      [name for name, _ in fields])
+
+
+def word_messages(shards: int):
+    """mapInArrow body: ``CHUNKS`` to ``WORDS``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, chunk in zip(batch.column("chunk").to_pylist(), arrays(batch)):
-                rows = []
-                if order == 1:
-                    by = np.argsort(chunk.words)
-                    context, word = chunk.words[by], np.zeros(len(by), np.uint64)
-                    shard, count = shard_of(context, shards), chunk.counts()[by]
-                else:
-                    for _ in range(order - 1):
-                        context, word = chunk.longer()
-                    by, shard = dealt(context, word, chunk.hash, hot, shards)
-                    context, word, count = context[by], word[by], chunk.counts()[by]
-                cuts = runs(shard, np.zeros(0, np.int64))
-                for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
-                    start = runs(context[lo:hi], np.zeros(0, np.int64))
-                    repeats = np.diff(np.append(start, hi - lo)).astype(np.uint32)
-                    five = np.ascontiguousarray(word[lo:hi].view(np.uint8).reshape(-1, 8)[:, :SUCCESSOR_BITS // 8].T)
-                    rows.append((int(shard[lo]), number, context[lo:hi][start].tobytes(),
-                                 b"" if order == 1 else repeats.tobytes(), b"" if order == 1 else five.tobytes(),
-                                 count[lo:hi].astype(np.uint32).tobytes()))
-                if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                                     [c.split()[0] for c in GRAMS.split(", ")])
+                grams = chunk.grams(1)[0]
+                shard = shard_of(grams.hash, shards)  # rises with the hash
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                rows = [(int(shard[lo]), number, grams.hash[lo:hi].tobytes(), planes(grams.count[lo:hi], 4))
+                        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)])]
+                yield columns(rows, WORDS)
     return run
 
 
-def answered(order: int, hot: tuple[np.ndarray, np.ndarray], frequent: float, mu: float):
-    """applyInArrow body for one shard: sums the counts, builds the level, answers each chunk's message."""
-    hot_hash, hot_count = hot
+def word_counts(frequent: float):
+    """applyInArrow body for one shard: the corpus counts of each chunk's words, and the frequent words."""
+    def run(messages: pa.Table) -> pa.Table:
+        names = [np.frombuffer(b, np.uint64) for b in messages.column("names").to_pylist()]
+        count = np.concatenate([from_planes(b, 4) for b in messages.column("counts").to_pylist()]).astype(np.int64)
+        seen = count > 0
+        keys, inverse = np.unique(np.concatenate(names)[seen], return_inverse=True)
+        sums = np.bincount(inverse, weights=count[seen], minlength=len(keys)).astype(np.int64)
+        known = Monotone(mapped(encode(keys)))
+        often = np.flatnonzero(sums >= frequent)
+        shard, chunk = (messages.column(c).to_pylist() for c in ("shard", "chunk"))
+        rows = [(s, c, planes(np.where(f >= 0, sums[np.maximum(f, 0)] if len(sums) else 0, 0), 8), 0, 0, b"", b"")
+                for s, c, f in zip(shard, chunk, known.find(names))]
+        rows[0] = (*rows[0][:3], int(sums.sum()), len(keys), keys[often].tobytes(), sums[often].astype("<i8").tobytes())
+        return pa.Table.from_batches([columns(rows, COUNTS)])
+    return run
 
-    def total_of(names: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        if not len(hot_hash):
-            return sums
-        at = np.minimum(np.searchsorted(hot_hash, names), len(hot_hash) - 1)
-        return np.where(hot_hash[at] == names, hot_count[at], sums)
+
+def frequent_pairs(order: int, hots: list[np.ndarray]):
+    """mapInArrow body: ``CHUNKS`` to (gram, n) of the n-grams of an order that frequent contexts and words make up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in arrays(batch):
+                often = among(hots[0], chunk.words) & (chunk.words != END)
+                at = np.flatnonzero(often[chunk.codes] & chunk.learn)
+                at = at[chunk.place[at] >= order - 1]
+                name = chunk.words[chunk.codes[at - order + 1]]
+                for n in range(1, order):  # each shorter n-gram must be frequent too
+                    keep = among(hots[n - 1], name)
+                    at, name = at[keep], name[keep]
+                    name = gram_hash(name, chunk.short[chunk.codes[at - order + 1 + n]])
+                grams, n = np.unique(name, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+    return run
+
+
+def trie_messages(order: int, dealers: list):
+    """mapInArrow body: ``CHUNKS`` to ``TRIES``, one row per chunk and shard with all its n-grams of orders 2 to ``order``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, chunk in zip(batch.column("chunk").to_pylist(), arrays(batch)):
+                grams = chunk.grams(order)
+                p = Parcels(grams, dealers)
+                counts = [np.where(m, g.count[e], 0) for g, m, e in zip(grams, p.mine, p.entry)]
+                for s in np.unique(p.shard[1]).tolist():
+                    cut = [slice(*np.searchsorted(shard, (s, s + 1))) for shard in p.shard]
+                    each = [(p.entry[n][cut[n]], n) for n in range(order)]
+                    yield columns([(s, number, np.array([len(e) for e, _ in each], np.int64).tobytes(),
+                                    grams[0].hash[each[0][0]].tobytes(),
+                                    b"".join(planes(p.children[n][cut[n]], 4) for n in range(order - 1)),
+                                    b"".join(planes(grams[n].word[e], 5) for e, n in each[1:]),
+                                    b"".join(planes(counts[n][cut[n]], 4) for n in range(1, order)))], TRIES)
+    return run
+
+
+def by_order(data: bytes, sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    edges = np.concatenate([[0], np.cumsum(sizes)]) * width
+    return [from_planes(data[lo:hi], width) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def answered(order: int, hots: list[tuple[np.ndarray, np.ndarray]], mu: float):
+    """applyInArrow body for one shard: builds its trie from all chunks and answers each chunk, level by level."""
+    def totals(n: int, hashes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        hot, count = hots[n - 1]
+        known = among(hot, hashes)
+        out = sums.copy()
+        out[known] = count[np.searchsorted(hot, hashes[known])]
+        return out
 
     def run(messages: pa.Table) -> pa.Table:
-        view = {c: messages.column(c).to_pylist() for c in ("shard", "chunk", "context", "repeats", "word", "count")}
-        contexts = [np.frombuffer(b, np.uint64) for b in view["context"]]
-        counts = [np.frombuffer(b, np.uint32) for b in view["count"]]
-        count = np.concatenate(counts).astype(np.int64)
-        seen = count > 0
-        if order == 1:
-            key = np.concatenate(contexts)[seen]
-            keys, inverse = np.unique(key, return_inverse=True)
-            sums = np.bincount(inverse, weights=count[seen], minlength=len(keys)).astype(np.int64)
-            flat = mapped([*encode(keys), sums])
-            found = Monotone(flat[:4]).find(contexts)
-            answers = [(np.where(f >= 0, flat[4][np.maximum(f, 0)] if len(sums) else 0, 0).astype("<i8"),
-                        np.zeros(0, np.uint8)) for f in found]
-            total, distinct = int(sums.sum()), len(keys)
-        else:
-            repeats = [np.frombuffer(b, np.uint32) for b in view["repeats"]]
-            words = []
-            for b, n in zip(view["word"], map(len, counts)):
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :SUCCESSOR_BITS // 8] = np.frombuffer(b, np.uint8).reshape(SUCCESSOR_BITS // 8, n).T
-                words.append(wide.view(np.uint64).ravel())
-            context = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, repeats)])[seen]
-            level = Level(context, np.concatenate(words)[seen], count[seen], total_of, mu, frequent)
-            answers = level.lookup(contexts, repeats, words)
-            for names, (_, gamma) in zip(contexts, answers):  # a spread context may have no learned successor here
-                if len(hot_hash):
-                    at = np.minimum(np.searchsorted(hot_hash, names), len(hot_hash) - 1)
-                    spread = hot_hash[at] == names
-                    gamma[spread] = quantise(mu / (hot_count[at[spread]] + mu))
-            sums, total, distinct = level.counts, 0, 0
-        often = np.flatnonzero(sums >= frequent) if order == 1 else level.often
-        hashes = keys[often] if order == 1 else level.often_hash
-        n = len(view["chunk"])
-        blank = [b""] * (n - 1)
-        return pa.table([
-            pa.array(view["shard"], pa.int32()), pa.array(view["chunk"], pa.int64()),
-            pa.array([a.tobytes() for a, _ in answers], pa.binary()), pa.array([g.tobytes() for _, g in answers], pa.binary()),
-            pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([distinct] + [0] * (n - 1), pa.int64()),
-            pa.array([hashes.tobytes(), *blank], pa.binary()),
-            pa.array([sums[often].astype("<i8").tobytes(), *blank], pa.binary())],
-            names=[c.split()[0] for c in ANSWERS.split(", ")])
+        view = {c: messages.column(c).to_pylist() for c in messages.column_names}
+        sizes = [np.frombuffer(b, np.int64) for b in view["sizes"]]
+        children = [by_order(b, s[:-1], 4) for b, s in zip(view["children"], sizes)]
+        words = [by_order(b, s[1:], 5) for b, s in zip(view["words"], sizes)]
+        counts = [by_order(b, s[1:], 4) for b, s in zip(view["counts"], sizes)]
+        hashes = [np.frombuffer(b, np.uint64) for b in view["names"]]
+        names = np.unique(np.concatenate(hashes))
+        at = Monotone(mapped(encode(names))).find(hashes)
+        total, of_context = None, names
+        alphas, gammas = [[] for _ in sizes], [[] for _ in sizes]
+        for n in range(2, order + 1):
+            parent, word, count = [], [c[n - 2] for c in words], [c[n - 2].astype(np.int64) for c in counts]
+            for m in range(len(sizes)):
+                repeats = children[m][n - 2].astype(np.int64)
+                parent.append(np.repeat(at[m], repeats))
+                hashes[m] = gram_hash(np.repeat(hashes[m], repeats), word[m])
+            every, c = np.concatenate(parent), np.concatenate(count)
+            name = np.concatenate(hashes)
+            keep = (every >= 0) & ((c > 0) | (among(hots[n - 1][0], name) if n < order else False))
+            key = (every[keep].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | np.concatenate(word)[keep]
+            keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            sums = np.bincount(inverse, weights=c[keep], minlength=len(keys)).astype(np.int64)
+            if total is None:  # what follows a word is kept in one shard, or the word is frequent and its count known
+                follow = np.bincount((keys >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), weights=sums, minlength=len(names))
+                total = totals(1, names, follow.astype(np.int64))
+            level = Level(keys, len(of_context), sums, total, mu)
+            found = level.find(parent, word)
+            for m in range(len(sizes)):
+                alphas[m].append(np.where(found[m] >= 0, level.alpha[np.maximum(found[m], 0)] if len(keys) else 0, 0).astype(np.uint8))
+                gammas[m].append(np.where(at[m] >= 0, level.gamma[np.maximum(at[m], 0)] if len(level.gamma) else 255, 255).astype(np.uint8))
+            at, of_context = found, name[keep][first]
+            total = totals(n, of_context, sums) if n < order else sums
+        rows = [(s, c, z, b"".join(a.tobytes() for a in x), b"".join(g.tobytes() for g in y))
+                for s, c, z, x, y in zip(view["shard"], view["chunk"], view["sizes"], alphas, gammas)]
+        return pa.Table.from_batches([columns(rows, ANSWERS)])
     return run
 
 
-def scored(order: int, hots: list[np.ndarray], shards: int, total: int, distinct: int):
-    """cogroup body for one chunk: its tokens and the answers of all orders to ``SCORES``."""
+def scored(order: int, hots: list[tuple[np.ndarray, np.ndarray]], dealers: list, total: int, distinct: int, mu: float):
+    """cogroup body for one chunk: its tokens and the answers of all shards to ``SCORES``."""
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        replies: dict[int, list] = {}
-        for o, s, a, g in sorted(zip(*(answers.column(c).to_pylist() for c in ("order", "shard", "alpha", "gamma")))):
-            replies.setdefault(o, []).append((a, g))
+        word_parts, parts = [], []
+        for kind, s, *rest in sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "sizes", "alpha", "gamma")))):
+            (word_parts if kind == 1 else parts).append(rest)
         for ids, held, chunk in zip(chunks.column("doc_ids").to_pylist(), chunks.column("held").to_pylist(), arrays(chunks)):
-            count = np.zeros(len(chunk.words), np.int64)
-            count[np.argsort(chunk.words)] = np.frombuffer(b"".join(a for a, _ in replies[1]), "<i8")
-            p = ((count + 0.1) / (total + 0.1 * (distinct + 1)))[chunk.codes]
-            base, known = np.log10(p), count[chunk.codes] > 0
-            for n in range(2, order + 1):
-                context, word = chunk.longer()
-                if not len(context):
-                    break
-                by, shard = dealt(context, word, chunk.hash, hots[n - 2], shards)
-                start = runs(context[by], runs(shard, np.zeros(0, np.int64)))
-                gamma = np.frombuffer(b"".join(g for _, g in replies[n]), np.uint8)
-                a, g = np.empty(len(by)), np.empty(len(by))
-                a[by] = RESTORED[np.frombuffer(b"".join(x for x, _ in replies[n]), np.uint8)]
-                g[by] = RESTORED[np.repeat(gamma, np.diff(np.append(start, len(by))))]
-                use = chunk.gram >= 0
-                p = p.copy()
-                p[use] = a[chunk.gram[use]] + g[chunk.gram[use]] * p[use]
+            grams = chunk.grams(order)
+            count = np.concatenate([from_planes(a, 8) for _, a, _ in word_parts]).astype(np.int64)[grams[0].gram]
+            p = (count + 0.1) / (total + 0.1 * (distinct + 1))
+            base, known = np.log10(p), count > 0
+            if order > 1 and parts:
+                deal = Parcels(grams, dealers)
+                sizes = [np.frombuffer(z, np.int64) for z, _, _ in parts]
+                alpha = [np.concatenate(a) for a in zip(*(split(x, s[1:]) for (_, x, _), s in zip(parts, sizes)))]
+                gamma = [np.concatenate(g) for g in zip(*(split(x, s[:-1]) for (_, _, x), s in zip(parts, sizes)))]
+                for n in range(2, order + 1):
+                    a, g = np.zeros(len(grams[n - 1].hash)), np.ones(len(grams[n - 2].hash))
+                    mine, ours = deal.mine[n - 1], deal.mine[n - 2]
+                    a[deal.entry[n - 1][mine]] = RESTORED[alpha[n - 2][mine]]
+                    g[deal.entry[n - 2][ours]] = RESTORED[gamma[n - 2][ours]]
+                    hot, often = hots[n - 2]
+                    spread = among(hot, grams[n - 2].hash)
+                    if spread.any():
+                        g[spread] = RESTORED[quantise(mu / (often[np.searchsorted(hot, grams[n - 2].hash[spread])] + mu))]
+                    use = np.flatnonzero(grams[n - 1].gram >= 0)
+                    p = p.copy()
+                    p[use] = a[grams[n - 1].gram[use]] + g[grams[n - 2].gram[use - 1]] * p[use]
             first = np.concatenate([[0], chunk.ends[:-1]])
             score = np.log10(np.maximum(p, 1e-300))
             out.append(pa.table([
@@ -376,6 +472,9 @@ def scored(order: int, hots: list[np.ndarray], shards: int, total: int, distinct
                 pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))],
                 names=[c.split()[0] for c in SCORES.split(", ")]))
         return pa.concat_tables(out)
+
+    def split(data: bytes, sizes: np.ndarray) -> list[np.ndarray]:
+        return np.split(np.frombuffer(data, np.uint8), np.cumsum(sizes)[:-1])
     return run
 
 
@@ -391,29 +490,33 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, mu: float = M
     shards = max(1, -(-tokens // shard_tokens))
     frequent = shard_tokens / 8
     none = np.zeros(0, np.uint64)
-    hot, hots, replies = (none, np.zeros(0, np.int64)), [], []
-    total = distinct = 0
-    for n in range(1, order + 1):
-        if n > 1:
-            hots.append(hot[0])
-        got = written(chunks.mapInArrow(sent(n, hot[0], shards), GRAMS).groupBy("shard")
-                      .applyInArrow(answered(n, hot, frequent, mu), ANSWERS), f"answers-{n}")
-        replies.append(got.select(F.lit(n).alias("order"), "shard", "chunk", "alpha", "gamma"))
-        if n == 1:
-            total, distinct = got.agg(F.sum("total"), F.sum("distinct")).first()
-        if n < order:  # at most 8 n-grams a shard are this frequent
-            rare = got.where(F.length("hot") > 0).select("hot", "hot_count").collect()
-            names = np.frombuffer(b"".join(r["hot"] for r in rare), np.uint64)
-            often = np.frombuffer(b"".join(r["hot_count"] for r in rare), "<i8")
-            by = np.argsort(names)
-            hot = (names[by], often[by])
-    answers = replies[0]
-    for r in replies[1:]:
-        answers = answers.union(r)
+    counted = written(chunks.mapInArrow(word_messages(shards), WORDS).groupBy("shard")
+                      .applyInArrow(word_counts(frequent), COUNTS), "word-counts", compression="zstd")
+    total, distinct = counted.agg(F.sum("total"), F.sum("distinct")).first()
+    # at most 8 n-grams a shard and order are this frequent
+    rare = counted.where(F.length("hot") > 0).select("hot", "hot_count").collect()
+    hots = [by_hash(np.frombuffer(b"".join(r["hot"] for r in rare), np.uint64),
+                    np.frombuffer(b"".join(r["hot_count"] for r in rare), "<i8"))]
+    for n in range(2, order):
+        pairs = chunks.mapInArrow(frequent_pairs(n, [h for h, _ in hots]), "gram long, n long") if len(hots[-1][0]) else None
+        often = [] if pairs is None else pairs.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent).collect()
+        hots.append(by_hash(np.array([r["gram"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)))
+    dealers = [sent(n, none if n == 1 else hots[n - 2][0], shards) for n in range(1, order + 1)]
+    answers = counted.select(F.lit(1).alias("kind"), "chunk", "shard", F.lit(None).cast("binary").alias("sizes"),
+                             F.col("counts").alias("alpha"), F.lit(None).cast("binary").alias("gamma"))
+    if order > 1:
+        got = written(chunks.mapInArrow(trie_messages(order, dealers), TRIES).groupBy("shard")
+                      .applyInArrow(answered(order, hots, mu), ANSWERS), "answers", compression="zstd")
+        answers = answers.union(got.select(F.lit(2).alias("kind"), "chunk", "shard", "sizes", "alpha", "gamma"))
     return (chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-            .applyInArrow(scored(order, hots, shards, total, distinct), SCORES)
+            .applyInArrow(scored(order, hots, dealers, total, distinct, mu), SCORES)
             .withColumnRenamed("held", "held_out"))
 
 
+def by_hash(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
 def op9_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
