@@ -10,7 +10,8 @@ Their blocks are also laid out anew in generated page frames, which carry the sa
 names.  Every page is then labelled from its whole html.
 
 Defined cases: NULL or empty html, and pages without main text, give the empty text; markup may be unclosed or broken (a
-head ends where something begins that cannot stand in it, an unseen element without an end tag at the next block); an
+head ends where something begins that cannot stand in it, an unseen element without an end tag at the next block, a stray
+quote is a character); a page is read once, and a block below very many open elements carries the marks of some of them; an
 empty table gives no rows; NULL or repeated ids and NULL urls are kept; other columns are ignored.
 """
 
@@ -19,7 +20,9 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +56,14 @@ SCOPE = {"div", "section", "article", "main", "body", "html", "ul", "ol", "dl",
 IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
 ENDS_UNSEEN = SCOPE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figure", "fieldset", "address"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+UP_TO_VALUE = re.compile(r"[^>=]*")
+SPACES = re.compile(r"\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+#: Open elements whose marks a block carries: the outermost and the innermost ones.
+OUTER, INNER = 8, 40
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 BLOCK_END = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -64,129 +72,165 @@ def mark(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % MARKS
 
 
-def tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
+class Tag(NamedTuple):
+    """One tag; comments and declarations have no name."""
+    start: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+def attributes_end(page: str, at: int) -> int:
+    """Where the ">" of a tag is (or the page ends), read once from its name on.
+
+    As in browsers a quote matters only where a value begins: a stray one is a character like any other, and a quoted value
+    without its second quote takes the rest of the page.
+    """
+    n = len(page)
+    while at < n:
+        at = UP_TO_VALUE.match(page, at).end()
+        if at >= n or page[at] == ">":
+            return at
+        at = SPACES.match(page, at + 1).end()
+        if at < n and page[at] in "\"'":
+            end = page.find(page[at], at + 1)
+            at = n if end < 0 else end + 1
+        else:
+            at = UNQUOTED.match(page, at).end()
+    return n
+
+
+def tags(page: str) -> Iterator[tuple[str, Tag | None]]:
     """(text before it, tag) in page order, with None after the last; what raw elements hold is left out."""
     at, n = 0, len(page)
     while at < n:
-        found = TAG.search(page, at)
+        found = START.search(page, at)
         if found is None:
             yield page[at:], None
             break
-        yield page[at:found.start()], found
-        at = found.end()
         name = (found.group(2) or "").lower()
+        end = attributes_end(page, found.end()) if name else found.end()
+        yield page[at:found.start()], Tag(found.start(), bool(found.group(1)), name, page[found.end():end] if name else "")
+        at = end + 1 if name else end
         if name in RAW and not found.group(1):
-            end = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
-            at = end.start() if end else n
+            close = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
+            at = close.start() if close else n
 
 
 def never_closed(page: str) -> set[int]:
     """Where unseen elements begin that have no end tag of their own; a select ends an open select."""
     waiting: dict[str, list[int]] = {}
     lost: list[int] = []
-    for _, found in tags(page):
-        name = (found.group(2) or "").lower() if found else ""
-        if name in UNSEEN:
-            held = waiting.setdefault(name, [])
-            if found.group(1):
+    for _, tag in tags(page):
+        if tag and tag.name in UNSEEN:
+            held = waiting.setdefault(tag.name, [])
+            if tag.closing:
                 if held:
                     held.pop()
             else:
-                if name == "select":
+                if tag.name == "select":
                     lost += held
                     held.clear()
-                held.append(found.start())
+                held.append(tag.start)
     return {at for held in (lost, *waiting.values()) for at in held}
 
 
+class Path:
+    """The open elements, with how often each name is open; unseen ones other than head keep where they began."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[str]]] = []
+        self.names: Counter[str] = Counter()
+        self.begun: list[int] = []
+        self.unseen = 0
+
+    def push(self, name: str, marks: list[str], at: int) -> None:
+        self.stack.append((name, marks))
+        self.names[name] += 1
+        self.unseen += name in UNSEEN
+        if name in UNSEEN and name != "head":
+            self.begun.append(at)
+
+    def pop(self) -> str:
+        name, _ = self.stack.pop()
+        self.names[name] -= 1
+        self.unseen -= name in UNSEEN
+        if name in UNSEEN and name != "head":
+            self.begun.pop()
+        return name
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def marks(self) -> list[str]:
+        """The marks of the open elements (the outermost and innermost of a deep path) and the names of the nearest blocks."""
+        deep = len(self.stack) > OUTER + INNER
+        some = self.stack[:OUTER] + self.stack[-INNER:] if deep else self.stack
+        near = [name for name, _ in some if name not in INLINE][-3:]
+        return [m for _, own in some for m in own] + [f"near{i}={name}" for i, name in enumerate(reversed(near))]
+
+
 def blocks(page: str) -> list[tuple[list[str], str]]:
     """(path marks, text) of each leaf block in page order; character references decoded, white space made one space."""
     out: list[tuple[list[str], str]] = []
-    stack: list[tuple[str, list[str]]] = []
+    path = Path()
     text: list[str] = []
     linked = 0
-    in_link = 0
 
     def flush() -> None:
         nonlocal linked
         whole = " ".join(html_lib.unescape("".join(text)).split())
         text.clear()
         if whole:
-            marks = [m for _, own in stack for m in own]
-            near = [name for name, _ in stack if name not in INLINE][-3:]
-            marks += [f"near{i}={name}" for i, name in enumerate(reversed(near))]
-            marks.append("linked" if 2 * linked >= len(whole) else "plain")
-            out.append((marks, whole))
+            out.append((path.marks() + ["linked" if 2 * linked >= len(whole) else "plain"], whole))
         linked = 0
 
-    def say(piece: str) -> None:
-        nonlocal linked
-        if piece and not any(name in UNSEEN for name, _ in stack):
-            text.append(piece)
-            linked += len(piece) if in_link else 0
-
-    begun: list[int] = []  # where the open unseen elements other than head began
     lost: set[int] | None = None
-    for piece, found in tags(page):
-        if stack and stack[-1][0] == "head" and piece.strip():  # text ends a head, as does what cannot stand in one
-            stack.pop()
-        say(piece)
-        if found is None:
+    for piece, tag in tags(page):
+        if path.top() == "head" and piece.strip():  # text ends a head, as does what cannot stand in one
+            path.pop()
+        if piece and not path.unseen:
+            text.append(piece)
+            linked += len(piece) if path.names["a"] else 0
+        if tag is None:
             break
-        name = (found.group(2) or "").lower()
+        name = tag.name
         if not name:
             continue
         block = name not in INLINE
-        if found.group(1):
-            if any(n_ == name for n_, _ in stack):
-                if block:
-                    flush()
-                while stack:
-                    gone = stack.pop()[0]
-                    in_link -= gone == "a"
-                    if gone in UNSEEN and gone != "head":
-                        begun.pop()
-                    if gone == name:
-                        break
-            elif block:
-                flush()
-            continue
         if block:
             flush()
-        if name in ENDS_UNSEEN and begun:
+        if tag.closing:
+            if path.names[name]:
+                while path.pop() != name:
+                    pass
+            continue
+        if name in ENDS_UNSEEN and path.begun:
             lost = never_closed(page) if lost is None else lost
-            while begun and begun[-1] in lost:  # an unseen element without an end tag holds no blocks
-                begun.pop()
-                gone = ""
-                while gone not in UNSEEN or gone == "head":
-                    gone = stack.pop()[0]
-                    in_link -= gone == "a"
-        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
-            stack.pop()
+            while path.begun and path.begun[-1] in lost:  # an unseen element without an end tag holds no blocks
+                held = len(path.begun)
+                while len(path.begun) == held:
+                    path.pop()
+        if path.top() == "head" and name not in IN_HEAD:
+            path.pop()
         if name in VOID:
             continue
         ends = CLOSES.get(name) or (BLOCK_END if block and name in BLOCK_END else None)
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    in_link -= sum(n_ == "a" for n_, _ in stack[i:])
-                    hidden = sum(n_ in UNSEEN and n_ != "head" for n_, _ in stack[i:])
-                    del begun[len(begun) - hidden:]
-                    del stack[i:]
+        if ends and any(path.names[e] for e in ends):
+            for i in range(len(path.stack) - 1, -1, -1):
+                if path.stack[i][0] in ends:
+                    while len(path.stack) > i:
+                        path.pop()
                     break
-                if stack[i][0] in SCOPE:
+                if path.stack[i][0] in SCOPE:
                     break
-        attributes = found.group(3)
         own = [name]
-        for key, *values in ATTRIBUTE.findall(attributes):
+        for key, *values in ATTRIBUTE.findall(tag.attributes):
             own += [f".{w}" for w in PARTS.findall("".join(values).lower())]
-        if HIDDEN.search(attributes):
+        if HIDDEN.search(tag.attributes):
             own.append(".hidden")
-        if not attributes.endswith("/") or name not in ("svg", "iframe"):
-            stack.append((name, own))
-            in_link += name == "a"
-            if name in UNSEEN and name != "head":
-                begun.append(found.start())
+        if not tag.attributes.endswith("/") or name not in ("svg", "iframe"):
+            path.push(name, own, tag.start)
     flush()
     return out
 

@@ -1,17 +1,17 @@
-"""Dense regions and survivors of near-duplicate removal, sizes that compete in packing, the pipeline on odd tables."""
+"""Dense regions and survivors of near-duplicate removal, packing sizes, odd tables in the pipeline, broken pages, the trie."""
 
 from __future__ import annotations
 
 from collections import Counter
 
-
 import numpy as np
-
+import pyarrow as pa
+import pytest
 from conftest import SF0001
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from telemetry_lake.llm import near_duplicates, packing
+from telemetry_lake.llm import extraction, near_duplicates, ngram_trie, packing
 from telemetry_lake.llm.common import written
 
 
@@ -150,3 +150,86 @@ def test_pipeline_on_an_empty_table_and_on_odd_ids(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         if name != "quality_classifier" and name != "language_id":
             assert stage(spark, docs.limit(0), SF0001).count() == 0
+
+
+# extraction
+
+def test_a_stray_quote_is_a_character():
+    for page, want in (('<p class=a">Hello world</p>', ["Hello world"]), ('<p>one</p><p title="it>Hello', ["one"]),
+                       ("<p class='a\">x</p>' id=b>two</p>", ["two"]), ('<p "class>three</p>', ["three"]),
+                       ('<a href=x?y="z>four</a>', ["four"]), ('<p title = "a > b">five</p>', ["five"]), ("six <", ["six <"])):
+        assert [t for _, t in extraction.blocks(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 340_000 + '"', "<div>x" * 170_000, "<b>x" * 200_000, "<select><p>" * 90_000, '<a x="' * 160_000,
+                                  "<" * 1_000_000, "<!--" * 250_000, "<b>" * 150_000 + "<p>y" * 100_000], ids=lambda p: p[:9])
+def test_broken_pages_take_linear_time(page):
+    import time
+    start = time.perf_counter()
+    found = extraction.blocks(page)
+    assert time.perf_counter() - start < 60
+    assert max((len(marks) for marks, _ in found), default=0) < 100
+
+
+def test_hidden_is_an_attribute_or_a_class_of_its_own():
+    marks = lambda attributes: extraction.blocks(f"<div {attributes}>text</div>")[0][0]
+    for shown in ('aria-hidden="false"', 'data-hidden="x"', 'title="nothing"'):
+        assert ".hidden" not in marks(shown)
+    assert marks('class="overflow-hidden"').count(".hidden") == 1  # a part of the class name, not the mark of hiding
+    assert marks('class="hidden"').count(".hidden") == 2
+    for hidden in ("hidden", "hidden=''", 'aria-hidden="true"', 'style="display: none"', 'class="hidden wide"'):
+        assert ".hidden" in marks(hidden)
+
+
+# language model
+
+def test_a_lookup_is_bounded_by_its_pointers():
+    """Words of other contexts are never found; a wrong pointer changes the answer."""
+    rng = np.random.default_rng(6)
+    parent = np.sort(rng.integers(0, 300, 5000))
+    keys = np.unique((parent.astype(np.uint64) << np.uint64(40)) | rng.integers(0, 400, 5000).astype(np.uint64))
+    level = ngram_trie.Level(keys, 300, np.ones(len(keys), np.int64), np.full(300, 20), 2.0)
+    context = np.sort(rng.integers(-1, 300, 3000))
+    word = rng.integers(0, 400, 3000).astype(np.uint64)
+    asked = (context.astype(np.uint64) << np.uint64(40)) | word
+    at = np.searchsorted(keys, asked)
+    want = np.where((context >= 0) & (keys[np.minimum(at, len(keys) - 1)] == asked), at, -1)
+    assert (level.find([context, context[:50]], [word, word[:50]])[0] == want).all() and (want >= 0).sum() > 50
+    pointers = level.pointers.all()
+    pointers[100:200] = pointers[100]
+    level.pointers = ngram_trie.Monotone(ngram_trie.mapped(ngram_trie.encode(pointers)))
+    found = level.find([context], [word])[0]
+    cut = (context >= 100) & (context < 199)
+    assert (found[cut] == -1).all() and (want[cut] >= 0).any() and (found[context < 100] == want[context < 100]).all()
+
+
+def test_a_level_over_several_blocks(monkeypatch):
+    monkeypatch.setattr(ngram_trie, "BLOCK", 64)
+    keys = np.unique(np.concatenate([np.arange(0, 1000, 3), (1 << 40) + np.arange(500), (4 << 40) + np.arange(0, 90, 2)])).astype(np.uint64)
+    level = ngram_trie.Level(keys, 6, np.ones(len(keys), np.int64), np.full(6, 500), 2.0)
+    context = np.repeat(np.arange(6), 1000)
+    word = np.tile(np.arange(1000), 6).astype(np.uint64)
+    found = level.find([context], [word])[0]
+    asked = (context.astype(np.uint64) << np.uint64(40)) | word
+    assert (found >= 0).tolist() == np.isin(asked, keys).tolist() and (keys[found[found >= 0]] == asked[found >= 0]).all()
+
+
+def test_parcels_name_every_ancestor_once():
+    """A spread context goes to every shard that holds a successor; each n-gram has its own count in one shard only."""
+    texts = ["in the " + " in the ".join(f"w{(i * 7 + j) % 50}" for j in range(30)) for i in range(20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(20), pa.int64()), "held": pa.array([False] * 20),
+                                        "text": pa.array(texts)})
+    codes, vocab, ptr = ngram_trie.split_words(batch.column("text"))
+    codes = np.insert(codes.astype(np.uint32), ptr[1:], len(vocab))
+    ends = (ptr[1:] + np.arange(1, len(ptr))).astype(np.int64)
+    chunk = ngram_trie.Chunk(ends.tobytes(), np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(),
+                             np.append(ngram_trie.hash_words(vocab), ngram_trie.END).tobytes(), [False] * 20)
+    grams = chunk.grams(3)
+    hot = [np.sort(g.hash[g.count > 300]) for g in grams[:2]]
+    assert all(len(h) for h in hot)
+    parcels = ngram_trie.Parcels(grams, [ngram_trie.sent(n, hot[n - 2] if n > 1 else hot[0][:0], 8) for n in (1, 2, 3)])
+    for n in (1, 2):
+        own = parcels.entry[n][parcels.mine[n]]
+        assert sorted(own.tolist()) == list(range(len(grams[n].hash)))
+        assert parcels.children[n - 1].sum() == len(parcels.entry[n])
+    assert len(parcels.entry[1]) > len(grams[1].hash)  # "in the" stands above its successors in several shards
