@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters
-from ..operators import analytics, dashboards, expectations, governance, knowledge, medallion, prompts, vector_search
+from ..operators import (analytics, dashboards, distinct, expectations, governance, knowledge, medallion, prompts, text_weights,
+                         vector_search)
 from ..session import scratch_path
 from ..sources import landing, tables
 from ..schemas import BRONZE_KEYED
@@ -477,3 +478,20 @@ def vector_topk_blocks(spark, sf_dir):
     queries = knowledge.centroids(emb, "label").select(F.col("label").alias("query_label"), F.col("centroid"))
     hits = vector_search.knn_blocks(emb, queries, 3, id_col="vec_id", qid_col="query_label", qvec_col="centroid")
     return hits.select("query_label", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("knowledge_term_weights", oracle.KNOWLEDGE_TERM_WEIGHTS)
+def knowledge_term_weights(spark, sf_dir):
+    """Frequency and corpus weight of every term of every knowledge chunk."""
+    w = text_weights.term_weights(adapters.knowledge_source(adapters.read_table(spark, sf_dir, "documents")))
+    return w.select("id", "term", "tf", F.round("weight", 9).alias("weight"))
+
+
+@register("customers_in_week", oracle.CUSTOMERS_IN_WEEK)
+def customers_in_week(spark, sf_dir):
+    """Distinct customers of each day and the six days before it, from bitmaps that three increments built."""
+    root = scratch_path(spark, "distinct")
+    silver = _silver(spark, sf_dir)
+    for number in range(3):
+        distinct.absorb(spark, silver.where(F.pmod("event_id", F.lit(3)) == number), root)
+    return distinct.distinct_in_window(spark, root, 7).select(F.col("day").alias("timestamp_date"), "customers")

@@ -355,6 +355,15 @@ SELECT id, sha256(text) AS text_hash, {_SHAPE}
 FROM (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 2 THEN text || ' (rev 2)' ELSE text END AS text
       FROM documents WHERE doc_id % 10 <> 1)"""
 
+KNOWLEDGE_TERM_WEIGHTS = """
+WITH tokens AS (
+  SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]+')) AS term FROM documents
+), counts AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+n AS (SELECT count(*) AS texts FROM documents)
+SELECT id, c.term, tf, ROUND(tf * ln((texts + 1.0) / (df + 1)), 9) AS weight
+FROM counts c JOIN dfs ON c.term = dfs.term CROSS JOIN n"""
+
 VECTOR_TOPK = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 dims AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
@@ -395,6 +404,12 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM events) + (SELECT CAST(count(*) AS
        (SELECT CAST(count(*) AS BIGINT) FROM events) - (SELECT CAST(count(*) AS BIGINT) FROM silver) AS rejected,
        (SELECT CAST(count(*) AS BIGINT) FROM events WHERE event_id % 101 = 0) AS corrupt""")
 
+CUSTOMERS_IN_WEEK = with_ctes(BRONZE_CTE, SILVER_CTE, body="""
+, seen AS (SELECT DISTINCT timestamp_date, customer_id FROM silver), days AS (SELECT DISTINCT timestamp_date FROM seen)
+SELECT d.timestamp_date, CAST(count(DISTINCT s.customer_id) AS BIGINT) AS customers
+FROM days d JOIN seen s ON s.timestamp_date BETWEEN d.timestamp_date - 6 AND d.timestamp_date
+GROUP BY d.timestamp_date""")
+
 CUSTOMER_EVENTS_LOOKUP = with_ctes(BRONZE_CTE, SILVER_CTE, body=f"""
 SELECT event_id, customer_id, event_time, latency_ms FROM silver WHERE customer_id = '{LOOKUP_ID}'""")
 
