@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (audit, chat, exact_dedup, extraction, fingerprints, language, near_duplicates, neighbours, ngram_trie, packing,
-               quality, sentencepieces, spelling)
+from . import (audit, chat, exact_dedup, extraction, fingerprints, language, near_duplicates, neighbours, ngram_trie, oracle,
+               packing, quality, sentencepieces, spelling)
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
@@ -23,6 +23,8 @@ QUERIES = {
 #: Where trained models, hashed signatures or check sums that SQL lacks decide, or SQL is too slow on whole tables, the query is
 #: tested against brute force, an exact round trip or held-out accuracy instead.
 ORACLE: dict[str, str] = {
+    "op8_minhash_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op10_reply_trees": oracle.REPLY_TREES,
     "op12_filter_audit": audit.ORACLE_SQL,
     "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -1,5 +1,7 @@
 """Approximate nearest neighbours by learned partitions.
 
+A small table takes the same path as a large one, with ``LEAST_PARTS`` parts (fewer only under 8 distinct vectors a part).
+
 The index is fitted on at most ``SAMPLE`` distinct vectors (chosen by a hash of the id): their exact ``GRAPH`` nearest
 neighbours form a graph, the graph is cut into parts of nearly equal size with few edges between them, and a small network
 (one hidden layer) learns from a vector which parts its neighbours lie in.  Every vector of the table is then indexed in its
@@ -31,9 +33,9 @@ from .common import table, written
 SAMPLE = 4096
 GRAPH = 10
 PART_ROWS = 2048
-MOST_PARTS = 64
+LEAST_PARTS, MOST_PARTS = 8, 64
 HIDDEN = 128
-COVER = 0.95
+COVER = 0.98
 BLOCK = 4096
 CHUNK = 1024
 FOUND = "query_id long, vec_id long, score double"
@@ -137,7 +139,7 @@ def fit(sample: np.ndarray, rows: int, k: int) -> tuple[list[np.ndarray], int]:
     x = x[np.random.default_rng(1).permutation(len(x))]
     test = len(x) // 8
     x, unseen = x[test:], x[:test]
-    parts = max(1, min(MOST_PARTS, -(-rows // PART_ROWS), len(x) // 8))
+    parts = max(1, min(MOST_PARTS, max(LEAST_PARTS, -(-rows // PART_ROWS)), len(x) // 8))
     if parts == 1:
         return [np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)], 1
     graph = nearest(x, x, GRAPH, own=True)
