@@ -66,12 +66,7 @@ OUTCOME_SUCCESS = "SUCCESS"
 OUTCOME_REFUSED = "REFUSED"
 SERVING_MODE = "local-deterministic-planner"
 
-# --- fixed values: grounded answer format (Python-style numbers) ------------
-# "Customer {id} is {verdict}. Across {events:,} observed events, {anomalies:,}
-#  exceeded the anomaly threshold of {threshold:.1f} ms, giving a risk factor
-#  of {risk:.2f} (percentage of traffic classified anomalous). Mean latency is
-#  {mean:.2f} ms against a fleet baseline of {fleet:.2f} ms — {ratio:.1f}x the
-#  population average."
+# --- fixed values: grounded answer format -----------------------------------
 ANSWER_FORMAT = (
     "Customer %s is %s. Across %,d observed events, %,d exceeded the anomaly threshold "
     "of %.1f ms, giving a risk factor of %.2f (percentage of traffic classified anomalous). "

@@ -46,9 +46,10 @@ def sync_plan(index: DataFrame | None, source: DataFrame, *, key: str = "id",
     """``(key, op, text_hash)`` for every key in either side.
 
     ``index`` holds at least ``(key, text_hash)``; ``None`` (no index yet)
-    makes every source row an insert.  Only keys and hashes are joined.
+    makes every source row an insert.  Only keys and hashes are joined.  Rows
+    without a key can be in no index and are left out of the plan.
     """
-    src = source.select(F.col(key), content_hash(F.col(text_col)).alias("_new_hash"))
+    src = source.where(F.col(key).isNotNull()).select(F.col(key), content_hash(F.col(text_col)).alias("_new_hash"))
     if index is None:
         return src.select(key, F.lit("insert").alias("op"), F.col("_new_hash").alias("text_hash"))
     old = index.select(F.col(key).alias("_old_key"), F.col("text_hash").alias("_old_hash"))

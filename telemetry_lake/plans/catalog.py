@@ -119,14 +119,24 @@ def _score_requests(spark, sf_dir) -> DataFrame:
 
 @register("anomaly_scores_governed", oracle.ANOMALY_SCORES_LATERAL)
 def anomaly_scores_governed(spark, sf_dir):
-    """The persistent governed function over a saved gold table, applied to every request."""
+    """The persistent governed function over a saved gold table, applied to every request.
+
+    The answers are written before the function and the table's entry in the catalog are dropped again.
+    """
     stem = uuid.uuid4().hex[:8]
     (_gold(spark, sf_dir).sortWithinPartitions("customer_id").write
      .option("path", scratch_path(spark, "saved-gold")).saveAsTable(f"gold_{stem}"))
     fn = f"governed_score_{stem}"
-    sql_functions.register_score_function(spark, f"gold_{stem}", name=fn, temporary=False)
-    joined = sql_functions.lateral_scores(spark, _view(_score_requests(spark, sf_dir), "requests"), name=fn)
-    return joined.select("call_id", "customer_id", "total_events", "total_anomalies", _mean9(), "risk_factor")
+    try:
+        sql_functions.register_score_function(spark, f"gold_{stem}", name=fn, temporary=False)
+        joined = sql_functions.lateral_scores(spark, _view(_score_requests(spark, sf_dir), "requests"), name=fn)
+        out = joined.select("call_id", "customer_id", "total_events", "total_anomalies", _mean9(), "risk_factor")
+        path = scratch_path(spark, "governed-scores")
+        out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path)
+    finally:
+        spark.sql(f"DROP FUNCTION IF EXISTS {fn}")
+        spark.sql(f"DROP TABLE IF EXISTS gold_{stem}")
 
 
 @register("anomaly_scores_lateral", oracle.ANOMALY_SCORES_LATERAL)

@@ -51,7 +51,8 @@ def apply_defaults(spark: SparkSession) -> None:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")  # not local-cluster: its executors share no folder
 
 
 def checkpoint_root(spark: SparkSession) -> str:

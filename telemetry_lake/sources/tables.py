@@ -7,7 +7,9 @@ number, so at every moment there is exactly one current version: a failed
 write (for example a fail expectation firing mid-job) leaves the previous one,
 and two writers cannot interleave.  Files are reached through the Hadoop file
 system of the path, so any shared file system works; errors other than "not
-there" are raised.
+there" are raised.  Two writers are safe where a rename refuses an existing
+goal (HDFS, local and other POSIX folders through Hadoop); on an object store
+that overwrites, one writer per table is assumed.
 """
 
 from __future__ import annotations

@@ -36,12 +36,15 @@ from ..functions.expressions import masked_payload
 from ..operators import medallion
 from ..operators.expectations import SILVER_RULES, apply_expectations, failed_rules
 from ..schemas import BRONZE
+from ..session import scratch_path
 from ..sources import landing, tables
 from . import commits, gold_state
 
 RUN = "ingest_run"
 # A file's age never decides whether it is ingested; only the log of seen files does.
 NO_AGE_LIMIT = "36500d"
+# Files whose schema is inferred in one pass.
+INFERRED = 10_000
 # Distinct customers expected in a row group of silver: sizes its Bloom filter, which lookups skip files by.
 CUSTOMERS = 100_000
 CORRUPT_KIND, QUARANTINE_KIND = "corrupt", "quarantine"
@@ -304,16 +307,27 @@ def evolve_schema(spark: SparkSession, landing_dir: str, schema_path: str) -> tu
               .select("path", "modificationTime"))  # a listing: contents are not read
     seen = _read_appended(spark, log, listed.schema)
     fresh = listed.join(seen, ["path", "modificationTime"], "left_anti")
-    paths = [r["path"] for r in fresh.select("path").collect()]  # the new files only, as Spark's own reader lists them
     stored = tables.load_schema(spark, f"{schema_path}/versions")
-    if not paths:
+    at = scratch_path(spark, "new-files")
+    fresh.write.parquet(at)
+    fresh = spark.read.schema(listed.schema).parquet(at)
+    merged, batch = stored, []
+    for row in fresh.select("path").toLocalIterator():  # at most INFERRED paths are held at a time
+        batch.append(row["path"])
+        if len(batch) == INFERRED:
+            merged, batch = _merged(spark, merged, batch), []
+    if batch:
+        merged = _merged(spark, merged, batch)
+    if merged is None or fresh.isEmpty():
         return stored, [], []
-    incoming = landing.infer_schema(spark, paths)
-    merged = incoming if stored is None else landing.merge_schema(stored, incoming)
     added = [] if stored is None else landing.added_columns(stored, merged)
     widened = [] if stored is None else landing.widened_columns(stored, merged)
     if stored is None or added or widened:
         tables.save_schema(spark, merged, f"{schema_path}/versions", changes=added + widened)
-    logged = spark.createDataFrame([(p,) for p in paths], "path string")
-    listed.join(logged, "path", "left_semi").coalesce(1).write.mode("append").parquet(log)
+    fresh.coalesce(1).write.mode("append").parquet(log)
     return merged, added, widened
+
+
+def _merged(spark: SparkSession, stored: T.StructType | None, paths: list[str]) -> T.StructType:
+    incoming = landing.infer_schema(spark, paths)
+    return incoming if stored is None else landing.merge_schema(stored, incoming)
