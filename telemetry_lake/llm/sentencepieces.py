@@ -31,6 +31,8 @@ SPACE = "▁"
 SLICE_BYTES = 10 << 20
 INDEX_CHARS = 1 << 20
 NEVER = np.int64(1) << 40
+#: Units that are left to be relaxed alone, and borders looked at together there.
+FEW, WINDOW = 16, 50_000
 
 
 class Vocabulary:
@@ -187,6 +189,33 @@ class Index:
         return lo, hi
 
 
+def relax_alone(v: Vocabulary, lead: int, size: int, step: int, first: np.ndarray, start: np.ndarray, piece: np.ndarray,
+                last: np.ndarray, back: np.ndarray) -> None:
+    """Relaxes the edges of one long unit from its ``step``-th border on, in windows.
+
+    Which pieces may follow which at the borders of a window is settled for all pairs at once; then one pass of plain
+    look-ups goes from border to border.
+    """
+    ends, before = last[lead:lead + size + 1].tolist(), back[lead:lead + size + 1].tolist()
+    for w in range(step, size + 1, WINDOW):
+        lo, hi = lead + w, min(lead + w + WINDOW, lead + size + 1)
+        edges = slice(first[lo], first[hi])
+        at, own = start[edges], piece[edges]
+        many = np.where(at > lead, first[at + 1] - first[at], 0)
+        edge = np.repeat(np.arange(len(at)), many)
+        left = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at], many)
+        pairs = np.unique((piece[left].astype(np.int64) << 32) | own[edge])
+        fits = set(pairs[compatible(v, pairs >> 32, pairs & 0xFFFFFFFF)].tolist())
+        at, own, cuts = (at - lead).tolist(), own.tolist(), (first[lo:hi + 1] - first[lo]).tolist()
+        for i in range(hi - lo):
+            for e in range(cuts[i], cuts[i + 1]):
+                s = at[e]
+                if s == 0 or ends[s] < 0 or (ends[s] << 32 | own[e]) in fits:
+                    ends[w + i], before[w + i] = own[e], s + lead
+                    break
+    last[lead:lead + size + 1], back[lead:lead + size + 1] = ends, before
+
+
 def encode_units(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids of all units, offsets by unit)."""
     text = [u.decode("utf-8", "replace") for u in units]
@@ -231,7 +260,12 @@ def encode_units(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndar
     by_size = np.argsort(-size, kind="stable")
     sorted_size = -size[by_size]
     for step in range(1, int(size.max(initial=0)) + 1):
-        at = begin[by_size[:np.searchsorted(sorted_size, -step, side="right")]] + step
+        live = by_size[:np.searchsorted(sorted_size, -step, side="right")]
+        if len(live) <= FEW:  # the longest units go on alone
+            for u in live.tolist():
+                relax_alone(v, int(begin[u]), int(size[u]), step, first, start, piece, last, back)
+            break
+        at = begin[live] + step
         edge, stop = first[at], first[at + 1]
         base = at - step
         while True:
@@ -257,7 +291,14 @@ def encode_units(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndar
     while True:
         live = pos > begin[unit]
         pos, unit = pos[live], unit[live]
-        if not len(pos):
+        if len(pos) <= FEW:
+            for p, u in zip(pos.tolist(), unit.tolist()):
+                chain, lead = [], int(begin[u])
+                behind = back[lead:p + 1].tolist()
+                while p > lead:
+                    chain.append(p)
+                    p = behind[p - lead]
+                steps.append((np.full(len(chain), u), np.array(chain, np.int64), last[chain]))
             break
         steps.append((unit, pos, last[pos]))
         pos = back[pos]

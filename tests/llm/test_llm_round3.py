@@ -11,7 +11,7 @@ from conftest import SF0001
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from telemetry_lake.llm import extraction, near_duplicates, ngram_trie, packing
+from telemetry_lake.llm import extraction, near_duplicates, ngram_trie, packing, sentencepieces
 from telemetry_lake.llm.common import written
 
 
@@ -233,3 +233,38 @@ def test_parcels_name_every_ancestor_once():
         assert sorted(own.tolist()) == list(range(len(grams[n].hash)))
         assert parcels.children[n - 1].sum() == len(parcels.entry[n])
     assert len(parcels.entry[1]) > len(grams[1].hash)  # "in the" stands above its successors in several shards
+
+
+# pieces
+
+def test_long_units_equal_the_library_in_time_that_grows_with_their_length():
+    import random
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    vocabulary, reference = sentencepieces.Vocabulary(sentencepieces.PIECES), SentencePieceProcessor(model_file=sentencepieces.PIECES)
+    rng = random.Random(0)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    spaced = " ".join(letters[i:i + 6] for i in range(0, len(letters), 6))
+    took = {}
+    for name, text in (("warm", "a few words"), ("spaced", spaced), ("letters", letters), ("one letter", "a" * 60_000),
+                       ("no spaces", "theinternationalisationofunquestionablemisunderstandings" * 500), ("mixed", "語x" * 20_000 + " tail")):
+        start = time.perf_counter()
+        ids, _ = sentencepieces.encode_texts(pa.array([text]), vocabulary)
+        took[name] = time.perf_counter() - start
+        assert ids.tolist() == reference.encode(text), name
+    assert took["letters"] < 3 * took["spaced"] + 1
+    many = [letters[:n] for n in range(1, 400, 7)] + [letters[500:3000], "", "b c"]
+    ids, off = sentencepieces.encode_texts(pa.array(many), vocabulary)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == reference.encode(many)
+
+
+@pytest.mark.parametrize("window", [3, 50_000])
+def test_windows_of_a_long_unit_do_not_change_its_pieces(monkeypatch, window):
+    from sentencepiece import SentencePieceProcessor
+
+    monkeypatch.setattr(sentencepieces, "WINDOW", window)
+    vocabulary, reference = sentencepieces.Vocabulary(sentencepieces.PIECES), SentencePieceProcessor(model_file=sentencepieces.PIECES)
+    for text in ("unquestionably" * 20, "aaaaabaaaa" * 30, "x" * 333, "日本語テスト" * 9):
+        assert sentencepieces.encode_texts(pa.array([text]), vocabulary)[0].tolist() == reference.encode(text)
