@@ -1,6 +1,6 @@
 """The governance boundary, evaluated for a whole table of proposed calls.
 
-Input rows: ``(call_id, function, params_json)``.  Output adds ``allowed``,
+Input rows: ``(call_id, function, params_json)``, or stored calls (``store_calls``).  Output adds ``allowed``,
 ``control`` and ``detail``.  Controls, first match wins (code order, D12):
 
 1. FUNCTION_GRANT    function NULL, empty or not in the registry
@@ -79,6 +79,28 @@ def _names_list(arr: Column) -> Column:
                     F.lit("]"))
 
 
+def _parsed(params_json: Column) -> tuple[Column, Column]:
+    """(the parameters as VARIANT, their names in the caller's order); NULL means no parameters."""
+    text = F.coalesce(params_json, F.lit("{}"))
+    return F.try_parse_json(text), F.json_object_keys(text)
+
+
+def store_calls(calls: DataFrame, path: str) -> None:
+    """Append proposed calls with their parameters as VARIANT (SCL-12, SCL-14, GOV-4).
+
+    Spark shreds the parameters into Parquet columns by the fields it meets, so a query of one parameter reads that column
+    alone.  Objects lose the order of their keys, which a decision reports by, so the names are stored beside them.
+    """
+    params, keys = _parsed(F.col("params_json"))
+    (calls.select("call_id", "function", params.alias("params"), keys.alias("param_keys"))
+     .write.mode("append").parquet(path))
+
+
+def stored_parameter(name: str) -> Column:
+    """One parameter of stored calls as text; the scan reads nothing else of ``params``."""
+    return F.try_variant_get(F.col("params"), f"$.{name}", "string")
+
+
 def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NAMESPACE,
            sql_regex: str = BOUNDARY_SQL_REGEX) -> DataFrame:
     """Add the decision columns ``allowed``, ``control``, ``detail``."""
@@ -86,10 +108,9 @@ def decide(calls: DataFrame, registry: DataFrame, *, namespace: str = DEFAULT_NA
     short = registry.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = calls.join(F.broadcast(specs) if short else specs, "function", "left")
 
-    params_text = F.coalesce(F.col("params_json"), F.lit("{}"))
-    parsed = F.try_parse_json(params_text)
+    stored = "params_json" not in calls.columns  # calls read back from ``store_calls``
+    parsed, keys = (F.col("params"), F.col("param_keys")) if stored else _parsed(F.col("params_json"))
     value_map = F.try_variant_get(parsed, "$", "map<string,variant>")
-    keys = F.json_object_keys(params_text)
 
     def vtype(k: Column) -> Column:
         return F.schema_of_variant(F.try_element_at(F.col("_map"), k))

@@ -505,3 +505,25 @@ def customers_in_week(spark, sf_dir):
     for number in range(3):
         distinct.absorb(spark, silver.where(F.pmod("event_id", F.lit(3)) == number), root)
     return distinct.distinct_in_window(spark, root, 7).select(F.col("day").alias("timestamp_date"), "customers")
+
+
+def _stored_calls(spark, sf_dir) -> DataFrame:
+    path = scratch_path(spark, "calls")
+    governance.store_calls(adapters.calls_from_events(adapters.read_table(spark, sf_dir, "events")), path)
+    return spark.read.parquet(path)
+
+
+@register("stored_call_decisions", oracle.GOVERNANCE_DECISIONS)
+def stored_call_decisions(spark, sf_dir):
+    """The decisions of ``governance_decisions`` over calls whose parameters were stored as shredded VARIANT."""
+    decided = governance.decide(_stored_calls(spark, sf_dir), governance.registry_frame(spark))
+    return decided.select("call_id", "function", "allowed", "control")
+
+
+@register("stored_call_scores", oracle.ANOMALY_SCORES_LATERAL)
+def stored_call_scores(spark, sf_dir):
+    """Scores for the targets of stored calls: the scan reads the one shredded parameter."""
+    asked = _stored_calls(spark, sf_dir).where(F.col("function") == sql_functions.SCORE_FUNCTION)
+    asked = asked.select("call_id", governance.stored_parameter("target_id").alias("customer_id"))
+    return _scores_out(analytics.scores(_gold(spark, sf_dir))).join(asked, "customer_id").select(
+        "call_id", "customer_id", "total_events", "total_anomalies", "mean_latency_ms", "risk_factor")

@@ -77,3 +77,24 @@ def test_distinct_counts_equal_a_recount_after_each_increment(spark, scratch):
     numbers = tables.read_published(spark, root, distinct.DICTIONARY)
     assert sorted(r["number"] for r in numbers.collect()) == list(range(len({c for c, _ in seen})))
     assert rows(numbers.select(F.count_distinct("id").alias("n"))) == [(len({c for c, _ in seen}),)]
+
+
+def test_stored_parameters_are_shredded_and_decisions_unchanged(spark, scratch):
+    """All decision columns agree with those over JSON text, key order included; one parameter is one column of the scan."""
+    from telemetry_lake.operators import governance
+    from telemetry_lake.schemas import CALLS
+    calls = adapters.calls_from_events(adapters.read_table(spark, SF0001, "events")).unionByName(spark.createDataFrame(
+        [(-1, "get_customer_anomaly_score", '{"z":"drop table x","a":"; --"}'), (-2, "get_customer_anomaly_score", "[1]"),
+         (-3, "get_customer_anomaly_score", "not json"), (-4, "get_customer_anomaly_score", '{"target_id":null,"b":{"c":1}}'),
+         (-5, "get_customer_anomaly_score", "null"), (-6, "", "{}")], CALLS))
+    path = scratch("calls")
+    governance.store_calls(calls, path)
+    stored = spark.read.parquet(path)
+    cols = ["call_id", "function", "allowed", "control", "detail"]
+    registry = governance.registry_frame(spark)
+    assert rows(governance.decide(stored, registry).na.fill("", ["function"]), *cols) == \
+        rows(governance.decide(calls, registry).na.fill("", ["function"]), *cols)
+    asked = stored.select("call_id", governance.stored_parameter("target_id").alias("t"))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<call_id:bigint,params:struct<0:string>>" in plan
+    assert asked.where("call_id = 5").first()["t"] == "5"
