@@ -103,16 +103,37 @@ def second_moments(vectors: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
+def weighted_features(source: DataFrame, buckets: int, key: str = "id", text_col: str = "text_chunk") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``features`` to texts: their hashed term vectors under the weights of the corpus ``source``."""
+    spark = source.sparkSession
+    path = scratch_path(spark, "embedder-df")
+    document_frequencies(term_counts(source, key, text_col)).write.parquet(path)
+    texts = source.count()
+
+    def add(df: DataFrame) -> DataFrame:
+        known = spark.read.parquet(path)
+        weighted = term_counts(df, key, text_col).join(known, "term", "left").select(
+            key, "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)), texts)).alias("weight"))
+        nothing = F.array_repeat(F.lit(0.0), buckets)
+        return (df.join(hashed(weighted, buckets, key), key, "left")
+                .withColumn("features", F.coalesce("features", nothing)))
+
+    return add
+
+
+def weighted_embedder(source: DataFrame, buckets: int = 256, key: str = "id",
+                      text_col: str = "text_chunk") -> Callable[[DataFrame], DataFrame]:
+    """The features themselves as the embedding: weighted terms by place, at unit length (zero for a text without terms)."""
+    add = weighted_features(source, buckets, key, text_col)
+    return lambda df: add(df).withColumn("embedding", F.col("features").cast("array<float>")).drop("features")
+
+
 def train_embedder(source: DataFrame, *, dim: int = 32, buckets: int = 256, key: str = "id",
                    text_col: str = "text_chunk") -> tuple[Callable[[DataFrame], DataFrame], np.ndarray]:
     """(embedder, projection) learned from the texts of ``source``; the embedder weights terms by this corpus."""
     spark = source.sparkSession
-    path = scratch_path(spark, "embedder-df")
-    counts = term_counts(source, key, text_col)
-    document_frequencies(counts).write.parquet(path)
-    texts = source.count()
-    vectors = hashed(term_weights(source, key, text_col), buckets, key)
-    values, axes = np.linalg.eigh(second_moments(vectors, buckets))
+    add = weighted_features(source, buckets, key, text_col)
+    values, axes = np.linalg.eigh(second_moments(hashed(term_weights(source, key, text_col), buckets, key), buckets))
     projection = axes[:, np.argsort(-values)[:dim]]
     projection *= np.where(projection[np.abs(projection).argmax(axis=0), np.arange(projection.shape[1])] < 0, -1, 1)
     shared = spark.sparkContext.broadcast(projection)
@@ -127,15 +148,4 @@ def train_embedder(source: DataFrame, *, dim: int = 32, buckets: int = 256, key:
         return predict
 
     apply = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=1024, input_tensor_shapes=[[buckets]])
-
-    def embed(df: DataFrame) -> DataFrame:
-        known = spark.read.parquet(path)
-        counted = term_counts(df, key, text_col)
-        weighted = counted.join(known, "term", "left").select(
-            key, "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)), texts)).alias("weight"))
-        found = hashed(weighted, buckets, key)
-        nothing = F.array_repeat(F.lit(0.0), buckets)
-        return (df.join(found, key, "left").withColumn("features", F.coalesce("features", nothing))
-                .withColumn("embedding", apply("features")).drop("features"))
-
-    return embed, projection
+    return (lambda df: add(df).withColumn("embedding", apply("features")).drop("features")), projection

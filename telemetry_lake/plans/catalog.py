@@ -527,3 +527,21 @@ def stored_call_scores(spark, sf_dir):
     asked = asked.select("call_id", governance.stored_parameter("target_id").alias("customer_id"))
     return _scores_out(analytics.scores(_gold(spark, sf_dir))).join(asked, "customer_id").select(
         "call_id", "customer_id", "total_events", "total_anomalies", "mean_latency_ms", "risk_factor")
+
+
+@register("knowledge_search", oracle.KNOWLEDGE_SEARCH)
+def knowledge_search(spark, sf_dir):
+    """Retrieval over the index that change files built: the five best scores of every hundredth chunk of the new snapshot."""
+    from ..streaming import index_merge
+    old, new = _snapshots(spark, sf_dir)
+    root = scratch_path(spark, "search")
+    embedder = text_weights.weighted_embedder(new, oracle.SEARCH_BUCKETS)
+    index_merge.upserts(old, 1).write.parquet(f"{root}/changes/run=1")
+    index_merge.merge_changes(spark, f"{root}/changes/*", f"{root}/index", embedder=embedder)
+    gone = old.join(new.select("id"), "id", "left_anti")
+    index_merge.upserts(new, 2).unionByName(index_merge.deletes(gone, 2)).write.parquet(f"{root}/changes/run=2")
+    index_merge.merge_changes(spark, f"{root}/changes/*", f"{root}/index", embedder=embedder)
+    asked = embedder(new.where(F.pmod("id", F.lit(100)) == 0)).where(F.exists("embedding", lambda x: x != 0))
+    hits = vector_search.knn_blocks(index_merge.read_index(spark, f"{root}/index"),
+                                    asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")), 5)
+    return hits.select("query_id", "rank", F.round("score", 5).alias("score"))

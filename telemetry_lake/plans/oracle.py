@@ -364,6 +364,28 @@ n AS (SELECT count(*) AS texts FROM documents)
 SELECT id, c.term, tf, ROUND(tf * ln((texts + 1.0) / (df + 1)), 9) AS weight
 FROM counts c JOIN dfs ON c.term = dfs.term CROSS JOIN n"""
 
+SEARCH_BUCKETS = 256
+KNOWLEDGE_SEARCH = f"""
+WITH source AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 10 = 2 THEN text || ' (rev 2)' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1
+), tokens AS (
+  SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS term FROM source
+), counts AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+n AS (SELECT count(*) AS texts FROM source),
+cells AS (
+  SELECT id, CAST('0x' || substr(md5(c.term), 1, 8) AS BIGINT) % {SEARCH_BUCKETS} AS place,
+         sum(tf * ln((texts + 1.0) / (df + 1))) AS w
+  FROM counts c JOIN dfs ON c.term = dfs.term CROSS JOIN n GROUP BY ALL
+), lengths AS (SELECT id, sqrt(sum(w * w)) AS length FROM cells GROUP BY id HAVING sum(w * w) > 0),
+units AS (SELECT c.id, place, CAST(CAST(w / length AS FLOAT) AS DOUBLE) AS x FROM cells c JOIN lengths l ON c.id = l.id),
+scored AS (
+  SELECT q.id AS query_id, e.id, sum(q.x * e.x) AS score FROM units q JOIN units e ON q.place = e.place
+  WHERE q.id % 100 = 0 GROUP BY q.id, e.id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, ROUND(score, 5) AS score
+FROM scored QUALIFY rank <= 5"""
+
 VECTOR_TOPK = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 dims AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
