@@ -11,7 +11,7 @@ order (at least an eighth of ``SHARD_TOKENS`` tokens) are spread over all shards
 tasks.  There are at most 8 such contexts a shard.
 
 A level of the trie holds, in one memory-mapped block: per context of the level below the pointer to its first successor,
-as an Elias-Fano sequence; the successors relative to their context (number of the context, then a 40-bit word hash) as one
+as an Elias-Fano sequence; the successors relative to their context (number of the context, then a 32-bit word hash) as one
 monotone Elias-Fano sequence; and one quantised byte each for a successor's discounted probability and a context's back-off.
 A lookup starts at the first word and goes down: at each level it decodes the blocks that its context's pointers bound and
 searches its word between them; the place found is the context of the next level.
@@ -40,9 +40,9 @@ from .common import crc_mod, hash_words, mix, slices, split_words, table, writte
 
 ORDER = 3
 MU = 2.0
-CHUNK_BYTES = 10 << 20
-SHARD_TOKENS = 1_200_000
-SUCCESSOR_BITS = 40
+CHUNK_BYTES = 6 << 20
+SHARD_TOKENS = 1_000_000
+SUCCESSOR_BITS = 32
 BLOCK = 1 << 16
 DECADES = 10.0
 END = np.uint64(xxhash.xxh64_intdigest(b""))
@@ -146,7 +146,7 @@ class Level:
     """Successors of the contexts of the level below: pointers, words and quantised probabilities of one shard."""
 
     def __init__(self, keys: np.ndarray, contexts: int, counts: np.ndarray, totals: np.ndarray, mu: float):
-        """``keys``: sorted (number of the context << 40 | word); ``totals``: tokens that follow each context."""
+        """``keys``: sorted (number of the context << 32 | word); ``totals``: tokens that follow each context."""
         parent = (keys >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
         pointers = np.searchsorted(parent, np.arange(contexts + 1)).astype(np.uint64)
         flat = mapped([*encode(pointers), *encode(keys), quantise(counts / (totals[parent] + mu)), quantise(mu / (totals + mu))])
@@ -181,7 +181,7 @@ class Level:
 # ---- chunks ---------------------------------------------------------------------------------------------------------------
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held, text) to ``CHUNKS``: token codes (planes of 4 bytes) and the hashes of the distinct words."""
+    """(doc_id, held, text) to ``CHUNKS``: token codes (planes of 4 bytes, packed) and the hashes of the distinct words."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in slices(batch, "text", CHUNK_BYTES):
@@ -193,7 +193,7 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())), pa.array([ends.tobytes()], pa.binary()),
-                 pa.array([planes.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()),
+                 pa.array([pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], pa.binary()), pa.array([words.tobytes()], pa.binary()),
                  pa.array([len(codes)], pa.int64())], [c.split()[0] for c in CHUNKS.split(", ")])
             number += 1
 
@@ -218,18 +218,18 @@ class Chunk:
     def __init__(self, ends: bytes, codes: bytes, words: bytes, held: list):
         self.ends = np.frombuffer(ends, np.int64)
         n = int(self.ends[-1]) if len(self.ends) else 0
-        planes = np.frombuffer(codes, np.uint8).reshape(4, n)
-        self.codes = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+        plain = pa.decompress(codes, decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b""
+        self.codes = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(4, n).T).view(np.int32).ravel()
         self.words = np.frombuffer(words, np.uint64)
         size = np.diff(np.concatenate([[0], self.ends]))
-        self.place = np.arange(n) - np.repeat(self.ends - size, size)
+        self.place = (np.arange(n) - np.repeat(self.ends - size, size)).astype(np.int32)
         self.learn = np.repeat(~np.asarray(held, bool), size)
         self.short = self.words >> np.uint64(64 - SUCCESSOR_BITS)
 
     def grams(self, order: int) -> list[Grams]:
         """The distinct n-grams of orders 1 to ``order``."""
         by = np.argsort(self.words)
-        rank = np.empty(len(by), np.int64)
+        rank = np.empty(len(by), np.int32)
         rank[by] = np.arange(len(by))
         gram = rank[self.codes]
         out = [Grams(None, self.short[by], self.words[by], np.bincount(gram[self.learn], minlength=len(by)), gram)]
@@ -240,7 +240,7 @@ class Chunk:
             distinct, inverse = np.unique(key, return_inverse=True)
             parent = (distinct >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
             word = distinct & np.uint64((1 << SUCCESSOR_BITS) - 1)
-            gram = np.full(len(self.codes), -1, np.int64)
+            gram = np.full(len(self.codes), -1, np.int32)
             gram[use] = inverse
             out.append(Grams(parent, word, gram_hash(below.hash[parent], word),
                              np.bincount(inverse[self.learn[use]], minlength=len(distinct)), gram))
@@ -377,7 +377,7 @@ def trie_messages(order: int, dealers: list):
                     yield columns([(s, number, np.array([len(e) for e, _ in each], np.int64).tobytes(),
                                     grams[0].hash[each[0][0]].tobytes(),
                                     b"".join(planes(p.children[n][cut[n]], 4) for n in range(order - 1)),
-                                    b"".join(planes(grams[n].word[e], 5) for e, n in each[1:]),
+                                    b"".join(planes(grams[n].word[e], SUCCESSOR_BITS // 8) for e, n in each[1:]),
                                     b"".join(planes(counts[n][cut[n]], 4) for n in range(1, order)))], TRIES)
     return run
 
@@ -400,7 +400,7 @@ def answered(order: int, hots: list[tuple[np.ndarray, np.ndarray]], mu: float):
         view = {c: messages.column(c).to_pylist() for c in messages.column_names}
         sizes = [np.frombuffer(b, np.int64) for b in view["sizes"]]
         children = [by_order(b, s[:-1], 4) for b, s in zip(view["children"], sizes)]
-        words = [by_order(b, s[1:], 5) for b, s in zip(view["words"], sizes)]
+        words = [by_order(b, s[1:], SUCCESSOR_BITS // 8) for b, s in zip(view["words"], sizes)]
         counts = [by_order(b, s[1:], 4) for b, s in zip(view["counts"], sizes)]
         hashes = [np.frombuffer(b, np.uint64) for b in view["names"]]
         names = np.unique(np.concatenate(hashes))

@@ -187,11 +187,11 @@ def test_a_lookup_is_bounded_by_its_pointers():
     """Words of other contexts are never found; a wrong pointer changes the answer."""
     rng = np.random.default_rng(6)
     parent = np.sort(rng.integers(0, 300, 5000))
-    keys = np.unique((parent.astype(np.uint64) << np.uint64(40)) | rng.integers(0, 400, 5000).astype(np.uint64))
+    keys = np.unique((parent.astype(np.uint64) << np.uint64(ngram_trie.SUCCESSOR_BITS)) | rng.integers(0, 400, 5000).astype(np.uint64))
     level = ngram_trie.Level(keys, 300, np.ones(len(keys), np.int64), np.full(300, 20), 2.0)
     context = np.sort(rng.integers(-1, 300, 3000))
     word = rng.integers(0, 400, 3000).astype(np.uint64)
-    asked = (context.astype(np.uint64) << np.uint64(40)) | word
+    asked = (context.astype(np.uint64) << np.uint64(ngram_trie.SUCCESSOR_BITS)) | word
     at = np.searchsorted(keys, asked)
     want = np.where((context >= 0) & (keys[np.minimum(at, len(keys) - 1)] == asked), at, -1)
     assert (level.find([context, context[:50]], [word, word[:50]])[0] == want).all() and (want >= 0).sum() > 50
@@ -205,12 +205,12 @@ def test_a_lookup_is_bounded_by_its_pointers():
 
 def test_a_level_over_several_blocks(monkeypatch):
     monkeypatch.setattr(ngram_trie, "BLOCK", 64)
-    keys = np.unique(np.concatenate([np.arange(0, 1000, 3), (1 << 40) + np.arange(500), (4 << 40) + np.arange(0, 90, 2)])).astype(np.uint64)
+    keys = np.unique(np.concatenate([np.arange(0, 1000, 3), (1 << ngram_trie.SUCCESSOR_BITS) + np.arange(500), (4 << ngram_trie.SUCCESSOR_BITS) + np.arange(0, 90, 2)])).astype(np.uint64)
     level = ngram_trie.Level(keys, 6, np.ones(len(keys), np.int64), np.full(6, 500), 2.0)
     context = np.repeat(np.arange(6), 1000)
     word = np.tile(np.arange(1000), 6).astype(np.uint64)
     found = level.find([context], [word])[0]
-    asked = (context.astype(np.uint64) << np.uint64(40)) | word
+    asked = (context.astype(np.uint64) << np.uint64(ngram_trie.SUCCESSOR_BITS)) | word
     assert (found >= 0).tolist() == np.isin(asked, keys).tolist() and (keys[found[found >= 0]] == asked[found >= 0]).all()
 
 
@@ -222,7 +222,8 @@ def test_parcels_name_every_ancestor_once():
     codes, vocab, ptr = ngram_trie.split_words(batch.column("text"))
     codes = np.insert(codes.astype(np.uint32), ptr[1:], len(vocab))
     ends = (ptr[1:] + np.arange(1, len(ptr))).astype(np.int64)
-    chunk = ngram_trie.Chunk(ends.tobytes(), np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(),
+    packed = pa.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+    chunk = ngram_trie.Chunk(ends.tobytes(), packed,
                              np.append(ngram_trie.hash_words(vocab), ngram_trie.END).tobytes(), [False] * 20)
     grams = chunk.grams(3)
     hot = [np.sort(g.hash[g.count > 300]) for g in grams[:2]]
