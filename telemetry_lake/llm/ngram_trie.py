@@ -45,7 +45,9 @@ SHARD_TOKENS = 1_000_000
 SUCCESSOR_BITS = 32
 BLOCK = 1 << 16
 DECADES = 10.0
-END = np.uint64(xxhash.xxh64_intdigest(b""))
+#: Words are told apart by the first 56 bits of their hash.
+NAME = ~np.uint64(0xFF)
+END = np.uint64(xxhash.xxh64_intdigest(b"")) & NAME
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, ends binary, codes binary, words binary, tokens long"
 WORDS = "shard int, chunk long, names binary, counts binary"
 COUNTS = "shard int, chunk long, counts binary, total long, distinct long, hot binary, hot_count binary"
@@ -188,12 +190,12 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, vocab, ptr = split_words(part.column("text"))
             codes = np.insert(codes.astype(np.uint32), ptr[1:], len(vocab))
             ends = (ptr[1:] + np.arange(1, len(ptr))).astype(np.int64)
-            planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)
-            words = np.append(hash_words(vocab), END)
+            plain = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)
+            words = np.append(hash_words(vocab), END) & NAME
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())), pa.array([ends.tobytes()], pa.binary()),
-                 pa.array([pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], pa.binary()), pa.array([words.tobytes()], pa.binary()),
+                 pa.array([packed(plain.tobytes())], pa.binary()), pa.array([planes(words >> np.uint64(8), 7)], pa.binary()),
                  pa.array([len(codes)], pa.int64())], [c.split()[0] for c in CHUNKS.split(", ")])
             number += 1
 
@@ -218,9 +220,9 @@ class Chunk:
     def __init__(self, ends: bytes, codes: bytes, words: bytes, held: list):
         self.ends = np.frombuffer(ends, np.int64)
         n = int(self.ends[-1]) if len(self.ends) else 0
-        plain = pa.decompress(codes, decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b""
-        self.codes = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(4, n).T).view(np.int32).ravel()
-        self.words = np.frombuffer(words, np.uint64)
+        plain = np.frombuffer(unpacked(codes), np.uint8)
+        self.codes = np.ascontiguousarray(plain.reshape(4, n).T).view(np.int32).ravel()
+        self.words = from_planes(words, 7) << np.uint64(8)
         size = np.diff(np.concatenate([[0], self.ends]))
         self.place = (np.arange(n) - np.repeat(self.ends - size, size)).astype(np.int32)
         self.learn = np.repeat(~np.asarray(held, bool), size)
@@ -321,7 +323,7 @@ def word_messages(shards: int):
                 grams = chunk.grams(1)[0]
                 shard = shard_of(grams.hash, shards)  # rises with the hash
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                rows = [(int(shard[lo]), number, grams.hash[lo:hi].tobytes(), planes(grams.count[lo:hi], 4))
+                rows = [(int(shard[lo]), number, planes(grams.hash[lo:hi] >> np.uint64(8), 7), planes(grams.count[lo:hi], 4))
                         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)])]
                 yield columns(rows, WORDS)
     return run
@@ -330,7 +332,7 @@ def word_messages(shards: int):
 def word_counts(frequent: float):
     """applyInArrow body for one shard: the corpus counts of each chunk's words, and the frequent words."""
     def run(messages: pa.Table) -> pa.Table:
-        names = [np.frombuffer(b, np.uint64) for b in messages.column("names").to_pylist()]
+        names = [from_planes(b, 7) << np.uint64(8) for b in messages.column("names").to_pylist()]
         count = np.concatenate([from_planes(b, 4) for b in messages.column("counts").to_pylist()]).astype(np.int64)
         seen = count > 0
         keys, inverse = np.unique(np.concatenate(names)[seen], return_inverse=True)
@@ -338,7 +340,7 @@ def word_counts(frequent: float):
         known = Monotone(mapped(encode(keys)))
         often = np.flatnonzero(sums >= frequent)
         shard, chunk = (messages.column(c).to_pylist() for c in ("shard", "chunk"))
-        rows = [(s, c, planes(np.where(f >= 0, sums[np.maximum(f, 0)] if len(sums) else 0, 0), 8), 0, 0, b"", b"")
+        rows = [(s, c, packed(planes(np.where(f >= 0, sums[np.maximum(f, 0)] if len(sums) else 0, 0), 8)), 0, 0, b"", b"")
                 for s, c, f in zip(shard, chunk, known.find(names))]
         rows[0] = (*rows[0][:3], int(sums.sum()), len(keys), keys[often].tobytes(), sums[often].astype("<i8").tobytes())
         return pa.Table.from_batches([columns(rows, COUNTS)])
@@ -375,13 +377,23 @@ def trie_messages(order: int, dealers: list):
                     cut = [slice(*np.searchsorted(shard, (s, s + 1))) for shard in p.shard]
                     each = [(p.entry[n][cut[n]], n) for n in range(order)]
                     yield columns([(s, number, np.array([len(e) for e, _ in each], np.int64).tobytes(),
-                                    grams[0].hash[each[0][0]].tobytes(),
-                                    b"".join(planes(p.children[n][cut[n]], 4) for n in range(order - 1)),
+                                    planes(grams[0].hash[each[0][0]] >> np.uint64(8), 7),
+                                    packed(b"".join(planes(p.children[n][cut[n]], 4) for n in range(order - 1))),
                                     b"".join(planes(grams[n].word[e], SUCCESSOR_BITS // 8) for e, n in each[1:]),
-                                    b"".join(planes(counts[n][cut[n]], 4) for n in range(1, order)))], TRIES)
+                                    packed(b"".join(planes(counts[n][cut[n]], 4) for n in range(1, order))))], TRIES)
     return run
 
 
+def packed(data: bytes) -> bytes:
+    """Compressed bytes after their plain length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def by_order(data: bytes, sizes: np.ndarray, width: int) -> list[np.ndarray]:
     edges = np.concatenate([[0], np.cumsum(sizes)]) * width
     return [from_planes(data[lo:hi], width) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist())]
@@ -399,10 +411,10 @@ def answered(order: int, hots: list[tuple[np.ndarray, np.ndarray]], mu: float):
     def run(messages: pa.Table) -> pa.Table:
         view = {c: messages.column(c).to_pylist() for c in messages.column_names}
         sizes = [np.frombuffer(b, np.int64) for b in view["sizes"]]
-        children = [by_order(b, s[:-1], 4) for b, s in zip(view["children"], sizes)]
+        children = [by_order(unpacked(b), s[:-1], 4) for b, s in zip(view["children"], sizes)]
         words = [by_order(b, s[1:], SUCCESSOR_BITS // 8) for b, s in zip(view["words"], sizes)]
-        counts = [by_order(b, s[1:], 4) for b, s in zip(view["counts"], sizes)]
-        hashes = [np.frombuffer(b, np.uint64) for b in view["names"]]
+        counts = [by_order(unpacked(b), s[1:], 4) for b, s in zip(view["counts"], sizes)]
+        hashes = [from_planes(b, 7) << np.uint64(8) for b in view["names"]]
         names = np.unique(np.concatenate(hashes))
         at = Monotone(mapped(encode(names))).find(hashes)
         total, of_context = None, names
@@ -429,7 +441,7 @@ def answered(order: int, hots: list[tuple[np.ndarray, np.ndarray]], mu: float):
                 gammas[m].append(np.where(at[m] >= 0, level.gamma[np.maximum(at[m], 0)] if len(level.gamma) else 255, 255).astype(np.uint8))
             at, of_context = found, name[keep][first]
             total = totals(n, of_context, sums) if n < order else sums
-        rows = [(s, c, z, b"".join(a.tobytes() for a in x), b"".join(g.tobytes() for g in y))
+        rows = [(s, c, z, packed(b"".join(a.tobytes() for a in x)), packed(b"".join(g.tobytes() for g in y)))
                 for s, c, z, x, y in zip(view["shard"], view["chunk"], view["sizes"], alphas, gammas)]
         return pa.Table.from_batches([columns(rows, ANSWERS)])
     return run
@@ -444,7 +456,7 @@ def scored(order: int, hots: list[tuple[np.ndarray, np.ndarray]], dealers: list,
             (word_parts if kind == 1 else parts).append(rest)
         for ids, held, chunk in zip(chunks.column("doc_ids").to_pylist(), chunks.column("held").to_pylist(), arrays(chunks)):
             grams = chunk.grams(order)
-            count = np.concatenate([from_planes(a, 8) for _, a, _ in word_parts]).astype(np.int64)[grams[0].gram]
+            count = np.concatenate([from_planes(unpacked(a), 8) for _, a, _ in word_parts]).astype(np.int64)[grams[0].gram]
             p = (count + 0.1) / (total + 0.1 * (distinct + 1))
             base, known = np.log10(p), count > 0
             if order > 1 and parts:
@@ -474,7 +486,7 @@ def scored(order: int, hots: list[tuple[np.ndarray, np.ndarray]], dealers: list,
         return pa.concat_tables(out)
 
     def split(data: bytes, sizes: np.ndarray) -> list[np.ndarray]:
-        return np.split(np.frombuffer(data, np.uint8), np.cumsum(sizes)[:-1])
+        return np.split(np.frombuffer(unpacked(data), np.uint8), np.cumsum(sizes)[:-1])
     return run
 
 

@@ -222,9 +222,9 @@ def test_parcels_name_every_ancestor_once():
     codes, vocab, ptr = ngram_trie.split_words(batch.column("text"))
     codes = np.insert(codes.astype(np.uint32), ptr[1:], len(vocab))
     ends = (ptr[1:] + np.arange(1, len(ptr))).astype(np.int64)
-    packed = pa.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-    chunk = ngram_trie.Chunk(ends.tobytes(), packed,
-                             np.append(ngram_trie.hash_words(vocab), ngram_trie.END).tobytes(), [False] * 20)
+    packed = ngram_trie.packed(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())
+    words = np.append(ngram_trie.hash_words(vocab), ngram_trie.END)
+    chunk = ngram_trie.Chunk(ends.tobytes(), packed, ngram_trie.planes(words >> np.uint64(8), 7), [False] * 20)
     grams = chunk.grams(3)
     hot = [np.sort(g.hash[g.count > 300]) for g in grams[:2]]
     assert all(len(h) for h in hot)
