@@ -56,7 +56,9 @@ SCOPE = {"div", "section", "article", "main", "body", "html", "ul", "ol", "dl",
 IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
 ENDS_UNSEEN = SCOPE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figure", "fieldset", "address"}
 
-START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+PROPER = r"(?:\s++[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=<>`]++))?+)*+\s*+/?"
+#: Comments, declarations, and tags with their attributes if these are in order (read by ``attributes_end`` if not).
+START = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:({PROPER})>)?", re.S)
 UP_TO_VALUE = re.compile(r"[^>=]*")
 SPACES = re.compile(r"\s*")
 UNQUOTED = re.compile(r"[^\s>]*")
@@ -108,11 +110,17 @@ def tags(page: str) -> Iterator[tuple[str, Tag | None]]:
         if found is None:
             yield page[at:], None
             break
-        name = (found.group(2) or "").lower()
-        end = attributes_end(page, found.end()) if name else found.end()
-        yield page[at:found.start()], Tag(found.start(), bool(found.group(1)), name, page[found.end():end] if name else "")
-        at = end + 1 if name else end
-        if name in RAW and not found.group(1):
+        closing, name, attributes = found.groups()
+        before, at = page[at:found.start()], found.end()
+        if not name:
+            yield before, Tag(found.start(), False, "", "")
+            continue
+        name = name.lower()
+        if attributes is None:
+            end = attributes_end(page, at)
+            attributes, at = page[at:end], end + 1
+        yield before, Tag(found.start(), bool(closing), name, attributes)
+        if name in RAW and not closing:
             close = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
             at = close.start() if close else n
 
@@ -225,10 +233,11 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
                 if path.stack[i][0] in SCOPE:
                     break
         own = [name]
-        for key, *values in ATTRIBUTE.findall(tag.attributes):
-            own += [f".{w}" for w in PARTS.findall("".join(values).lower())]
-        if HIDDEN.search(tag.attributes):
-            own.append(".hidden")
+        if tag.attributes:
+            for key, *values in ATTRIBUTE.findall(tag.attributes):
+                own += [f".{w}" for w in PARTS.findall("".join(values).lower())]
+            if HIDDEN.search(tag.attributes):
+                own.append(".hidden")
         if not tag.attributes.endswith("/") or name not in ("svg", "iframe"):
             path.push(name, own, tag.start)
     flush()
