@@ -134,12 +134,14 @@ RESTORED = np.concatenate([[0.0], 10 ** (DECADES * (np.arange(255) / 254 - 1))])
 
 def within(values: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Position of each word among ``values[lo:hi]``, which are sorted there, or -1: one binary search for all."""
-    end = hi
-    lo, hi = lo.copy(), hi.copy()
-    while (lo < hi).any():
-        mid = (lo + hi) >> 1
-        below = (lo < hi) & (values[np.minimum(mid, len(values) - 1)] < word)
-        lo, hi = np.where(below, mid + 1, lo), np.where(below | (lo >= hi), hi, mid)
+    end, lo, hi = hi, lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        low, high = lo[open_], hi[open_]
+        mid = (low + high) >> 1
+        below = values[mid] < word[open_]
+        lo[open_], hi[open_] = np.where(below, mid + 1, low), np.where(below, high, mid)
+        open_ = open_[lo[open_] < hi[open_]]
     hit = (lo < end) & (values[np.minimum(lo, len(values) - 1)] == word) if len(values) else np.zeros(len(word), bool)
     return np.where(hit, lo, -1)
 
@@ -158,26 +160,26 @@ class Level:
     def find(self, contexts: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
         """For each message (numbers of contexts, rising, -1 for none; words): the places of the successors or -1."""
         pointer = self.pointers.all().astype(np.int64)
-        out = [np.full(len(w), -1, np.int64) for w in words]
-        asked = []
-        for c, w, found in zip(contexts, words, out):
-            at = np.flatnonzero(c >= 0)
-            lo, hi = pointer[c[at]], pointer[c[at] + 1]
-            some = lo < hi
-            asked.append((at[some], w[at[some]], lo[some], hi[some], found))
+        context, word = np.concatenate(contexts), np.concatenate(words)
+        out = np.full(len(word), -1, np.int64)
+        at = np.flatnonzero(context >= 0)
+        lo, hi = pointer[context[at]], pointer[context[at] + 1]
+        some = lo < hi
+        at, lo, hi = at[some], lo[some], hi[some]
+        # by the block in which the successors of the context begin
+        blocks = len(self.successors.starts)
+        block = (lo // BLOCK).astype(np.uint16 if blocks < 1 << 16 else np.int64)
+        order = np.argsort(block, kind="stable")
+        at, lo, hi, block = at[order], lo[order], hi[order], block[order]
+        cuts = np.searchsorted(block, np.arange(blocks + 1))
         low = np.uint64((1 << SUCCESSOR_BITS) - 1)
-        for b in range(len(self.successors.starts)):
-            # the contexts whose successors begin in this block; the last of them may go on beyond it
-            cuts = [np.searchsorted(lo, (b * BLOCK, (b + 1) * BLOCK)) for _, _, lo, _, _ in asked]
-            if all(x == y for x, y in cuts):
-                continue
-            last = max(int(hi[x:y].max()) for (x, y), (_, _, _, hi, _) in zip(cuts, asked) if x < y)
-            values = np.concatenate([self.successors.block(i) for i in range(b, (last - 1) // BLOCK + 1)]) & low
-            for (x, y), (at, w, lo, hi, found) in zip(cuts, asked):
-                if x < y:
-                    place = within(values, w[x:y], lo[x:y] - b * BLOCK, hi[x:y] - b * BLOCK)
-                    found[at[x:y]] = np.where(place >= 0, place + b * BLOCK, -1)
-        return out
+        for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if x < y:  # the last of these contexts may go on beyond the block
+                last = int(hi[x:y].max())
+                values = np.concatenate([self.successors.block(i) for i in range(b, (last - 1) // BLOCK + 1)]) & low
+                place = within(values, word[at[x:y]], lo[x:y] - b * BLOCK, hi[x:y] - b * BLOCK)
+                out[at[x:y]] = np.where(place >= 0, place + b * BLOCK, -1)
+        return np.split(out, np.cumsum([len(w) for w in words])[:-1])
 
 
 # ---- chunks ---------------------------------------------------------------------------------------------------------------
@@ -275,19 +277,34 @@ class Parcels:
         own = [dealers[0](None, None, grams[0].hash)]
         for below, g, dealer in zip(grams, grams[1:], dealers[1:]):
             own.append(dealer(own[-1][g.parent], below.hash[g.parent], g.hash))
-        up = np.zeros(0, np.int64)  # (shard << 40 | n-gram) of the contexts of the rows of the order above
         self.shard, self.entry, self.mine, self.children = ([None] * len(grams) for _ in range(4))
+        away = np.zeros(0, np.int64)  # (shard << 40 | n-gram) of contexts that another shard's n-grams stand below
         for n in range(len(grams) - 1, -1, -1):
-            key = (own[n] << 40) | np.arange(len(own[n]))
-            key = np.unique(np.concatenate([key, up])) if len(up) or n == 0 else np.sort(key)
-            self.shard[n], self.entry[n] = key >> 40, key & ((1 << 40) - 1)
+            every = len(own[n])
+            if len(away):
+                home = (own[n] << 40) | np.arange(every)
+                key = np.sort(np.concatenate([home, away]))
+                self.shard[n], self.entry[n] = key >> 40, key & ((1 << 40) - 1)
+                place = np.searchsorted(key, home)
+            else:
+                few = every and own[n].max() < 1 << 16
+                self.entry[n] = np.argsort(own[n].astype(np.uint16) if few else own[n], kind="stable")
+                self.shard[n] = own[n][self.entry[n]]
+                place = np.empty(every, np.int64)
+                place[self.entry[n]] = np.arange(every)
             self.mine[n] = own[n][self.entry[n]] == self.shard[n]
-            self.children[n] = np.zeros(len(key), np.int64)
+            self.children[n] = np.zeros(len(self.entry[n]), np.int64)
             if n + 1 < len(grams):
-                above = (self.shard[n + 1] << 40) | grams[n + 1].parent[self.entry[n + 1]]
-                self.children[n] = np.bincount(np.searchsorted(key, above), minlength=len(key))
+                parent, shard = grams[n + 1].parent[self.entry[n + 1]], self.shard[n + 1]
+                at = place[parent]
+                if len(away):
+                    other = np.flatnonzero(own[n][parent] != shard)
+                    at[other] = np.searchsorted(key, (shard[other] << 40) | parent[other])
+                self.children[n] = np.bincount(at, minlength=len(self.entry[n]))
             if n:
-                up = np.unique((self.shard[n] << 40) | grams[n].parent[self.entry[n]])
+                parent = grams[n].parent[self.entry[n]]
+                other = np.flatnonzero(own[n - 1][parent] != self.shard[n])
+                away = np.unique((self.shard[n][other] << 40) | parent[other])
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -373,14 +390,20 @@ def trie_messages(order: int, dealers: list):
                 grams = chunk.grams(order)
                 p = Parcels(grams, dealers)
                 counts = [np.where(m, g.count[e], 0) for g, m, e in zip(grams, p.mine, p.entry)]
-                for s in np.unique(p.shard[1]).tolist():
-                    cut = [slice(*np.searchsorted(shard, (s, s + 1))) for shard in p.shard]
-                    each = [(p.entry[n][cut[n]], n) for n in range(order)]
-                    yield columns([(s, number, np.array([len(e) for e, _ in each], np.int64).tobytes(),
-                                    planes(grams[0].hash[each[0][0]] >> np.uint64(8), 7),
-                                    packed(b"".join(planes(p.children[n][cut[n]], 4) for n in range(order - 1))),
-                                    b"".join(planes(grams[n].word[e], SUCCESSOR_BITS // 8) for e, n in each[1:]),
-                                    packed(b"".join(planes(counts[n][cut[n]], 4) for n in range(1, order))))], TRIES)
+                present = np.unique(p.shard[1])
+                cuts = [np.stack([np.searchsorted(shard, present), np.searchsorted(shard, present, side="right")], axis=1).tolist()
+                        for shard in p.shard]
+                rows = []
+                for i, s in enumerate(present.tolist()):
+                    cut = [slice(*c[i]) for c in cuts]
+                    each = [p.entry[n][cut[n]] for n in range(order)]
+                    rows.append((s, number, np.array([len(e) for e in each], np.int64).tobytes(),
+                                 planes(grams[0].hash[each[0]] >> np.uint64(8), 7),
+                                 packed(b"".join(planes(p.children[n][cut[n]], 4) for n in range(order - 1))),
+                                 b"".join(planes(grams[n].word[each[n]], SUCCESSOR_BITS // 8) for n in range(1, order)),
+                                 packed(b"".join(planes(counts[n][cut[n]], 4) for n in range(1, order)))))
+                if rows:
+                    yield columns(rows, TRIES)
     return run
 
 
@@ -429,7 +452,7 @@ def answered(order: int, hots: list[tuple[np.ndarray, np.ndarray]], mu: float):
             name = np.concatenate(hashes)
             keep = (every >= 0) & ((c > 0) | (among(hots[n - 1][0], name) if n < order else False))
             key = (every[keep].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | np.concatenate(word)[keep]
-            keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            keys, inverse = np.unique(key, return_inverse=True)
             sums = np.bincount(inverse, weights=c[keep], minlength=len(keys)).astype(np.int64)
             if total is None:  # what follows a word is kept in one shard, or the word is frequent and its count known
                 follow = np.bincount((keys >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), weights=sums, minlength=len(names))
@@ -439,7 +462,8 @@ def answered(order: int, hots: list[tuple[np.ndarray, np.ndarray]], mu: float):
             for m in range(len(sizes)):
                 alphas[m].append(np.where(found[m] >= 0, level.alpha[np.maximum(found[m], 0)] if len(keys) else 0, 0).astype(np.uint8))
                 gammas[m].append(np.where(at[m] >= 0, level.gamma[np.maximum(at[m], 0)] if len(level.gamma) else 255, 255).astype(np.uint8))
-            at, of_context = found, name[keep][first]
+            at, of_context = found, np.empty(len(keys), np.uint64)
+            of_context[inverse] = name[keep]
             total = totals(n, of_context, sums) if n < order else sums
         rows = [(s, c, z, packed(b"".join(a.tobytes() for a in x)), packed(b"".join(g.tobytes() for g in y)))
                 for s, c, z, x, y in zip(view["shard"], view["chunk"], view["sizes"], alphas, gammas)]
