@@ -28,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need nu
 
 TERM = r"[\p{L}\p{M}\p{N}_]+"
 HOT_ROWS, HOT_SHARE = 1000, 100_000
+DENSE_ROWS = 2048
 
 
 def terms(text: str | Column) -> Column:
@@ -36,8 +37,9 @@ def terms(text: str | Column) -> Column:
 
 
 def term_counts(source: DataFrame, key: str = "id", text_col: str = "text_chunk") -> DataFrame:
-    """(key, term, tf): every term of every text once."""
-    return (source.select(key, F.explode(terms(F.col(text_col))).alias("term")).groupBy(key, "term")
+    """(key, term, tf): every term of every text once; the texts are dealt by key, so their many terms stay where they are."""
+    return (source.select(key, text_col).repartition(key)
+            .select(key, F.explode(terms(F.col(text_col))).alias("term")).groupBy(key, "term")
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -74,14 +76,27 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 def hashed(weights: DataFrame, buckets: int, key: str = "id") -> DataFrame:
-    """(key, features): the weights of a text's terms summed by place, at unit length."""
-    placed = (weights.groupBy(key, bucket(F.col("term"), buckets).alias("place")).agg(F.sum("weight").alias("w"))
+    """(key, features): the weights of a text's terms summed by place, at unit length.  A column ``place`` is taken as it is."""
+    place = F.col("place") if "place" in weights.columns else bucket(F.col("term"), buckets)
+    placed = (weights.select(key, place.alias("place"), "weight").repartition(key)
+              .groupBy(key, "place").agg(F.sum("weight").alias("w"))
               .groupBy(key).agg(F.collect_list(F.struct("place", "w")).alias("cells")))  # at most ``buckets`` cells
-    dense = F.map_from_entries("cells")
-    values = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.element_at(dense, i), F.lit(0.0)))
-    out = placed.select(key, values.alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    return out.select(key, F.transform("v", lambda x: F.when(length > 0, x / length).otherwise(0.0)).alias("features"))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, DENSE_ROWS):
+                batch = whole.slice(lo, DENSE_ROWS)
+                cells = batch.column("cells")
+                place, w = cells.flatten().flatten()
+                row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+                x = np.zeros((len(cells), buckets))
+                x[row, place.to_numpy()] = w.to_numpy()
+                length = np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+                x /= np.where(length > 0, length, 1)
+                ends = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * buckets)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, x.ravel())], [key, "features"])
+
+    return placed.mapInArrow(dense, T.StructType([placed.schema[key], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 def second_moments(vectors: DataFrame, buckets: int) -> np.ndarray:
@@ -107,13 +122,15 @@ def weighted_features(source: DataFrame, buckets: int, key: str = "id", text_col
     """A function that adds ``features`` to texts: their hashed term vectors under the weights of the corpus ``source``."""
     spark = source.sparkSession
     path = scratch_path(spark, "embedder-df")
-    document_frequencies(term_counts(source, key, text_col)).write.parquet(path)
+    place = bucket(F.col("term"), buckets)
+    document_frequencies(term_counts(source, key, text_col)).withColumn("place", place).write.parquet(path)
     texts = source.count()
 
     def add(df: DataFrame) -> DataFrame:
-        known = spark.read.parquet(path)
-        weighted = term_counts(df, key, text_col).join(known, "term", "left").select(
-            key, "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)), texts)).alias("weight"))
+        known = spark.read.parquet(path).hint("shuffle_hash")  # one row a term: only its side is held
+        counts = term_counts(df.where(F.col(key).isNotNull()), key, text_col)
+        weighted = counts.join(known, "term", "left").select(
+            key, F.coalesce("place", place).alias("place"), (F.col("tf") * idf(F.coalesce("df", F.lit(0)), texts)).alias("weight"))
         nothing = F.array_repeat(F.lit(0.0), buckets)
         return (df.join(hashed(weighted, buckets, key), key, "left")
                 .withColumn("features", F.coalesce("features", nothing)))

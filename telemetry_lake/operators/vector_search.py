@@ -6,9 +6,11 @@ than ``q.c + |q| r`` with a query ``q``.  A query's k-th best score among the sa
 score that its k-th best neighbour reaches at least, so blocks whose bound is below it are skipped and nothing is lost.
 
 Queries stay a table: each is routed, inside the task that holds it, to the blocks it has to see; then blocks and queries meet
-in one co-grouped pass over the index, whatever the number of queries.  Blocks of more than ``BLOCK_ROWS`` rows are dealt to
+in one co-grouped pass over the index, whatever the number of queries.  Neighbouring blocks of few rows are gathered until
+they hold ``GATHER_ROWS``, so a query travels once for all of them.  Blocks of more than ``BLOCK_ROWS`` rows are dealt to
 pieces, and queries to chunks of about ``CHUNK``, so a group is bounded; the index is repeated once per chunk of queries, for
-the blocks that chunk needs.  What reaches the driver or every task is the sample and one row per block, both bounded by
+the blocks that chunk needs.  A matrix product finds the candidates of a group, with room for its rounding; the scores that
+decide are summed pair by pair, so equal vectors score alike wherever they lie.  What reaches the driver or every task is the sample and one row per block, both bounded by
 parameters.
 
 Ties go to the smaller id.  Vectors that are NULL or hold NULL, NaN or infinite components have no similarity; an index vector
@@ -37,6 +39,7 @@ SAMPLE = 2048
 CENTRES = 64
 SHELLS = 8
 BLOCK_ROWS = 20_000
+GATHER_ROWS = 8192
 CHUNK = 8192
 CELLS = 1 << 22
 #: Room for rounding in bounds that are compared with scores.
@@ -68,19 +71,39 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, np.sqrt(((x - centres[near]) ** 2).sum(axis=1))
 
 
-def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, column) of the k best of each row of ``scores``, ties by id; -inf never counts."""
-    n = scores.shape[1]
+def top_rows(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int,
+             own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``v``, score) of the k best of each row of ``q``, ties by id; pairs in ``own`` never count."""
+    near = q @ v.T
+    if own is not None:
+        near[own] = -np.inf
+    n = near.shape[1]
     if n > k:
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
-        q, c = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+        length = np.sqrt((q ** 2).sum(axis=1)) * np.sqrt((v ** 2).sum(axis=1).max())
+        least = np.partition(near, n - k, axis=1)[:, n - k] - SLACK * (1 + length)
+        row, col = np.nonzero(~(near < least[:, None]) & (near != -np.inf))
     else:
-        q, c = np.nonzero(scores > -np.inf)
-    order = np.lexsort((ids[c], -scores[q, c], q))
-    q, c = q[order], c[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(q) != 0]) if len(q) else np.zeros(0, int)
-    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    return q[place < k], c[place < k]
+        row, col = np.nonzero(near != -np.inf)
+    score = np.empty(len(row))
+    step = max(1, CELLS // max(1, q.shape[1]))
+    for lo in range(0, len(row), step):
+        score[lo:lo + step] = np.einsum("nd,nd->n", q[row[lo:lo + step]], v[col[lo:lo + step]])
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, int)
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+    return row[place < k], col[place < k], score[place < k]
+
+
+def gathered(count: np.ndarray, rows: int = GATHER_ROWS) -> np.ndarray:
+    """The group of each block: blocks that follow each other share one while they hold at most ``rows`` rows."""
+    group, held = np.zeros(len(count), np.int64), 0
+    for i, n in enumerate(count.tolist()):
+        held += n
+        group[i] = group[i - 1] if i else 0
+        if i and held > rows:
+            group[i], held = group[i] + 1, n
+    return group
 
 
 @dataclass
@@ -133,12 +156,13 @@ def build(index: DataFrame, *, id_col: str = "id", vec_col: str = "embedding", s
                       np.array([r["n"] for r in stats], np.int64), block, ids, vectors, id_col, vec_col)
 
 
-def route(index: BlockIndex, queries: DataFrame, k: int, *, qid_col: str, qvec_col: str, exclude_self: bool = False) -> DataFrame:
-    """(query id, vector, block) for every block that may hold one of the query's k best."""
+def route(index: BlockIndex, queries: DataFrame, k: int, *, qid_col: str, qvec_col: str, exclude_self: bool = False,
+          group: np.ndarray | None = None) -> DataFrame:
+    """(query id, vector, block) for every block, or every ``group`` of blocks, that may hold one of the query's k best."""
     out = T.StructType([T.StructField(qid_col, queries.schema[qid_col].dataType),
                         T.StructField(qvec_col, T.ArrayType(T.DoubleType())), T.StructField("block", T.IntegerType())])
-    d, centre, radius, block, sample, ids = (index.dimension, index.centre, index.radius, index.block, index.sample,
-                                             index.sample_ids)
+    d, centre, radius, sample, ids = index.dimension, index.centre, index.radius, index.sample, index.sample_ids
+    block = index.block if group is None else group
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // max(1, len(sample), len(block)))
@@ -157,6 +181,9 @@ def route(index: BlockIndex, queries: DataFrame, k: int, *, qid_col: str, qvec_c
                 bound = q @ centre.T + length[:, None] * radius[None]
                 room = SLACK * (1 + length[:, None] * (radius + np.sqrt((centre ** 2).sum(axis=1)))[None])
                 row, b = np.nonzero(bound + room >= least[:, None])
+                if group is not None and len(b):  # groups rise with their blocks
+                    first = np.r_[True, (np.diff(row) != 0) | (np.diff(block[b]) != 0)]
+                    row, b = row[first], b[first]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(qid_col).take(pa.array(row)), batch.column(qvec_col).take(pa.array(row)),
                      pa.array(block[b].astype(np.int32))], [qid_col, qvec_col, "block"])
@@ -178,15 +205,18 @@ def search(index: BlockIndex, queries: DataFrame, k: int, *, qid_col: str = "que
     if not len(index.block):
         return spark.createDataFrame([], out).withColumn("rank", F.row_number().over(w))
     path = scratch_path(spark, "vector-routes")
-    routed = route(index, queries, k, qid_col=qid_col, qvec_col=qvec_col, exclude_self=exclude_self)
+    group = gathered(index.count)
+    routed = route(index, queries, k, qid_col=qid_col, qvec_col=qvec_col, exclude_self=exclude_self, group=group)
     routed.write.parquet(path)
     routed = spark.read.schema(routed.schema).parquet(path)
-    asked = routed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))  # one row per block
+    asked = routed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))  # at most one row per block
     chunks = {r["block"]: -(-r["n"] // CHUNK) for r in asked.collect()}
-    pieces = {int(b): -(-int(n) // BLOCK_ROWS) for b, n in zip(index.block, index.count)}
-    known = spark.createDataFrame([(b, pieces[b], chunks[b]) for b in chunks], "block int, pieces int, chunks int")
+    pieces = {g: -(-int(n) // BLOCK_ROWS) for g, n in enumerate(np.bincount(group, weights=index.count).astype(np.int64))}
+    of_block = spark.createDataFrame([(int(b), int(g), pieces[g], chunks[g]) for b, g in zip(index.block, group) if g in chunks],
+                                     "own int, block int, pieces int, chunks int")
+    known = spark.createDataFrame([(g, pieces[g], chunks[g]) for g in chunks], "block int, pieces int, chunks int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = (index.rows.select(id_col, vec_col, "block").join(F.broadcast(known), "block")
+    held = (index.rows.select(id_col, vec_col, F.col("block").alias("own")).join(F.broadcast(of_block), "own")
             .select(id_col, vec_col, "block", F.pmod(F.xxhash64(id_col), "pieces").cast("int").alias("piece"),
                     every("chunks").alias("chunk")))
     posed = (routed.join(F.broadcast(known), "block")
@@ -200,11 +230,9 @@ def search(index: BlockIndex, queries: DataFrame, k: int, *, qid_col: str = "que
         if len(v):
             step = max(1, CELLS // len(v))
             for lo in range(0, len(q), step):
-                scores = np.einsum("nd,md->nm", q[lo:lo + step], v)
-                if exclude_self:
-                    scores[qids[lo:lo + step, None] == ids[None]] = -np.inf
-                row, col = top_rows(scores, ids, k)
-                found.append((row + lo, col, scores[row, col]))
+                own = qids[lo:lo + step, None] == ids[None] if exclude_self else None
+                row, col, score = top_rows(q[lo:lo + step], v, ids, k, own)
+                found.append((row + lo, col, score))
         row, col, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2 + (np.zeros(0),)
         return pa.table([right[qid_col].take(pa.array(row)), left[id_col].take(pa.array(col)), pa.array(score)],
                         names=[qid_col, id_col, "score"])
