@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root, scratch_path
 
 SLICE_BYTES = 6 << 20
+#: Slices of steps that make many numbers per byte of text: a worker keeps memory once taken, and stages share workers.
+MODEL_SLICE_BYTES = 2 << 20
 WHITE_SPACE = b" \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, renamed, segment_sum, slices, split_words, table
+from .common import MODEL_SLICE_BYTES, crc_mod, renamed, segment_sum, slices, split_words, table
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -71,7 +71,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's n-gram counts: one dense row per language."""
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", MODEL_SLICE_BYTES):
             codes, words, ptr = split_words(part.column("text"))
             if not len(codes):
                 continue
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def run(batches):
         langs, table_ = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", MODEL_SLICE_BYTES):
                 pred, score, sets = predict_texts(part.column("text"), langs, table_)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()),

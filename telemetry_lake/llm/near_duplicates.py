@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, slices, split_words, table, written
+from .common import MODEL_SLICE_BYTES, hash_words, mix, slices, split_words, table, written
 
 TREES = 16
 DEPTH = 6
@@ -91,7 +91,7 @@ def fingerprints(words: int):
     """mapInArrow body: (doc_id, row_key, text) to ``PRINTS``; signature is NULL for the empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", MODEL_SLICE_BYTES):
                 sets = shingle_sets(part.column("text"), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signature: list[bytes | None] = [None] * len(sets)
@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", MODEL_SLICE_BYTES):
                 sets = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()),
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])

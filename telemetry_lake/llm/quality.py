@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, renamed, segment_sum, slices, split_words, table
+from .common import MODEL_SLICE_BYTES, hash_words, mix, renamed, segment_sum, slices, split_words, table
 
 FEATURES = 1 << 18
 FIT_ROWS = 12_000
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", MODEL_SLICE_BYTES):
                 feats, off = text_features(part.column("text"))
                 rows_ = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(feats.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("grade"), rows_],
@@ -162,7 +162,7 @@ def grade_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Da
     def run(batches):
         w, cuts = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", MODEL_SLICE_BYTES):
                 feats, off = text_features(part.column("text"))
                 p = tails(segment_sum(w[feats].astype(np.float64), off), cuts)
                 each = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)

@@ -269,3 +269,26 @@ def test_windows_of_a_long_unit_do_not_change_its_pieces(monkeypatch, window):
     vocabulary, reference = sentencepieces.Vocabulary(sentencepieces.PIECES), SentencePieceProcessor(model_file=sentencepieces.PIECES)
     for text in ("unquestionably" * 20, "aaaaabaaaa" * 30, "x" * 333, "日本語テスト" * 9):
         assert sentencepieces.encode_texts(pa.array([text]), vocabulary)[0].tolist() == reference.encode(text)
+
+
+def test_tasks_of_the_pipeline_work_on_small_slices(monkeypatch):
+    """Pipeline: what a worker holds at once follows from 2 MB of text, whatever the batch; results do not depend on it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from telemetry_lake.llm import language, near_duplicates
+
+    words = np.random.default_rng(3).integers(0, 4000, (1200, 900))
+    texts = [" ".join(f"w{x}" for x in row) for row in words]
+    assert sum(map(len, texts)) > 5 << 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(range(1200), pa.int64()), pa.array(texts),
+                                        pa.array(["en"] * 1200)], ["doc_id", "row_key", "text", "lang"])
+    out = list(near_duplicates.fingerprints(3)(iter([batch])))
+    assert len(out) >= 3 and sum(b.num_rows for b in out) == 1200
+    one = list(near_duplicates.fingerprints(3)(iter([batch.slice(i, 400) for i in (0, 400, 800)])))
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches(one))
+
+    seen, split = [], language.split_words
+    monkeypatch.setattr(language, "split_words", lambda x: seen.append(sum(len(t) for t in x.to_pylist())) or split(x))
+    assert sum(sum(b.column("n").to_pylist()) for b in language.gram_counts(iter([batch]))) > 0
+    assert max(seen) < (2 << 20) + 10_000 and sum(seen) == sum(map(len, texts))
